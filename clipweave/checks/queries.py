@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from clipweave import functions as fn
 from clipweave import operators as op
 from clipweave import sources as src
+from clipweave.checks import streams
 from clipweave.checks import tables as t
 from clipweave.operators.captions import overlapping
 from clipweave.plans import clips as plan
@@ -434,3 +435,21 @@ def sample_frames(spark, d):
 @query
 def nms(spark, d):
     return op.nms(t.detections(spark, d, 60))
+
+
+# Streaming ------------------------------------------------------------------
+
+
+@query
+def approve_stream(spark, d):
+    return streams.approvals(spark, d, timeout_s=7200.0)
+
+
+@query
+def smooth_stream(spark, d):
+    return streams.smoothing(spark, d)
+
+
+@query
+def items_stream(spark, d):
+    return streams.items(spark, d)

@@ -448,4 +448,11 @@ QUERIES_SQL: dict[str, str] = {
         FROM (SELECT *, unnest(range(1, least(len(kept), 200) + 1)) AS i FROM nms_kept)""",
 }
 
+# A stream run to its end gives what the batch form gives.
+QUERIES_SQL["approve_stream"] = QUERIES_SQL["approve"]
+QUERIES_SQL["smooth_stream"] = QUERIES_SQL["smooth_track"]
+QUERIES_SQL["items_stream"] = """
+    SELECT item AS item_id FROM items
+    WHERE item NOT IN (SELECT url FROM pages WHERE page_id % 3 < 2)"""
+
 ORACLES: dict[str, str] = {name: _with(sql) for name, sql in QUERIES_SQL.items()}

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clipweave.functions import compute_once, trunc_int
+from clipweave.operators.ordered import dense_index, position_chunk
+from clipweave.operators.vision import screen_scale
 
 SENTENCE_MARK = "\u001e"
 OUTRO_S = 60.0
@@ -199,12 +201,15 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audio_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    idx = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
-    return load(spark, sf_dir, "events").select(
+    heard = load(spark, sf_dir, "events").select(
         F.col("user_id").alias("video_id"),
-        idx.alias("frame_no"),
+        "ts",
+        "event_id",
         F.col("event_type").isin("click", "purchase").alias("is_speech"),
     )
+    day = F.datediff(F.col("ts"), F.lit("2000-01-01").cast("date"))
+    numbered = dense_index(heard, ["video_id"], day, [F.col("ts"), F.col("event_id")], "frame_no")
+    return numbered.select("video_id", F.col("frame_no").cast("int").alias("frame_no"), "is_speech")
 
 
 def pcm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,12 +220,12 @@ def pcm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def motion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Motion vectors in scaled pixels, 32 columns per sample."""
-    from clipweave.operators.vision import screen_scale
-
-    idx = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    vectors = load(spark, sf_dir, "embeddings").select(
-        F.col("label").cast("long").alias("video_id"), idx.alias("sample_no"), "embedding"
+    labelled = load(spark, sf_dir, "embeddings").select(
+        F.col("label").cast("long").alias("video_id"), "vec_id", "embedding"
     )
+    vectors = dense_index(
+        labelled, ["video_id"], position_chunk("vec_id", 4096), [F.col("vec_id")], "sample_no"
+    ).withColumn("sample_no", F.col("sample_no").cast("int"))
     pairs = vectors.select(
         "video_id", "sample_no", "embedding", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("_p")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipweave.functions import clamp, floor_div, trunc_int
-from clipweave.operators.ordered import fill_forward, position_chunk
+from clipweave.operators.ordered import chunk_key, fill_forward, position_chunk
 from clipweave.operators.vision import screen_scale
 
 # Fixed values.
@@ -65,11 +65,12 @@ def smooth_track(centroids: DataFrame, videos: DataFrame, chunk: int = SAMPLE_CH
     """
     runs = (
         targets(centroids, videos)
-        .groupBy("video_id", position_chunk("sample_no", chunk).alias("_run"))
+        .groupBy(chunk_key(["video_id"], position_chunk("sample_no", chunk)).alias("_part"))
         .agg(
             F.array_sort(F.collect_list(F.struct("sample_no", "target"))).alias("_samples"),
             F.first("max_x").alias("_max"),
         )
+        .select(F.col("_part.video_id").alias("video_id"), F.col("_part.chunk").alias("_run"), "_samples", "_max")
     )
     starts = _run_starts(runs.select("video_id", "_run", _run_effect().alias("_effect")))
     states = F.aggregate(

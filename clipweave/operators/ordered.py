@@ -5,6 +5,10 @@ task.  Here the caller names a *chunk*, a column that does not decrease along
 the order (``frame_no div 65536``, a time bucket).  Each chunk is scanned on its
 own; one summary row per chunk carries the state across chunks; the result is
 exact.  A key that holds a third of all rows is spread over its chunks.
+
+Rows are grouped by one struct of key and chunk rather than by several columns:
+data that is already hash partitioned by the key alone (after a join, say) would
+count as partitioned by (key, chunk) too, and a hot key would stay in one task.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from pyspark.sql import functions as F
 
 CHUNK_ROWS = 65536
 
-_CHUNK, _ORDER, _LOCAL, _CARRY = "_chunk", "_order", "_local", "_carry"
+_PART, _ORDER, _LOCAL, _CARRY = "_part", "_order", "_local", "_carry"
 
 
 def position_chunk(pos: Column | str, size: int = CHUNK_ROWS) -> Column:
@@ -25,6 +29,19 @@ def position_chunk(pos: Column | str, size: int = CHUNK_ROWS) -> Column:
     return F.floor(pos / F.lit(size)).cast("long")
 
 
+def chunk_key(keys: Sequence[str], chunk: Column) -> Column:
+    """The key columns and the chunk as one grouping value."""
+    return F.struct(*keys, chunk.alias("chunk"))
+
+
+def _earlier_chunks(keys: Sequence[str]) -> Window:
+    return (
+        Window.partitionBy(*[F.col(_PART)[k] for k in keys])
+        .orderBy(F.col(_PART)["chunk"])
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+
+
 def fill_forward(
     df: DataFrame,
     keys: Sequence[str],
@@ -34,20 +51,19 @@ def fill_forward(
     out: str,
 ) -> DataFrame:
     """Add ``out``: the last non-null ``value`` at or before each row of its key."""
-    tagged = df.select("*", chunk.alias(_CHUNK), F.struct(*order).alias(_ORDER), value.alias(_LOCAL))
-    tails = tagged.groupBy(*keys, _CHUNK).agg(
+    tagged = df.select(
+        "*", chunk_key(keys, chunk).alias(_PART), F.struct(*order).alias(_ORDER), value.alias(_LOCAL)
+    )
+    tails = tagged.groupBy(_PART).agg(
         F.max(F.when(F.col(_LOCAL).isNotNull(), F.struct(_ORDER, _LOCAL)))[_LOCAL].alias("_tail")
     )
-    before = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     # Only chunks that inherit a value are joined back: usually very few.
     carried = tails.select(
-        *keys, _CHUNK, F.last("_tail", ignorenulls=True).over(before).alias(_CARRY)
+        _PART, F.last("_tail", ignorenulls=True).over(_earlier_chunks(keys)).alias(_CARRY)
     ).where(F.col(_CARRY).isNotNull())
-    within = (
-        Window.partitionBy(*keys, _CHUNK).orderBy(_ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    )
+    within = Window.partitionBy(_PART).orderBy(_ORDER).rowsBetween(Window.unboundedPreceding, 0)
     scanned = tagged.withColumn(_LOCAL, F.last(_LOCAL, ignorenulls=True).over(within))
-    return scanned.join(carried, [*keys, _CHUNK], "left").select(
+    return scanned.join(carried, _PART, "left").select(
         *[F.col(c) for c in df.columns], F.coalesce(_LOCAL, _CARRY).alias(out)
     )
 
@@ -62,18 +78,15 @@ def running_sum(
     inclusive: bool = True,
 ) -> DataFrame:
     """Add ``out``: the sum of ``value`` (BIGINT) over the rows of the key up to here."""
-    tagged = df.select("*", chunk.alias(_CHUNK), value.cast("long").alias(_LOCAL))
-    totals = tagged.groupBy(*keys, _CHUNK).agg(F.sum(_LOCAL).alias("_total"))
-    before = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select(*keys, _CHUNK, F.sum("_total").over(before).alias(_CARRY)).where(
+    tagged = df.select("*", chunk_key(keys, chunk).alias(_PART), value.cast("long").alias(_LOCAL))
+    totals = tagged.groupBy(_PART).agg(F.sum(_LOCAL).alias("_total"))
+    bases = totals.select(_PART, F.sum("_total").over(_earlier_chunks(keys)).alias(_CARRY)).where(
         F.col(_CARRY).isNotNull()
     )
     end = 0 if inclusive else -1
-    within = (
-        Window.partitionBy(*keys, _CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
-    )
+    within = Window.partitionBy(_PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
     scanned = tagged.withColumn("_run", F.coalesce(F.sum(_LOCAL).over(within), F.lit(0)))
-    return scanned.join(bases, [*keys, _CHUNK], "left").select(
+    return scanned.join(bases, _PART, "left").select(
         *[F.col(c) for c in df.columns],
         (F.col("_run") + F.coalesce(F.col(_CARRY), F.lit(0))).alias(out),
     )

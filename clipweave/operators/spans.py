@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipweave.functions import strip
-from clipweave.operators.ordered import position_chunk
+from clipweave.operators.ordered import chunk_key, position_chunk
 from clipweave.session import ensure_checkpoint_dir
 
 TARGET_S = 120.0
@@ -38,12 +38,12 @@ def sentence_edges(segments: DataFrame) -> DataFrame:
         "end_s",
         F.col("text").rlike(SENTENCE_END).alias("closes"),
         F.explode(F.when(is_last, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))).alias("_chunk"),
-    )
-    previous = F.lag("closes").over(Window.partitionBy("video_id", "_chunk").orderBy("seg_idx"))
+    ).withColumn("_part", chunk_key(["video_id"], F.col("_chunk")))
+    previous = F.lag("closes").over(Window.partitionBy("_part").orderBy("seg_idx"))
     return (
         spread.withColumn("opens", F.coalesce(previous, F.lit(True)))
         .where(F.col("_chunk") == chunk)
-        .drop("_chunk")
+        .drop("_chunk", "_part")
     )
 
 
