@@ -54,7 +54,9 @@ def targets(centroids: DataFrame, videos: DataFrame) -> DataFrame:
     )
 
 
-def smooth_track(centroids: DataFrame, videos: DataFrame, chunk: int = SAMPLE_CHUNK) -> DataFrame:
+def smooth_track(
+    centroids: DataFrame, videos: DataFrame, chunk: int = SAMPLE_CHUNK, fan: int = FAN
+) -> DataFrame:
     """``(video_id, sample_no, smoothed_x)``: the smoothed offset after every sample.
 
     Each step depends on the one before and truncates, so no linear window gives
@@ -72,7 +74,7 @@ def smooth_track(centroids: DataFrame, videos: DataFrame, chunk: int = SAMPLE_CH
         )
         .select(F.col("_part.video_id").alias("video_id"), F.col("_part.chunk").alias("_run"), "_samples", "_max")
     )
-    starts = _run_starts(runs.select("video_id", "_run", _run_effect().alias("_effect")))
+    starts = _run_starts(runs.select("video_id", "_run", _run_effect().alias("_effect")), fan)
     states = F.aggregate(
         "_samples",
         F.array("_start"),
@@ -111,7 +113,7 @@ def _apply(effect: Column, state: Column) -> Column:
     return F.array_max(F.filter(effect, lambda p: p["low"] <= state))["value"]
 
 
-def _run_starts(effects: DataFrame, fan: int = FAN) -> DataFrame:
+def _run_starts(effects: DataFrame, fan: int) -> DataFrame:
     """``(video_id, _run, _start)``: chain the effects in two levels of ``fan`` runs.
 
     With the defaults one row covers a million samples (12 days at one per
