@@ -21,6 +21,16 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores where the files give fewer tasks than there are cores.
+
+    A table written as one row group is read by one task.  With many files, as any
+    large table has, nothing is moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, df.columns[0]) if len(df.inputFiles()) < cores else df
+
+
 def _timed_sentences(documents: DataFrame) -> DataFrame:
     """Documents with ``_s``: their sentences as timed segments.
 
@@ -53,9 +63,13 @@ def _segment(entry: Column, idx: Column) -> Column:
     )
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def nested_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(video_id, segments ARRAY<STRUCT<text, start_s, end_s>>)``."""
-    timed = _timed_sentences(load(spark, sf_dir, "documents"))
+    timed = _timed_sentences(_documents(spark, sf_dir))
     return timed.select(F.col("doc_id").alias("video_id"), F.col("_s").alias("segments"))
 
 
@@ -68,7 +82,7 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One video per document; a minute without speech follows the last segment."""
-    timed = _timed_sentences(load(spark, sf_dir, "documents"))
+    timed = _timed_sentences(_documents(spark, sf_dir))
     kind = F.pmod(F.col("doc_id"), F.lit(5))
 
     def by_kind(*values) -> Column:

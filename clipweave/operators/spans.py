@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipweave.functions import strip
+from clipweave.functions.workers import ship_with_job
 from clipweave.operators.ordered import chunk_key, position_chunk
 from clipweave.session import ensure_checkpoint_dir
 
@@ -19,6 +20,8 @@ TEXT_CHUNK = 64
 GREEDY_CHUNK_S = 6 * 3600.0
 _ROUNDING = 1e-6
 
+ship_with_job(__name__)
+
 SPAN_KEY = ["video_id", "first_idx", "last_idx"]
 
 
@@ -123,29 +126,35 @@ def best_span(spans: DataFrame, score: Column) -> DataFrame:
 _OPEN, _CHOSEN, _REJECTED = 0, 1, 2
 
 
-def _settle(rows: pd.DataFrame) -> pd.Series:
-    """Fate of each span of one time chunk, taken in rank order.
+def _settle(start: np.ndarray, end: np.ndarray, alone: np.ndarray) -> np.ndarray:
+    """Fate of each span of one time chunk; rows come best first.
 
     A span that overlaps a chosen one is rejected.  A span that reaches into another
     chunk, or overlaps a better one still open, stays open.  Otherwise it is chosen.
     """
-    # Chosen spans never overlap each other, so per second of time it is enough
-    # to look at what covers the seconds a span touches.
-    start, end = rows["start_s"].to_numpy(), rows["end_s"].to_numpy()
-    alone = (rows["_touched"] == 1).to_numpy()
-    fate = np.full(len(rows), _OPEN, dtype=np.int32)
-    cells: dict[int, list[tuple[float, float, int]]] = {}
-    for i in range(len(rows)):
-        s, e = start[i], end[i]
-        touched = range(int(s // 60), int(e // 60) + 1)
-        met = {f for c in touched for (a, b, f) in cells.get(c, ()) if a < e and s < b}
-        if _CHOSEN in met:
-            fate[i] = _REJECTED
+    n = len(start)
+    by_start = np.argsort(start, kind="stable")
+    starts, ends = start[by_start], end[by_start]
+    longest = (end - start).max()
+    place = np.empty(n, dtype=np.int64)
+    place[by_start] = np.arange(n)
+    fate = np.full(n, _REJECTED, dtype=np.int32)
+    rejected, blocked = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
+    for i in range(n):
+        at = place[i]
+        if rejected[at]:
             continue
-        fate[i] = _OPEN if _OPEN in met or not alone[i] else _CHOSEN
-        for c in touched:
-            cells.setdefault(c, []).append((s, e, int(fate[i])))
-    return pd.Series(fate, index=rows.index)
+        # Every span that could overlap starts within one length before it or inside it.
+        low = np.searchsorted(starts, start[i] - longest, "left")
+        high = np.searchsorted(starts, end[i], "left")
+        met = ends[low:high] > start[i]
+        if blocked[at] or not alone[i]:
+            fate[i] = _OPEN
+            blocked[low:high] |= met
+        else:
+            fate[i] = _CHOSEN
+            rejected[low:high] |= met
+    return fate
 
 
 def all_spans(
@@ -198,10 +207,15 @@ def all_spans(
 def _settled(placed: DataFrame, schema) -> DataFrame:
     """Run ``_settle`` on every (video, chunk)."""
     columns = schema.names
-    by_rank = ["score", "start_s", "end_s", "first_idx", "last_idx"]
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(by_rank, ascending=[False, True, True, True, True], kind="stable")
-        return rows.assign(_fate=_settle(rows))[columns]
-
-    return placed.groupBy("video_id", "_chunk").applyInPandas(run, schema)
+    rank = [("score", "descending")] + [(c, "ascending") for c in ("start_s", "end_s", "first_idx", "last_idx")]
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by(rank)
+        start, end = rows["start_s"].to_numpy(), rows["end_s"].to_numpy()
+        alone = rows["_touched"].to_numpy() == 1
+        fate = _settle(start, end, alone)
+        # Most spans are rejected; only one seen by a second chunk must be reported.
+        told = pa.array((fate != _REJECTED) | ~alone)
+        return rows.append_column("_fate", pa.array(fate)).filter(told).select(columns)
+
+    return placed.groupBy("video_id", "_chunk").applyInArrow(run, schema)

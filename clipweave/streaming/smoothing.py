@@ -8,8 +8,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from clipweave.functions.workers import ship_with_job
 from clipweave.operators.motion import KEEP_SHARE, NEW_SHARE
 
+ship_with_job(__name__)
+
 OUTPUT = "video_id BIGINT, sample_no INT, smoothed_x INT"
 
 
