@@ -14,6 +14,7 @@ from clipweave.checks import streams
 from clipweave.checks import tables as t
 from clipweave.operators.captions import overlapping
 from clipweave.plans import clips as plan
+from clipweave.session import ensure_checkpoint_dir
 from clipweave.sources.manifest import temp_names
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,7 +81,7 @@ def read_segments(spark, d):
 def pending_transcription(spark, d):
     """Videos whose document is not in the label table yet."""
     done = t.load(spark, d, "labels").select(F.col("doc_id").alias("video_id"))
-    return op.pending_transcription(t.videos(spark, d), done).select("video_id", "duration_s")
+    return op.pending_transcription(t.durations(spark, d), done).select("video_id", "duration_s")
 
 
 @query
@@ -122,23 +123,23 @@ def safe_title(spark, d):
 
 @query
 def session_key(spark, d):
-    return t.videos(spark, d).select("video_id", fn.session_key("video_id", "title").alias("session"))
+    return t.sizes(spark, d).select("video_id", fn.session_key("video_id", "title").alias("session"))
 
 
 @query
 def output_name(spark, d):
     name = fn.output_name(fn.strip("title"), fn.session_key("video_id"))
-    return t.videos(spark, d).select("video_id", name.alias("output"))
+    return t.sizes(spark, d).select("video_id", name.alias("output"))
 
 
 @query
 def vertical_dims(spark, d):
-    return op.vertical_dims(t.videos(spark, d)).select("video_id", "vertical_w", "vertical_h", "dims_status")
+    return op.vertical_dims(t.sizes(spark, d)).select("video_id", "vertical_w", "vertical_h", "dims_status")
 
 
 @query
 def screen_scale(spark, d):
-    return op.screen_scale(t.videos(spark, d)).select(
+    return op.screen_scale(t.sizes(spark, d)).select(
         "video_id", "scale", "scaled_w", "scaled_h", "offset_y", "max_x"
     )
 
@@ -149,7 +150,7 @@ def _highlights(spark, d):
 
 @query
 def clamp_clip(spark, d):
-    return op.clamp_clip(_highlights(spark, d), t.videos(spark, d))
+    return op.clamp_clip(_highlights(spark, d), t.durations(spark, d))
 
 
 @query
@@ -158,13 +159,15 @@ def gate_highlights(spark, d):
 
 
 def _clips(spark, d):
-    return plan.single_clips(t.responses(spark, d), t.videos(spark, d))
+    """One small row per clip, used in several branches: computed once."""
+    ensure_checkpoint_dir(spark)
+    return plan.single_clips(t.responses(spark, d), t.durations(spark, d)).checkpoint()
 
 
 @query
 def caption_layout(spark, d):
     captions = op.clip_captions(_clips(spark, d), t.segments(spark, d))
-    dims = op.vertical_dims(t.videos(spark, d)).select(
+    dims = op.vertical_dims(t.sizes(spark, d)).select(
         "video_id", F.col("vertical_w").alias("width"), F.col("vertical_h").alias("height")
     )
     # The renderer's text height is stood in for by 40 pixels per started 35 characters.
@@ -206,14 +209,14 @@ def merge_style(spark, d):
 
 @query
 def overlay_style(spark, d):
-    dims = t.videos(spark, d).select("video_id", "width", "height")
+    dims = t.sizes(spark, d).select("video_id", "width", "height")
     styled = _styled(spark, d).join(dims, "video_id").withColumn("text_h", F.lit(40))
     return op.overlay_style(styled).select("video_id", "seg_idx", "box_width", "fade_s", "pos_y", "shown_s")
 
 
 @query
 def scale_boxes(spark, d):
-    return op.scale_boxes(t.raw_detections(spark, d), t.videos(spark, d))
+    return op.scale_boxes(t.raw_detections(spark, d), t.sizes(spark, d))
 
 
 @query
@@ -222,7 +225,7 @@ def lip_distance(spark, d):
 
 
 def _face_windows(spark, d):
-    return op.face_windows(op.unique_faces(t.detections(spark, d, 60)), t.videos(spark, d))
+    return op.face_windows(op.unique_faces(t.detections(spark, d, 60)), t.sizes(spark, d))
 
 
 @query
@@ -272,12 +275,12 @@ def zip_audio(spark, d):
 
 
 def _track(spark, d):
-    return op.smooth_track(op.motion_centroid(t.motion(spark, d)), t.videos(spark, d))
+    return op.smooth_track(op.motion_centroid(t.motion(spark, d)), t.sizes(spark, d))
 
 
 @query
 def crop_per_frame(spark, d):
-    return op.crop_per_frame(t.motion_frames(spark, d), _track(spark, d), t.videos(spark, d))
+    return op.crop_per_frame(t.motion_frames(spark, d), _track(spark, d), t.sizes(spark, d))
 
 
 @query
@@ -317,7 +320,7 @@ def largest_face(spark, d):
 
 @query
 def static_crop(spark, d):
-    return op.static_crop(op.largest_face(t.detections(spark, d, 60)), t.videos(spark, d))
+    return op.static_crop(op.largest_face(t.detections(spark, d, 60)), t.sizes(spark, d))
 
 
 @query
@@ -358,7 +361,7 @@ def _stages(spark, d):
     v = F.col("video_id")
     decision = F.when(F.pmod(v, F.lit(11)) == 3, "cancel").when(F.pmod(v, F.lit(11)) == 5, "regenerate_failed")
     return (
-        t.videos(spark, d)
+        t.durations(spark, d)
         .select("video_id", "duration_s")
         .join(counts, "video_id", "left")
         .join(parsed, "video_id", "left")
@@ -423,13 +426,13 @@ def smooth_track(spark, d):
 
 @query
 def crop_window(spark, d):
-    videos = t.videos(spark, d)
+    videos = t.sizes(spark, d)
     return op.crop_window(op.crop_per_frame(t.motion_frames(spark, d), _track(spark, d), videos), videos)
 
 
 @query
 def sample_frames(spark, d):
-    return op.sample_frames(t.frames(spark, d), t.videos(spark, d))
+    return op.sample_frames(t.frames(spark, d), t.sizes(spark, d))
 
 
 @query

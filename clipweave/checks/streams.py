@@ -98,7 +98,7 @@ def approvals(spark: SparkSession, sf_dir: str, timeout_s: float) -> DataFrame:
 def smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The odd samples of every video arrive before the even ones."""
     folder = stage_dir(spark)
-    samples = targets(motion_centroid(t.motion(spark, sf_dir)), t.videos(spark, sf_dir)).select(
+    samples = targets(motion_centroid(t.motion(spark, sf_dir)), t.sizes(spark, sf_dir)).select(
         "video_id", "sample_no", "target"
     )
     late = F.pmod(F.col("sample_no"), F.lit(2)) == 0

@@ -50,7 +50,7 @@ def _timed_sentences(documents: DataFrame) -> DataFrame:
     staged = compute_once(staged, "_at", F.aggregate("n", F.array(F.lit(0)), later))
     staged = staged.withColumn("at", F.slice("_at", F.lit(1), F.size("n")))
     return compute_once(staged, "_s", F.transform(F.arrays_zip("sentence", "n", "at"), _segment)).select(
-        "doc_id", "text", "_s"
+        "doc_id", "_s"
     )
 
 
@@ -80,22 +80,32 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One video per document; a minute without speech follows the last segment."""
-    timed = _timed_sentences(_documents(spark, sf_dir))
+def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One video per document: title, frame size and rate."""
     kind = F.pmod(F.col("doc_id"), F.lit(5))
 
     def by_kind(*values) -> Column:
         return F.element_at(F.array(*[F.lit(v) for v in values]), (kind + 1).cast("int"))
 
-    sized = timed.select(
+    return load(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("video_id"),
         F.substring("text", 1, 60).alias("title"),
         by_kind(1920, 1280, 640, 3840, 400).alias("width"),
         by_kind(1080, 720, 480, 2160, 854).alias("height"),
         by_kind(30.0, 25.0, 24.0, 60.0, 30.0).alias("fps"),
-        (F.array_max("_s.end_s") + OUTRO_S).alias("duration_s"),
     )
+
+
+def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length of each video; a minute without speech follows the last segment."""
+    timed = _timed_sentences(_documents(spark, sf_dir))
+    return timed.select(
+        F.col("doc_id").alias("video_id"), (F.array_max("_s.end_s") + OUTRO_S).alias("duration_s")
+    )
+
+
+def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = sizes(spark, sf_dir).join(durations(spark, sf_dir), "video_id")
     return sized.withColumn("n_frames", F.floor(F.col("duration_s") * F.col("fps")).cast("long"))
 
 
@@ -244,8 +254,8 @@ def motion(spark: SparkSession, sf_dir: str) -> DataFrame:
         "video_id", "sample_no", "embedding", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("_p")
     )
     value = lambda k: F.get("embedding", F.col("_p") * 2 + k).cast("double") * 10
-    sizes = screen_scale(videos(spark, sf_dir)).select("video_id", "scaled_w")
-    return pairs.join(sizes, "video_id").select(
+    scaled = screen_scale(sizes(spark, sf_dir)).select("video_id", "scaled_w")
+    return pairs.join(scaled, "video_id").select(
         "video_id",
         "sample_no",
         F.floor(F.col("_p") * F.col("scaled_w") / F.lit(32.0)).cast("int").alias("x"),
@@ -260,7 +270,7 @@ def motion_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = load(spark, sf_dir, "embeddings").groupBy(F.col("label").cast("long").alias("video_id")).agg(
         F.count(F.lit(1)).alias("_n")
     )
-    sized = last.join(videos(spark, sf_dir).select("video_id", "fps"), "video_id")
+    sized = last.join(sizes(spark, sf_dir).select("video_id", "fps"), "video_id")
     end = (F.col("_n") * trunc_int(F.col("fps")) - 1).cast("int")
     return sized.select("video_id", F.explode(F.sequence(F.lit(0), end)).alias("frame_no"))
 

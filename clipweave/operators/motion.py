@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from clipweave.functions import clamp, floor_div, trunc_int
 from clipweave.operators.ordered import chunk_key, fill_forward, position_chunk
 from clipweave.operators.vision import screen_scale
+from clipweave.session import ensure_checkpoint_dir
 
 # Fixed values.
 MOTION_THRESHOLD = 2.0
@@ -64,7 +65,11 @@ def smooth_track(
     run of samples does to *any* start state is a short list of (lowest start,
     result) pairs.  Runs are folded to such lists in parallel, the lists are chained
     to find each run's true start, and each run is then replayed on its own.
+
+    The runs, a few bytes per sample, are used three times and are checkpointed, so
+    that the motion table below them is read once.
     """
+    ensure_checkpoint_dir(centroids.sparkSession)
     runs = (
         targets(centroids, videos)
         .groupBy(chunk_key(["video_id"], position_chunk("sample_no", chunk)).alias("_part"))
@@ -73,6 +78,7 @@ def smooth_track(
             F.first("max_x").alias("_max"),
         )
         .select(F.col("_part.video_id").alias("video_id"), F.col("_part.chunk").alias("_run"), "_samples", "_max")
+        .checkpoint()
     )
     starts = _run_starts(runs.select("video_id", "_run", _run_effect().alias("_effect")), fan)
     states = F.aggregate(

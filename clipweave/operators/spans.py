@@ -59,17 +59,16 @@ def candidate_spans(
     the two or three buckets its end may fall in: the rows joined are about the
     rows returned, and a long video is spread over its buckets.
     """
-    edges = sentence_edges(segments)
     width = max(2 * tol_s, 1.0)
     low = F.floor((F.col("start_s") + target_s - tol_s - _ROUNDING) / width)
     high = F.floor((F.col("start_s") + target_s + tol_s + _ROUNDING) / width)
-    openers = edges.where("opens").select(
+    openers = sentence_edges(segments).where("opens").select(
         "video_id",
         F.col("seg_idx").alias("first_idx"),
         "start_s",
         F.explode(F.sequence(low, high)).alias("_b"),
     )
-    closers = edges.where("closes").select(
+    closers = segments.where(F.col("text").rlike(SENTENCE_END)).select(
         "video_id",
         F.col("seg_idx").alias("last_idx"),
         "end_s",

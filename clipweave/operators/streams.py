@@ -59,17 +59,14 @@ def choose_stream(streams: DataFrame, answers: DataFrame) -> DataFrame:
     ranked = dense_index(
         _described(streams), ["video_id"], chunk, [F.col("_lines").desc(), F.col("stream_idx")], "rank"
     )
-    counts = streams.where(F.col("type") == "video").groupBy("video_id").agg(
-        F.count(F.lit(1)).alias("_n")
-    )
     typed = strip("answer")
-    picked = F.when(typed.rlike("^[0-9]+$"), typed.try_cast("bigint"))
-    wanted = counts.join(answers.select("video_id", "answer"), "video_id", "left").select(
-        "video_id", F.when(picked < F.col("_n"), picked).otherwise(F.lit(0)).alias("rank")
-    )
-    return ranked.join(wanted, ["video_id", "rank"]).select(
-        "video_id", "rank", "stream_idx", "resolution", "size_mb", "kind", "is_progressive"
-    )
+    picks = answers.select("video_id", typed.try_cast("bigint").alias("_pick"), typed.alias("_typed"))
+    asked = F.col("_typed").rlike("^[0-9]+$") & (F.col("rank") == F.col("_pick"))
+    # Rank 0 and, if there is one, the rank asked for: the higher of the two counts.
+    found = ranked.join(picks, "video_id", "left").where((F.col("rank") == 0) | asked)
+    fields = ["rank", "stream_idx", "resolution", "size_mb", "kind", "is_progressive"]
+    best = found.groupBy("video_id").agg(F.max(F.struct(*fields)).alias("_s"))
+    return best.select("video_id", *[f"_s.{f}" for f in fields])
 
 
 def attach_audio(chosen: DataFrame, streams: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from clipweave.operators.captions import clip_captions
 from clipweave.operators.highlights import clamp_clip, gate_highlights, parse_highlight
 from clipweave.operators.spans import all_spans
 from clipweave.operators.vision import largest_face, static_crop, vertical_dims
+from clipweave.session import ensure_checkpoint_dir
 
 
 def single_clips(responses: DataFrame, videos: DataFrame) -> DataFrame:
@@ -37,8 +38,12 @@ def many_clips(spans: DataFrame, score: Column, videos: DataFrame, single: bool
 def clip_manifest(
     videos: DataFrame, segments: DataFrame, responses: DataFrame, detections: DataFrame
 ) -> DataFrame:
-    """One row per clip: range, frame size, crop mode, number of captions, file name."""
-    clips = single_clips(responses, videos)
+    """One row per clip: range, frame size, crop mode, number of captions, file name.
+
+    The clips are few and used in every branch, so they are checkpointed.
+    """
+    ensure_checkpoint_dir(videos.sparkSession)
+    clips = single_clips(responses, videos).checkpoint()
     captions = (
         clip_captions(clips, segments)
         .groupBy("video_id", "clip_idx")
