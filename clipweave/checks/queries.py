@@ -13,6 +13,7 @@ from clipweave import sources as src
 from clipweave.checks import streams
 from clipweave.checks import tables as t
 from clipweave.operators.captions import overlapping
+from clipweave.plans import batch_outcomes as plan_batch
 from clipweave.plans import clips as plan
 from clipweave.session import ensure_checkpoint_dir
 from clipweave.sources.manifest import temp_names
@@ -371,6 +372,24 @@ def _stages(spark, d):
     )
 
 
+@query
+def settle_attempts(spark, d):
+    parsed = op.parse_highlight(t.attempts(spark, d), keep=["attempt"])
+    asked = parsed.join(t.attempt_decisions(spark, d), ["video_id", "attempt"], "left")
+    return op.settle_attempts(asked)
+
+
+@query
+def batch_outcomes(spark, d):
+    return plan_batch(
+        t.batch_items(spark, d),
+        t.batch_videos(spark, d),
+        t.segments(spark, d),
+        t.attempts(spark, d),
+        t.attempt_decisions(spark, d),
+    )
+
+
 @query
 def take_until(spark, d):
     results = t.load(spark, d, "orders").select(
@@ -411,6 +430,12 @@ def all_spans(spark, d):
     return op.all_spans(op.candidate_spans(t.segments(spark, d)), _score())
 
 
+@query
+def many_clips(spark, d):
+    spans = op.candidate_spans(t.segments(spark, d))
+    return plan.many_clips(spans, _score(), t.durations(spark, d))
+
+
 # Ordered operators ----------------------------------------------------------
 
 

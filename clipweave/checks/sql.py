@@ -129,6 +129,20 @@ TABLES: dict[str, str] = {
         SELECT f.video_id, f.frame_no, coalesce(s.smoothed_x, 0) AS smoothed_x
         FROM motion_frames f ASOF LEFT JOIN smoothed s
           ON f.video_id = s.video_id AND floor(f.frame_no / trunc(f.fps)) >= s.sample_no""",
+    "attempts": """
+        SELECT video_id + attempt AS video_id, attempt, response
+        FROM replies, (SELECT unnest([0, 1, 2]) AS attempt)""",
+    "tried": """
+        SELECT t.video_id, t.attempt, start_s, stop_s, status <> 'ok' AS failed,
+               CASE WHEN d.doc_id IS NULL THEN NULL WHEN k < 2 THEN 'regenerate' WHEN k = 2 THEN 'cancel' ELSE 'approve' END AS decision
+        FROM (SELECT a.video_id, attempt, p.start_s, p.stop_s, p.status, (a.video_id // 8 + attempt) % 5 AS k
+              FROM attempts a JOIN parsed p ON p.video_id = a.video_id - a.attempt) t
+        LEFT JOIN documents d ON d.doc_id = t.video_id""",
+    "settled": """
+        SELECT video_id, attempt, start_s, stop_s, NOT failed OR attempt > 0 AS highlight_ok,
+               CASE WHEN failed AND attempt > 0 THEN 'regenerate_failed' WHEN decision = 'cancel' THEN 'cancel' ELSE 'approve' END AS decision
+        FROM tried WHERE failed OR decision IS DISTINCT FROM 'regenerate'
+        QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY attempt) = 1""",
     "parsed0": """
         SELECT video_id, response, CASE WHEN json_valid(response) THEN
                    CASE WHEN json_type(response) = 'ARRAY' THEN json_extract(response, '$[0]') ELSE response::JSON END END AS r
@@ -231,14 +245,16 @@ TABLES: dict[str, str] = {
              AND b.end_s - a.start_s BETWEEN 110.0::DOUBLE AND 130.0::DOUBLE""",
     "scored": """
         SELECT *, -abs(span_s - 120.0::DOUBLE) AS score,
-               row_number() OVER (PARTITION BY video_id ORDER BY -abs(span_s - 120.0::DOUBLE) DESC, start_s, end_s, first_idx, last_idx) AS rn
+               row_number() OVER (PARTITION BY video_id ORDER BY -abs(span_s - 120.0::DOUBLE) DESC, start_s, end_s, first_idx, last_idx) AS rn,
+               row_number() OVER (PARTITION BY video_id ORDER BY -abs(span_s - 120.0::DOUBLE) DESC,
+                   (first_idx::BIGINT * 2654435761 + last_idx::BIGINT * 40503) % 4294967296, first_idx, last_idx) AS turn
         FROM spans""",
     "greedy": """
         SELECT video_id, list_reduce(l, lambda acc, x: CASE
                    WHEN len(list_filter(acc, lambda k: k.start_s < x[1].end_s AND x[1].start_s < k.end_s)) > 0 THEN acc
                    ELSE list_concat(acc, x) END) AS kept
         FROM (SELECT video_id, list([{'first_idx': first_idx, 'last_idx': last_idx, 'start_s': start_s, 'end_s': end_s,
-                                      'span_s': span_s, 'score': score}] ORDER BY rn) AS l
+                                      'span_s': span_s, 'score': score}] ORDER BY turn) AS l
               FROM scored GROUP BY 1)""",
     "outcomes": """
         SELECT video_id, status, CASE WHEN status IN ('highlight_failed', 'crashed', 'out_of_range') THEN 1 ELSE 0 END AS exit_code
@@ -419,6 +435,24 @@ QUERIES_SQL: dict[str, str] = {
     "unique_faces": "SELECT video_id, face_no, first_frame, x, y, w, h FROM faces",
     "outcome_funnel": "SELECT status, exit_code, count(*) AS n_items FROM outcomes GROUP BY ALL",
     "item_outcomes": "SELECT video_id, status, exit_code FROM outcomes",
+    "settle_attempts": "SELECT * FROM settled",
+    "batch_outcomes": """
+        SELECT line_no, item, status, CASE WHEN status IN ('highlight_failed', 'crashed', 'out_of_range') THEN 1 ELSE 0 END AS exit_code
+        FROM (SELECT d.doc_id AS line_no, 'https://example.org/watch/' || d.doc_id AS item, CASE
+                  WHEN lang = 'es' THEN 'no_video' WHEN lang = 'fr' THEN 'no_audio' WHEN n IS NULL THEN 'no_transcript'
+                  WHEN NOT coalesce(highlight_ok, false) THEN 'highlight_failed' WHEN decision = 'cancel' THEN 'cancelled'
+                  WHEN decision = 'regenerate_failed' THEN 'crashed'
+                  WHEN NOT (start_s > 0 AND stop_s > 0 AND stop_s > start_s) THEN 'bad_highlight'
+                  WHEN start_s >= duration_s - 0.1::DOUBLE THEN 'out_of_range' ELSE 'success' END AS status
+              FROM documents d JOIN videos v ON v.video_id = d.doc_id LEFT JOIN settled s ON s.video_id = d.doc_id
+              LEFT JOIN (SELECT video_id AS n FROM segments GROUP BY 1) ON n = d.doc_id)""",
+    "many_clips": """
+        SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY s) - 1 AS clip_idx, s AS start_s,
+               least(e::DOUBLE, top) AS end_s, least(e::DOUBLE, top) - s AS clip_s
+        FROM (SELECT video_id, trunc(k.start_s)::INT AS s, trunc(k.end_s)::INT AS e
+              FROM (SELECT video_id, unnest(kept) AS k FROM greedy))
+        JOIN (SELECT video_id, duration_s - 0.1::DOUBLE AS top FROM videos) USING (video_id)
+        WHERE s > 0 AND e > s AND s < top""",
     "take_until": """
         SELECT line_no, success FROM (
             SELECT o_orderkey AS line_no, o_orderstatus = 'F' AS success,

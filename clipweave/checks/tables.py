@@ -135,6 +135,40 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select(d.alias("video_id"), text.alias("response"))
 
 
+def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to three replies per video: its own, then those of the documents before it."""
+    own = responses(spark, sf_dir)
+    numbers = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("attempt")
+    return own.select("video_id", "response", numbers).select(
+        (F.col("video_id") + F.col("attempt")).alias("video_id"), "attempt", "response"
+    )
+
+
+def attempt_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was decided on each attempt, by video and attempt number."""
+    numbered = load(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("video_id"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("attempt")
+    )
+    kind = F.pmod(F.floor(F.col("video_id") / F.lit(8)) + F.col("attempt"), F.lit(5))
+    decision = F.when(kind < 2, "regenerate").when(kind == 2, "cancel").otherwise("approve")
+    return numbered.select("video_id", "attempt", decision.alias("decision"))
+
+
+def batch_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A work list with every document; the URL holds its id."""
+    url = F.concat(F.lit("https://example.org/watch/"), F.col("doc_id").cast("string"))
+    return load(spark, sf_dir, "documents").select(F.col("doc_id").alias("line_no"), url.alias("item"))
+
+
+def batch_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items that could be fetched: the documents of a language other than Spanish; French ones are silent."""
+    url = F.concat(F.lit("https://example.org/watch/"), F.col("doc_id").cast("string"))
+    fetched = load(spark, sf_dir, "documents").where(F.col("lang") != "es").select(
+        F.col("doc_id").alias("video_id"), url.alias("item"), (F.col("lang") != "fr").alias("has_audio")
+    )
+    return fetched.join(durations(spark, sf_dir), "video_id")
+
+
 def _text(c: Column | str) -> Column:
     return F.lit(c) if isinstance(c, str) else c
 

@@ -6,7 +6,7 @@ from clipweave.operators.captions import (
     overlay_plan,
     overlay_style,
 )
-from clipweave.operators.decisions import approve, first_answer
+from clipweave.operators.decisions import approve, first_answer, settle_attempts
 from clipweave.operators.highlights import clamp_clip, gate_highlights, parse_highlight
 from clipweave.operators.items import (
     discover,

@@ -90,3 +90,30 @@ def approve(
     return answered.select(
         "prompt_id", "user_id", approval(F.col("answer"), F.col("wait_us").isNotNull()).alias("decision")
     )
+
+
+def settle_attempts(attempts: DataFrame) -> DataFrame:
+    """``(video_id, attempt, start_s, stop_s, highlight_ok, decision)``: where asking ended.
+
+    ``attempts`` is ``(video_id, attempt, status, start_s, stop_s, decision)``: each
+    parsed reply, numbered from 0, with what was decided on it.  Only ``regenerate``
+    goes on to the next attempt, so the end is the first attempt that failed to
+    parse or was decided otherwise.  A failed first attempt is a failed highlight;
+    a failed later one is ``regenerate_failed``.
+    """
+    failed = F.col("status") != "ok"
+    ends = failed | (F.coalesce(F.col("decision"), F.lit("approve_timeout")) != "regenerate")
+    last = F.struct("attempt", "start_s", "stop_s", "decision", failed.alias("failed"))
+    chain = attempts.where(ends).groupBy("video_id").agg(F.min(last).alias("_e"))
+    again = F.col("_e.attempt") > 0
+    return chain.select(
+        "video_id",
+        "_e.attempt",
+        "_e.start_s",
+        "_e.stop_s",
+        (~F.col("_e.failed") | again).alias("highlight_ok"),
+        F.when(F.col("_e.failed") & again, "regenerate_failed")
+        .when(F.col("_e.decision") == "cancel", "cancel")
+        .otherwise("approve")
+        .alias("decision"),
+    )

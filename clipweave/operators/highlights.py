@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,16 +14,18 @@ REPLY = "STRUCT<start: STRING, content: STRING, `end`: STRING>"
 END_MARGIN_S = 0.1
 
 
-def parse_highlight(replies: DataFrame, column: str = "response") -> DataFrame:
+def parse_highlight(
+    replies: DataFrame, column: str = "response", keep: Sequence[str] = ()
+) -> DataFrame:
     """``(video_id, status, start_s, stop_s, content)`` from a JSON reply.
 
     Statuses, in the order they are tested: ``empty``, ``bad_structure``,
     ``unparseable``, ``negative``, ``end_not_after_start``, ``ok``.  Times are cut
     to whole seconds first.  A list holding one object is read as that object.
-    Failed rows stay in the table with null times.
+    Failed rows stay in the table with null times.  ``keep`` names columns to carry.
     """
     raw = F.trim(F.col(column))
-    read = compute_once(replies.select("video_id", raw.alias("_raw")), "_r", _reply(F.col("_raw")))
+    read = compute_once(replies.select("video_id", *keep, raw.alias("_raw")), "_r", _reply(F.col("_raw")))
     start, stop = _seconds(F.col("_r.start")), _seconds(F.col("_r.end"))
     missing = F.col("_r.start").isNull() | F.col("_r.end").isNull() | F.col("_r.content").isNull()
     status = (
@@ -35,6 +39,7 @@ def parse_highlight(replies: DataFrame, column: str = "response") -> DataFrame:
     ok = F.col("status") == "ok"
     return compute_once(read, "status", status).select(
         "video_id",
+        *keep,
         "status",
         F.when(ok, start).alias("start_s"),
         F.when(ok, stop).alias("stop_s"),

@@ -18,6 +18,11 @@ SENTENCE_END = r"[.!?]\s*$"
 SEG_CHUNK = 4096
 TEXT_CHUNK = 64
 GREEDY_CHUNK_S = 6 * 3600.0
+ROUNDS_PER_WIDTH = 4
+# Multipliers that scatter segment numbers over 32 bits.
+SCATTER_FIRST = 2654435761
+SCATTER_LAST = 40503
+SCATTER_RANGE = 1 << 32
 _ROUNDING = 1e-6
 
 ship_with_job(__name__)
@@ -165,16 +170,24 @@ def all_spans(
     cut into chunks and each chunk is settled on its own, except for spans that
     depend on a neighbour chunk.  Those few are settled in further rounds with the
     cuts moved by half a chunk.  A video shorter than a chunk needs one round.
+
+    Equal scores are ranked by a scattering of the segment numbers: ranked by time,
+    each span would wait for the one before it, and a long video of even segments
+    would be settled from one end to the other.
     """
     if single:
         return best_span(spans, score)
     spark = spans.sparkSession
     ensure_checkpoint_dir(spark)
-    open_spans = spans.withColumn("score", score)
+    scattered = F.pmod(
+        F.col("first_idx").cast("long") * SCATTER_FIRST + F.col("last_idx").cast("long") * SCATTER_LAST,
+        F.lit(SCATTER_RANGE),
+    )
+    open_spans = spans.withColumn("score", score).withColumn("_tie", scattered)
     names = open_spans.columns
     schema = open_spans.withColumn("_touched", F.lit(0)).withColumn("_fate", F.lit(0)).schema
     chosen = None
-    shift, left_before = 0.0, None
+    shift, rounds = 0.0, 0
     while True:
         low = F.floor((F.col("start_s") + shift) / chunk_s)
         high = F.floor((F.col("end_s") + shift) / chunk_s)
@@ -194,19 +207,20 @@ def all_spans(
             .select(*names)
         )
         open_spans = inside.unionByName(across)
-        left = open_spans.count()
-        if left == 0:
-            return chosen
+        if open_spans.isEmpty():
+            return chosen.drop("_tie")
         shift = chunk_s / 2 if shift == 0.0 else 0.0
-        if left_before is not None and left >= left_before:
-            chunk_s *= 2  # spans longer than half a chunk: widen until they fit
-        left_before = left
+        rounds += 1
+        if rounds % ROUNDS_PER_WIDTH == 0:
+            # Long chains of dependent spans, or spans longer than half a chunk: what
+            # little is left is settled in wider chunks.
+            chunk_s *= 2
 
 
 def _settled(placed: DataFrame, schema) -> DataFrame:
     """Run ``_settle`` on every (video, chunk)."""
     columns = schema.names
-    rank = [("score", "descending")] + [(c, "ascending") for c in ("start_s", "end_s", "first_idx", "last_idx")]
+    rank = [("score", "descending")] + [(c, "ascending") for c in ("_tie", "first_idx", "last_idx")]
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by(rank)

@@ -1,3 +1,4 @@
+from clipweave.plans.batch import batch_outcomes
 from clipweave.plans.clips import clip_manifest, many_clips, single_clips
 
-__all__ = ["clip_manifest", "many_clips", "single_clips"]
+__all__ = ["batch_outcomes", "clip_manifest", "many_clips", "single_clips"]

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipweave.functions import output_name, session_key
 from clipweave.operators.captions import clip_captions
 from clipweave.operators.highlights import clamp_clip, gate_highlights, parse_highlight
+from clipweave.operators.ordered import dense_index
 from clipweave.operators.spans import all_spans
 from clipweave.operators.vision import largest_face, static_crop, vertical_dims
 from clipweave.session import ensure_checkpoint_dir
@@ -30,9 +31,11 @@ def many_clips(spans: DataFrame, score: Column, videos: DataFrame, single: bool
         F.col("end_s").cast("int").alias("stop_s"),
     )
     ranges = clamp_clip(gate_highlights(whole), videos).where(F.col("clip_status") == "ok")
-    # Chosen spans do not overlap, so there are few per video.
-    number = F.row_number().over(Window.partitionBy("video_id").orderBy("start_s")) - 1
-    return ranges.select("video_id", number.alias("clip_idx"), "start_s", "end_s", "clip_s")
+    day = F.floor(F.col("start_s") / F.lit(86400))
+    numbered = dense_index(ranges, ["video_id"], day, [F.col("start_s")], "_n")
+    return numbered.select(
+        "video_id", F.col("_n").cast("int").alias("clip_idx"), "start_s", "end_s", "clip_s"
+    )
 
 
 def clip_manifest(

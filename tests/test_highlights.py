@@ -86,3 +86,19 @@ def test_many_clips_numbers_in_time_order(spark):
     # A clip that starts at 0 does not pass the gate; the last one is cut at the end.
     assert rows(many_clips(spans, score, videos)) == [(1, 0, 120, 240.0, 120.0), (1, 1, 500, 599.9, 99.89999999999998)]
     assert [r.start_s for r in many_clips(spans, -F.col("start_s"), videos, single=True).collect()] == []
+
+
+def test_attempts_end_at_the_first_that_is_not_regenerated(spark):
+    data = [
+        (1, 0, "ok", 5, 60, "regenerate"), (1, 1, "ok", 7, 70, "regenerate"), (1, 2, "ok", 9, 90, None),
+        (2, 0, "ok", 5, 60, "regenerate"), (2, 1, "negative", None, None, None), (2, 2, "ok", 1, 9, "approve"),
+        (3, 0, "empty", None, None, None), (3, 1, "ok", 5, 60, "approve"),
+        (4, 0, "ok", 5, 60, "cancel"), (4, 1, "ok", 6, 60, "approve"),
+    ]
+    schema = "video_id INT, attempt INT, status STRING, start_s INT, stop_s INT, decision STRING"
+    assert rows(op.settle_attempts(spark.createDataFrame(data, schema))) == [
+        (1, 2, 9, 90, True, "approve"),
+        (2, 1, None, None, True, "regenerate_failed"),
+        (3, 0, None, None, False, "approve"),
+        (4, 0, 5, 60, True, "cancel"),
+    ]

@@ -45,7 +45,7 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-STREAMED = {"approve_stream", "smooth_stream", "items_stream", "all_spans"}
+STREAMED = {"approve_stream", "smooth_stream", "items_stream", "all_spans", "many_clips"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - STREAMED))

@@ -61,7 +61,8 @@ def test_text_of_best_span(spark):
 
 def greedy(spans, score):
     kept = []
-    for s in sorted(spans, key=lambda s: (-score(s), s[3], s[4], s[1], s[2])):
+    tie = lambda s: (s[1] * 2654435761 + s[2] * 40503) % 2**32
+    for s in sorted(spans, key=lambda s: (-score(s), tie(s), s[1], s[2])):
         if all(not (s[0] == k[0] and s[3] < k[4] and k[3] < s[4]) for k in kept):
             kept.append(s)
     return sorted(kept)
@@ -92,6 +93,23 @@ def test_all_spans_longer_than_half_a_chunk(spark):
     assert rows(got) == greedy(spans, lambda s: 0.0)
 
 
+def test_even_segments_in_a_long_video_need_few_rounds(spark, monkeypatch):
+    """All lengths equal, so all scores tie over hundreds of chunks."""
+    frame, rounds = type(spark.range(1)), []
+    real = frame.checkpoint
+    monkeypatch.setattr(frame, "checkpoint", lambda self, *a: rounds.append(1) or real(self, *a))
+    spans = spark.range(20000).select(
+        F.lit(1).alias("video_id"),
+        F.col("id").cast("int").alias("first_idx"),
+        (F.col("id") + 19).cast("int").alias("last_idx"),
+        (F.col("id") * 6.0).alias("start_s"),
+        (F.col("id") * 6.0 + 119.5).alias("end_s"),
+    )
+    got = op.all_spans(spans, F.lit(0.0), chunk_s=3600.0).select("start_s", "end_s").orderBy("start_s").collect()
+    assert len(rounds) <= 6
+    assert all(a.end_s <= b.start_s for a, b in zip(got, got[1:])) and len(got) > 700
+
+
 def test_single(spark):
     spans = [(1, 0, 1, 0.0, 120.0), (1, 5, 9, 200.0, 319.0), (2, 0, 4, 3.0, 120.0)]
     got = op.all_spans(spark.createDataFrame(spans, SPAN), F.col("start_s"), single=True)
