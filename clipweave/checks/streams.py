@@ -41,7 +41,10 @@ def stream_session(spark: SparkSession) -> SparkSession:
 
 
 def run_to_end(result: DataFrame, folder: str) -> str:
-    """Run an append-mode query until its sources are used up; returns the sink path."""
+    """Run an append-mode query until its sources are used up; returns the sink path.
+
+    Run again with the same folder it goes on where it stopped.
+    """
     out = f"{folder}/out"
     query = (
         result.writeStream.format("parquet")
@@ -54,41 +57,42 @@ def run_to_end(result: DataFrame, folder: str) -> str:
     return out
 
 
-def _stage_by_time(table: DataFrame, path: str, sentinel: dict, slices: int = 2) -> None:
-    """Write a table as files in time order, then two late rows that move the watermark."""
-    first, last = F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))
-    low, high = table.agg(first, last).first()
-    step = (high - low) // slices + 1
-    part = F.floor((F.unix_micros("ts") - F.lit(low)) / F.lit(step))
-    for i in range(slices):
-        # One file per slice keeps the order of files the order of time.
-        table.where(part == i).coalesce(1).write.mode("append").parquet(path)
-    for days in (30, 60):
-        extra = table.limit(0).sparkSession.range(1).select(
-            *[
-                (F.timestamp_micros(F.lit(high)) + F.expr(f"INTERVAL {days} DAYS")).alias("ts")
-                if c == "ts"
-                else F.lit(sentinel[c]).cast(table.schema[c].dataType).alias(c)
-                for c in table.columns
-            ]
-        )
-        extra.coalesce(1).write.mode("append").parquet(path)
-
-
-def approvals(spark: SparkSession, sf_dir: str, timeout_s: float) -> DataFrame:
+def approvals(spark: SparkSession, sf_dir: str, timeout_s: float, slices: int = 2) -> DataFrame:
+    """Prompts and answers arrive in slices of time, then rows far in the future.
+
+    Each arrival is one batch, however many files it has, so nothing in it is late.
+    The future rows only move the watermark past the last real wait; two arrivals of
+    them are needed, since a watermark takes effect in the batch after.
+    """
     folder = stage_dir(spark)
     prompts, decisions = t.prompts(spark, sf_dir), t.decisions(spark, sf_dir)
-    _stage_by_time(prompts, f"{folder}/prompts", {"prompt_id": SENTINEL, "user_id": SENTINEL})
-    _stage_by_time(decisions, f"{folder}/decisions", {"user_id": SENTINEL, "answer": ""})
+    micros = F.unix_micros("ts")
+    low, high = prompts.unionByName(decisions, allowMissingColumns=True).agg(F.min(micros), F.max(micros)).first()
+    step = (high - low) // slices + 1
     session = stream_session(spark)
 
     def source(name: str, like: DataFrame) -> DataFrame:
-        reader = session.readStream.schema(like.schema).option("maxFilesPerTrigger", 1)
-        return reader.parquet(f"{folder}/{name}")
-
-    result = approve_stream(source("prompts", prompts), source("decisions", decisions), timeout_s)
-    out = run_to_end(result, folder)
-    # Sentinels are dropped behind the sink: a filter before it would be pushed below
+        return session.readStream.schema(like.schema).parquet(f"{folder}/{name}")
+
+    def arrive(table: DataFrame, name: str) -> None:
+        table.write.mode("append").parquet(f"{folder}/{name}")
+
+    def future(table: DataFrame, days: int) -> DataFrame:
+        ts = F.timestamp_micros(F.lit(high)) + F.expr(f"INTERVAL {days} DAYS")
+        columns = [
+            (ts if f.name == "ts" else F.lit(str(SENTINEL))).cast(f.dataType).alias(f.name) for f in table.schema
+        ]
+        return spark.range(1).select(*columns)
+
+    arrivals = [
+        [table.where(F.floor((micros - low) / step) == i) for table in (prompts, decisions)] for i in range(slices)
+    ] + [[future(table, days) for table in (prompts, decisions)] for days in (30, 60)]
+    for prompts_now, decisions_now in arrivals:
+        arrive(prompts_now, "prompts")
+        arrive(decisions_now, "decisions")
+        result = approve_stream(source("prompts", prompts), source("decisions", decisions), timeout_s)
+        out = run_to_end(result, folder)
+    # Future rows are dropped behind the sink: a filter before it would be pushed below
     # the watermark and the last rows would never come out.
     return spark.read.parquet(out).where(F.col("prompt_id") != SENTINEL).select(
         "prompt_id", "user_id", "decision"
