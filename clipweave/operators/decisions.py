@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from clipweave.functions import strip
 from clipweave.operators.ordered import fill_forward
 
+# Seconds to wait for an answer.
 APPROVAL_TIMEOUT_S = 15.0
 RESOLUTION_TIMEOUT_S = 5.0
+
 CHUNK_S = 600
 
 
