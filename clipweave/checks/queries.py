@@ -12,7 +12,6 @@ from clipweave import operators as op
 from clipweave import sources as src
 from clipweave.checks import streams
 from clipweave.checks import tables as t
-from clipweave.operators.captions import overlapping
 from clipweave.plans import batch_outcomes as plan_batch
 from clipweave.plans import clips as plan
 from clipweave.session import ensure_checkpoint_dir

@@ -50,3 +50,14 @@ def test_hot_key_is_spread_even_after_a_join_on_it(spark):
         df.repartition(4, "k"), ["k"], position_chunk("p", 64), [F.col("p")], F.col("v"), "f"
     )._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(_part" in plan
+
+
+def test_work_of_a_hot_video_is_spread(spark):
+    """Two thirds of the rows have one key; no task may get most of them."""
+    rows_ = spark.range(200_000).select(
+        F.when(F.col("id") % 3 < 2, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("p"), F.lit(1).alias("v")
+    )
+    out = running_sum(rows_, ["k"], position_chunk("p", 1000), [F.col("p")], F.col("v"), "s")
+    sizes = [r[1] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 200_000 and max(sizes) < 100_000
+    assert out.agg(F.max("s")).first()[0] == rows_.where("k = 0").count()

@@ -73,7 +73,7 @@ def test_wrap_text_sample_segments(spark):
         " Nobody deserves you deserve",
         "This is a test of the enhanced text overlay system",
         "Multiple segments with different colors and animations",
-        "Creating professional looking YouTube Shorts",
+        "Creating professional looking short videos",
     ]
     got = one(spark, fn.wrap_text, *samples)
     assert got == [greedy(s) for s in samples]
