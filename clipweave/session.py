@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import SparkSession
 
 # Settings the operators rely on for speed, never for correctness.
@@ -29,19 +32,19 @@ def get_session(app: str = "clipweave", master: str | None = None, **conf: str)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the folder the cluster names in ``spark.checkpoint.dir``.
+    """Return the shared folder for cut lineage: the one in use, else ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) a scratch folder is made.
+    Only a local master may go without: its executors share the scratch folder made here.
+    Any other master must name a folder that all executors see.
     """
+    context = spark.sparkContext
+    current = context.getCheckpointDir()
+    if current:
+        return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
-    if configured:
-        if current is None:
-            spark.sparkContext.setCheckpointDir(configured)
-        return configured
-    if current is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current
+    if configured is None:
+        if not re.match(r"local(\[[^\]]*\])?$", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        configured = tempfile.mkdtemp(prefix="spark-")
+    context.setCheckpointDir(configured)
+    return context.getCheckpointDir()

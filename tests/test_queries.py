@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 import __spark_entry__ as contract
 from clipweave import operators as op
 from clipweave.checks import tables as t
-
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
+from clipweave.checks.queries import QUERIES
+from clipweave.checks.sql import ORACLES as SQL
 
 
 @pytest.fixture(scope="module")
