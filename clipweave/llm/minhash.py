@@ -15,7 +15,9 @@ from clipweave.llm.components import components
 from clipweave.llm.shingles import shingle_sets
 
 REGISTERS = 256
-MANTISSA = 10
+MANTISSA = 9
+#: Marks a register that is empty and borrows its value.
+BORROWED = 1 << 15
 BANDS, BAND_ROWS = 32, 5
 SIGMAS = 5.0
 _RANDOM = np.random.default_rng(20170313)
@@ -23,11 +25,11 @@ _RANDOM = np.random.default_rng(20170313)
 _ORDER = _RANDOM.permutation(REGISTERS)
 #: Which occupied register lends its value to an empty one: the one ranked highest.
 _LENDER = np.stack([_RANDOM.permutation(REGISTERS) for _ in range(REGISTERS)])
-_SIGNATURE = "doc_id long, n_shingles long, fp_a long, fp_b long, occupied int, sig binary"
+_SIGNATURE = "doc_id long, n_shingles long, fp_a long, fp_b long, sig binary"
 
 
-def registers(shingles: np.ndarray) -> tuple[np.ndarray, int]:
-    """HyperMinHash registers (leading zeros and mantissa) of sorted hashes, and how many were filled.
+def registers(shingles: np.ndarray) -> np.ndarray:
+    """HyperMinHash registers (leading zeros and mantissa) of sorted hashes.
 
     The top 8 bits of a hash choose the register; the smallest remainder there is kept as its
     count of leading zeros and the bits after the first one.  An empty register borrows from
@@ -47,20 +49,31 @@ def registers(shingles: np.ndarray) -> tuple[np.ndarray, int]:
     if len(filled) < REGISTERS:
         empty = np.ones(REGISTERS, bool)
         empty[filled] = False
-        out[empty] = out[filled[_LENDER[np.ix_(np.flatnonzero(empty), filled)].argmax(1)]]
-    return out[_ORDER], len(filled)
+        out[empty] = out[filled[_LENDER[np.ix_(np.flatnonzero(empty), filled)].argmax(1)]] | BORROWED
+    return out[_ORDER]
 
 
-def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    """Jaccard estimates of signature rows, corrected for registers that agree by chance.
+def estimate(
+    a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, similarity: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """Jaccard estimates of signature rows, and how low one may fall for a pair at ``similarity``.
 
-    Two minima of sets of size n and m fall into one cell of the (zeros, mantissa) grid with
-    probability about ln 2 / 2**mantissa * n m / (n + m)**2.
+    Of the registers that either set fills, the share that both fill alike estimates Jaccard.
+    It is corrected for registers that agree by chance: two minima of sets of size n and m fall
+    into one cell of the (zeros, mantissa) grid with probability about
+    ln 2 / 2**mantissa * n m / (n + m)**2.  The filled registers sample the union without
+    repetition, so the deviation shrinks as they near its size: small sets are almost read off.
     """
-    agree = (a == b).mean(axis=-1)
+    own = (a | b) & BORROWED == 0
+    either = (a & b) & BORROWED == 0
+    seen = np.maximum(either.sum(-1), 1).astype(np.float64)
     n_a, n_b = n_a.astype(np.float64), n_b.astype(np.float64)
     chance = np.log(2) / (1 << MANTISSA) * n_a * n_b / np.maximum(n_a + n_b, 1) ** 2
-    return np.clip((agree - chance) / (1 - chance), 0, 1)
+    found = np.clip((((a == b) & own).sum(-1) / seen - chance) / (1 - chance), 0, 1)
+    union = np.maximum((n_a + n_b) / (1 + similarity), seen)
+    unseen = 1 - (seen - 1) / np.maximum(union - 1, 1)
+    deviation = np.sqrt(similarity * (1 - similarity) / seen * np.maximum(unseen, 0))
+    return found, similarity - SIGMAS * deviation - 1 / seen
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
@@ -68,20 +81,19 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = ([], [], [], [], [])
+            rows = ([], [], [], [])
             for found in shingle_sets(batch.column(1), words):
                 if len(found):
                     mark = xxhash.xxh3_128_digest(found.tobytes())
-                    regs, filled = registers(found)
-                    one = (len(found), *np.frombuffer(mark, np.int64).tolist(), filled, regs.tobytes())
+                    one = (len(found), *np.frombuffer(mark, np.int64).tolist(), registers(found).tobytes())
                 else:
-                    one = (0, 0, 0, 0, None)
+                    one = (0, 0, 0, None)
                 for column, x in zip(rows, one):
                     column.append(x)
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *[pa.array(r, t) for r, t in zip(rows, types)]],
-                ["doc_id", "n_shingles", "fp_a", "fp_b", "occupied", "sig"],
+                ["doc_id", "n_shingles", "fp_a", "fp_b", "sig"],
             )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sign, _SIGNATURE)
@@ -93,19 +105,13 @@ def _sigs(table: pa.Table, name: str) -> np.ndarray:
     return np.frombuffer(data, np.uint16).reshape(-1, REGISTERS)
 
 
-def _near(est: np.ndarray, filled_a: np.ndarray, filled_b: np.ndarray, similarity: float) -> np.ndarray:
-    """Estimates within ``SIGMAS`` deviations of the threshold; few filled registers widen the margin."""
-    filled = np.minimum(filled_a, filled_b).astype(np.float64)
-    return est >= similarity - SIGMAS * np.sqrt(similarity * (1 - similarity) / np.maximum(filled, 1))
-
-
 def _sizes_fit(n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
     return 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
 
 
 def _estimated(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that the estimate cannot rule out."""
-    side = lambda s: sets.select(*[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "occupied", "sig")])
+    side = lambda s: sets.select(*[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "sig")])
     joined = pairs.join(side("a"), pairs["a"] == F.col("rep_a")).join(side("b"), pairs["b"] == F.col("rep_b"))
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,12 +119,12 @@ def _estimated(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             t = pa.Table.from_batches([batch])
             if t.num_rows == 0:
                 continue
-            n_a, n_b, o_a, o_b = (t.column(c).to_numpy() for c in ("n_a", "n_b", "occupied_a", "occupied_b"))
-            est = estimate(_sigs(t, "sig_a"), _sigs(t, "sig_b"), n_a, n_b)
-            ok = _near(est, o_a, o_b, percent / 100) & _sizes_fit(n_a, n_b, percent)
+            n_a, n_b = t.column("n_a").to_numpy(), t.column("n_b").to_numpy()
+            est, low = estimate(_sigs(t, "sig_a"), _sigs(t, "sig_b"), n_a, n_b, percent / 100)
+            ok = (est >= low) & _sizes_fit(n_a, n_b, percent)
             yield from t.select(["a", "b"]).filter(pa.array(ok)).to_batches()
 
-    columns = ["a", "b", "n_a", "n_b", "occupied_a", "occupied_b", "sig_a", "sig_b"]
+    columns = ["a", "b", "n_a", "n_b", "sig_a", "sig_b"]
     return joined.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select(*columns).mapInArrow(
         test, "a long, b long"
     )
@@ -138,7 +144,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, part_
         dealt.select("a", "part", F.col("a").alias("id"), F.lit(0).alias("role")).distinct()
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    rows = wanted.join(texts, "id").repartition("a", "part").sortWithinPartitions("a", "part", "role", "id")
+    # Texts are shuffled at every size: what is wanted grows with the input and is no broadcast.
+    rows = texts.join(wanted.hint("merge"), "id").repartition("a", "part").sortWithinPartitions("a", "part", "role", "id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, own = None, None
@@ -181,7 +188,7 @@ def _cross_pairs(members: DataFrame, sets: DataFrame, percent: int, chunk: int)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, i, j), t in runs(batches, ["band", "i", "j"]):
-            rep, comp, n, filled, c = (t.column(x).to_numpy() for x in ("rep", "component", "n", "occupied", "c"))
+            rep, comp, n, c = (t.column(x).to_numpy() for x in ("rep", "component", "n", "c"))
             sig = _sigs(t, "sig")
             inside = i == j
             found_a, found_b = [], []
@@ -194,15 +201,15 @@ def _cross_pairs(members: DataFrame, sets: DataFrame, percent: int, chunk: int)
                     rest = rest[c[rest] == j]
                 if not len(rest):
                     continue
-                est = estimate(sig[k], sig[rest], n[k : k + 1], n[rest])
-                near = rest[_near(est, filled[k : k + 1], filled[rest], percent / 100)]
+                est, low = estimate(sig[k], sig[rest], n[k : k + 1], n[rest], percent / 100)
+                near = rest[est >= low]
                 found_a += [rep[k]] * len(near)
                 found_b += rep[near].tolist()
             if found_a:
                 lo, hi = np.minimum(found_a, found_b), np.maximum(found_a, found_b)
                 yield pa.RecordBatch.from_arrays([pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], ["a", "b"])
 
-    wanted = ["band", "i", "j", "c", "rep", "component", "n", "occupied", "sig"]
+    wanted = ["band", "i", "j", "c", "rep", "component", "n", "sig"]
     return rows.select(*wanted).mapInArrow(compare, "a long, b long").distinct()
 
 
@@ -215,7 +222,7 @@ def near_duplicates(
        fingerprint; only the smallest id of each goes on, so copies are never paired.
     2. 32 bands of 5 registers: a pair at 0.8 meets in at least one with probability 1 - 3e-6.
     3. Each member of a band bucket is paired with the bucket's smallest id (a star, not all pairs).
-       Pairs whose corrected estimate lies more than five deviations below the threshold go;
+       Pairs whose corrected estimate lies five deviations and one register below the threshold go;
        the others are confirmed on full sets; components follow.
     4. Buckets that still hold several components are compared fully, in blocks of ``chunk``
        members, and the survivors confirmed.  So a star through a wrong centre loses no link.
@@ -228,11 +235,11 @@ def near_duplicates(
     """
     signed = keep(signatures(docs, words), "signed")
     some = signed.where("n_shingles > 0")
-    row = F.struct("doc_id", "n_shingles", "occupied", "sig")
+    row = F.struct("doc_id", "n_shingles", "sig")
     firsts = some.groupBy("fp_a", "fp_b").agg(F.min(row).alias("r"))
     sets = keep(
         firsts.select(
-            "fp_a", "fp_b", F.col("r.doc_id").alias("rep"), F.col("r.n_shingles").alias("n"), "r.occupied", "r.sig"
+            "fp_a", "fp_b", F.col("r.doc_id").alias("rep"), F.col("r.n_shingles").alias("n"), "r.sig"
         ),
         "sets",
     )
@@ -241,7 +248,7 @@ def near_duplicates(
     bands = sets.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)).alias("band"))
     leads = bands.groupBy("band").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last")
     multi = keep(bands.join(leads.select("band", "lead"), "band"), "multi")
-    lean = sets.select("rep", "n", "occupied", "sig")
+    lean = sets.select("rep", "n", "sig")
 
     stars = multi.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     tried = keep(_estimated(stars, lean, percent), "tried")
