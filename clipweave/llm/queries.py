@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clipweave.llm import minhash, mixing, shards
+from clipweave.llm import cross_polytope, impact, minhash, mixing, shards
 from clipweave.llm.common import load
 
 
+def op1_impact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact.exact_top_k(load(spark, sf_dir, "embeddings"))
+
+
 def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.hilbert_shards(load(spark, sf_dir, "documents"))
 
@@ -19,6 +23,10 @@ def op5_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.poisson_mix(docs)
 
 
+def op6_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.nearest(load(spark, sf_dir, "embeddings"))
+
+
 def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(load(spark, sf_dir, "documents"), words=2)
 
@@ -26,8 +34,10 @@ def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_impact_top_k,
         op2_hilbert_shards,
         op5_poisson_mix,
+        op6_cross_polytope,
         op10_hyperminhash,
     )
 }

@@ -99,7 +99,7 @@ def test_estimates_follow_jaccard():
     for share, n in ((0.3, 3000), (0.8, 3000), (0.95, 3000), (0.8, 9), (0.8, 90), (0.8, 450)):
         errors = []
         for _ in range(40):
-            common = int(2 * n * share / (1 + share))
+            common = round(2 * n * share / (1 + share))
             pool = rng.integers(0, 2**64, 2 * n - common, np.uint64)
             a, b = np.sort(pool[:n]), np.sort(np.r_[pool[:common], pool[n:]])
             size = np.array([n])
