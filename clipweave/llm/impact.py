@@ -13,7 +13,8 @@ from clipweave.llm.common import keep, runs
 from clipweave.llm.vectors import batches_of, best, blocks, matrix, top, usable
 
 LEVELS = 256
-ROUNDS = 6
+#: Impacts, as parts of the largest one, down to which segments are read in turn.
+ROUNDS = (0.5, 0.2, 0.0)
 _OUT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
@@ -33,8 +34,8 @@ class ImpactIndex:
         level = (rows - lo) >> self.shift
         self.levels = int(level.max(initial=0)) + 1
         by_value = np.argsort(-rows, axis=0, kind="stable")
-        self.order = np.ascontiguousarray(by_value.T).astype(np.int32)
-        self.value = np.ascontiguousarray(np.take_along_axis(rows, by_value, 0).T)
+        self.order = np.ascontiguousarray(by_value.T)
+        self.value = np.ascontiguousarray(np.take_along_axis(rows, by_value, 0).T.astype(np.float64))
         counts = np.zeros((self.width, self.levels + 1), np.int64)
         np.add.at(counts, (np.repeat(np.arange(self.width), n), level.T.ravel()), 1)
         # start[d, l]: rows of component d whose level is at least l.
@@ -56,43 +57,37 @@ class ImpactIndex:
     def search(self, q: np.ndarray, k: int, floor: int | None, own: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the ``k`` best rows (without id ``own``), or of those that reach ``floor``.
 
-        Segments are taken by descending quantised impact in ``ROUNDS`` steps.  A row's score is
-        at most what it has collected plus, for each component not seen yet, the largest impact
-        left.  A row that cannot reach the ``k``-th best score known is out for good; rows are
-        rescored exactly as soon as few are left, and at the latest when all segments are read.
+        Segments are read by descending quantised impact, in steps.  A row's score is at most what
+        it has collected plus the largest impact left in each component.  A row that cannot reach
+        the ``k``-th best score known is out for good.  Reading stops as soon as few rows are left,
+        at the latest at impact 0, where what is unread can only lower a score; the rows that
+        remain possible are rescored exactly.
         """
         n = len(self.ids)
         q = q.astype(np.int64)
         live = np.flatnonzero(q)
-        collected, seen = np.zeros(n), np.zeros(n)
+        up = q > 0
+        collected = np.zeros(n)
         none = np.iinfo(np.int64).min
         known = none if floor is None else floor
-        tops = np.where(q > 0, q * self.value[:, 0], q * self.value[:, -1])
-        done = np.where(q > 0, 0, n)  # postings read: from the front, or down to here from the back
-        peak = float(np.max(tops, initial=0))
+        peak = float(np.max(np.where(up, q * self.value[:, 0], q * self.value[:, -1]), initial=0))
+        done = np.where(up, 0, n)  # postings read: from the front up to here, or from here to the back
         possible = np.arange(n)
-        for r in range(1, ROUNDS + 1):
-            cut, bound = self._cut(q, peak * (1 - r / ROUNDS))
+        for part in ROUNDS:
+            cut, bound = self._cut(q, peak * part)
             reach = np.take_along_axis(self.start, np.clip(cut, 0, self.levels)[:, None], 1)[:, 0]
-            lo = np.where(q > 0, done, reach)[live]
-            hi = np.where(q > 0, reach, done)[live]
-            size = np.maximum(hi - lo, 0)
-            total = int(size.sum())
-            if total:
-                flat = np.arange(total) - np.repeat(np.cumsum(size) - size, size) + np.repeat(live * n + lo, size)
-                rows = self.order.ravel()[flat]
-                gain = self.value.ravel()[flat] * np.repeat(q[live], size)
-                collected += np.bincount(rows, gain, n)
-                seen += np.bincount(rows, minlength=n)
-            done = np.where(q > 0, np.maximum(done, reach), np.minimum(done, reach))
+            lo, hi = np.where(up, done, reach), np.where(up, reach, done)
+            for d in live[hi[live] > lo[live]].tolist():
+                at = slice(lo[d], hi[d])
+                collected[self.order[d, at]] += q[d] * self.value[d, at]
+            done = np.where(up, np.maximum(done, reach), np.minimum(done, reach))
             # Exact scores of the rows that have collected most raise the known k-th best.
             lead = np.argpartition(-collected, min(k, n - 1))[: k + 1]
             lead = lead[self.ids[lead] != own]
             if len(lead) >= k:
                 known = max(known, int(np.sort(self.rows[lead].astype(np.int64) @ q)[-k]))
-            rest = max(float(bound[live].max(initial=0)), -peak if r < ROUNDS else 0.0)
-            limit = collected + (len(live) - seen) * rest
-            possible = np.flatnonzero(limit >= known) if known != none else np.arange(n)
+            if known != none:
+                possible = np.flatnonzero(collected + float(np.maximum(bound[live], 0).sum()) >= known)
             if len(possible) <= max(4 * k, n // 16):
                 break
         exact = self.rows[possible].astype(np.int64) @ q
@@ -134,7 +129,7 @@ def _search_blocks(queries: DataFrame, rows: DataFrame, width: int, k: int) -> D
 
 
 def exact_top_k(
-    vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, block_rows: int = 1024, query_rows: int = 2048
+    vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, block_rows: int = 4096, query_rows: int = 1024
 ) -> DataFrame:
     """The ``k`` largest integer inner products of each query row with all other rows, exactly.
 
