@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clipweave.llm import cross_polytope, impact, minhash, mixing, shards
+from clipweave.llm import cross_polytope, impact, language, minhash, mixing, shards
 from clipweave.llm.common import load
 
 
@@ -18,6 +18,10 @@ def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.hilbert_shards(load(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(load(spark, sf_dir, "documents"))
+
+
 def op5_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "source")
     return mixing.poisson_mix(docs)
@@ -36,6 +40,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_impact_top_k,
         op2_hilbert_shards,
+        op3_language_id,
         op5_poisson_mix,
         op6_cross_polytope,
         op10_hyperminhash,
