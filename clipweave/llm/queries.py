@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clipweave.llm import cross_polytope, impact, language, minhash, mixing, shards
+from clipweave.llm import (
+    attribution,
+    cross_polytope,
+    extraction,
+    impact,
+    language,
+    minhash,
+    mixing,
+    packing,
+    quality,
+    shards,
+)
 from clipweave.llm.common import load
 
 
@@ -22,6 +33,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(load(spark, sf_dir, "documents"))
 
 
+def op4_dom_tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(load(spark, sf_dir, "pages"))
+
+
 def op5_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "source")
     return mixing.poisson_mix(docs)
@@ -31,6 +46,18 @@ def op6_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_polytope.nearest(load(spark, sf_dir, "embeddings"))
 
 
+def op7_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(load(spark, sf_dir, "documents"))
+
+
+def op8_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op9_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.section_tokens(load(spark, sf_dir, "documents"))
+
+
 def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(load(spark, sf_dir, "documents"), words=2)
 
@@ -41,8 +68,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_impact_top_k,
         op2_hilbert_shards,
         op3_language_id,
+        op4_dom_tree_text,
         op5_poisson_mix,
         op6_cross_polytope,
+        op7_residual_packing,
+        op8_cotrained_quality,
+        op9_section_tokens,
         op10_hyperminhash,
     )
 }
