@@ -14,12 +14,12 @@ from clipweave.llm.common import keep, runs
 from clipweave.llm.components import components
 from clipweave.llm.shingles import shingle_sets
 
-REGISTERS = 256
+REGISTERS = 512
 MANTISSA = 9
 #: Marks a register that is empty and borrows its value.
 BORROWED = 1 << 15
 BANDS, BAND_ROWS = 32, 5
-SIGMAS = 5.0
+SIGMAS = 4.5
 _RANDOM = np.random.default_rng(20170313)
 #: Registers in the order in which they are stored: bands first.
 _ORDER = _RANDOM.permutation(REGISTERS)
@@ -31,25 +31,25 @@ _SIGNATURE = "doc_id long, n_shingles long, fp_a long, fp_b long, sig binary"
 def registers(shingles: np.ndarray) -> np.ndarray:
     """HyperMinHash registers (leading zeros and mantissa) of sorted hashes.
 
-    The top 8 bits of a hash choose the register; the smallest remainder there is kept as its
-    count of leading zeros and the bits after the first one.  An empty register borrows from
-    the filled register that ranks highest in its own fixed order (densification), so that
+    The top 9 bits of a hash choose the register; the smallest remainder there is kept as its
+    count of leading zeros and the bits after the first one.  An empty register of a band borrows
+    from the filled register that ranks highest in its own fixed order (densification), so that
     bands of short texts stay as selective as those of long ones.
     """
-    bucket = (shingles >> np.uint64(56)).astype(np.intp)
+    bucket = (shingles >> np.uint64(55)).astype(np.intp)
     first = np.flatnonzero(np.diff(bucket, prepend=-1))
     filled = bucket[first]
-    rest = (shingles[first] << np.uint64(8)) >> np.uint64(11)  # 53 bits: exact as a double
+    rest = (shingles[first] << np.uint64(9)) >> np.uint64(11)  # 53 bits: exact as a double
     exponent = np.frexp(rest.astype(np.float64))[1]
     up = np.maximum(exponent - 1 - MANTISSA, 0).astype(np.uint64)
     down = np.maximum(MANTISSA + 1 - exponent, 0).astype(np.uint64)
     mantissa = ((rest >> up) << down) & np.uint64((1 << MANTISSA) - 1)
-    out = np.zeros(REGISTERS, np.uint16)
+    out = np.full(REGISTERS, BORROWED, np.uint16)
     out[filled] = ((53 - exponent) << MANTISSA) | mantissa.astype(np.int64)
     if len(filled) < REGISTERS:
-        empty = np.ones(REGISTERS, bool)
-        empty[filled] = False
-        out[empty] = out[filled[_LENDER[np.ix_(np.flatnonzero(empty), filled)].argmax(1)]] | BORROWED
+        banded = _ORDER[: BANDS * BAND_ROWS]
+        empty = banded[out[banded] == BORROWED]
+        out[empty] = out[filled[_LENDER[np.ix_(empty, filled)].argmax(1)]] | BORROWED
     return out[_ORDER]
 
 
@@ -179,17 +179,20 @@ def _cross_pairs(members: DataFrame, sets: DataFrame, percent: int, chunk: int)
     A bucket is cut into chunks of about ``chunk`` members and every two chunks meet in one
     bounded group, where signatures are compared as blocks; only surviving pairs leave it.
     """
-    sized = members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"))
-    dealt = members.join(sized, "band").withColumn("c", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    sized = members.groupBy("index", "band").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"))
+    dealt = members.join(sized, ["index", "band"]).withColumn("c", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
-        "band", F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"), "c", "rep", "component"
+        "index", "band", F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"), "c", "rep", "component"
+    )
+    rows = met.join(sets, "rep").repartition("index", "band", "i", "j").sortWithinPartitions(
+        "index", "band", "i", "j", "c", "rep"
     )
-    rows = met.join(sets, "rep").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "c", "rep")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, i, j), t in runs(batches, ["band", "i", "j"]):
+        for (index, _, i, j), t in runs(batches, ["index", "band", "i", "j"]):
             rep, comp, n, c = (t.column(x).to_numpy() for x in ("rep", "component", "n", "c"))
             sig = _sigs(t, "sig")
+            banded = sig[:, : BANDS * BAND_ROWS].reshape(-1, BANDS, BAND_ROWS)
             inside = i == j
             found_a, found_b = [], []
             for k in range(len(rep) - 1):
@@ -203,14 +206,17 @@ def _cross_pairs(members: DataFrame, sets: DataFrame, percent: int, chunk: int)
                     continue
                 est, low = estimate(sig[k], sig[rest], n[k : k + 1], n[rest], percent / 100)
                 near = rest[est >= low]
+                # A pair that shares several bands is emitted in the first of them.
+                shared = (banded[k] == banded[near]).all(-1)
+                near = near[shared.argmax(-1) == index]
                 found_a += [rep[k]] * len(near)
                 found_b += rep[near].tolist()
             if found_a:
                 lo, hi = np.minimum(found_a, found_b), np.maximum(found_a, found_b)
                 yield pa.RecordBatch.from_arrays([pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], ["a", "b"])
 
-    wanted = ["band", "i", "j", "c", "rep", "component", "n", "sig"]
-    return rows.select(*wanted).mapInArrow(compare, "a long, b long").distinct()
+    wanted = ["index", "band", "i", "j", "c", "rep", "component", "n", "sig"]
+    return rows.select(*wanted).mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(
@@ -218,11 +224,11 @@ def near_duplicates(
 ) -> DataFrame:
     """Group documents whose sets of ``words``-word shingles have a Jaccard similarity of percent/100 or more.
 
-    1. Every text becomes 256 HyperMinHash registers of 16 bits.  Equal sets meet by a 128-bit
+    1. Every text becomes 512 HyperMinHash registers of 16 bits.  Equal sets meet by a 128-bit
        fingerprint; only the smallest id of each goes on, so copies are never paired.
     2. 32 bands of 5 registers: a pair at 0.8 meets in at least one with probability 1 - 3e-6.
     3. Each member of a band bucket is paired with the bucket's smallest id (a star, not all pairs).
-       Pairs whose corrected estimate lies five deviations and one register below the threshold go;
+       Pairs whose corrected estimate lies 4.5 deviations and a register below the threshold go;
        the others are confirmed on full sets; components follow.
     4. Buckets that still hold several components are compared fully, in blocks of ``chunk``
        members, and the survivors confirmed.  So a star through a wrong centre loses no link.
@@ -245,9 +251,10 @@ def near_duplicates(
     )
     width = 2 * BAND_ROWS
     band = lambda i: F.xxhash64(i, F.expr("sig").substr(i * width + 1, F.lit(width)))
-    bands = sets.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)).alias("band"))
-    leads = bands.groupBy("band").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last")
-    multi = keep(bands.join(leads.select("band", "lead"), "band"), "multi")
+    every = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)
+    bands = sets.select("rep", F.posexplode(every).alias("index", "band"))
+    leads = bands.groupBy("index", "band").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last")
+    multi = keep(bands.join(leads.select("index", "band", "lead"), ["index", "band"]), "multi")
     lean = sets.select("rep", "n", "sig")
 
     stars = multi.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
@@ -255,10 +262,10 @@ def near_duplicates(
     links = keep(confirmed(tried, docs, words, percent), "links")
     first = keep(components(links), "first")
 
-    member = multi.select("rep", "band").join(first.withColumnRenamed("node", "rep"), "rep", "left")
+    member = multi.select("rep", "index", "band").join(first.withColumnRenamed("node", "rep"), "rep", "left")
     member = member.withColumn("component", F.coalesce("component", "rep"))
-    mixed = member.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    mixed = keep(member.join(mixed.select("band"), "band"), "mixed")
+    mixed = member.groupBy("index", "band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    mixed = keep(member.join(mixed.select("index", "band"), ["index", "band"]), "mixed")
     rest = _cross_pairs(mixed, lean, percent, chunk).join(tried, ["a", "b"], "left_anti")
     more = keep(confirmed(rest, docs, words, percent), "more")
     final = components(links.union(more)) if more.limit(1).count() else first
