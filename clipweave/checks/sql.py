@@ -25,7 +25,7 @@ TABLES: dict[str, str] = {
         SELECT video_id, seg_idx::INT AS seg_idx, ' ' || sentence AS text,
                began / 10.0::DOUBLE AS start_s, (began + 4 * n - seg_idx % 3) / 10.0::DOUBLE AS end_s FROM timed""",
     "videos": """
-        SELECT doc_id AS video_id, substr(text, 1, 60) AS title,
+        SELECT doc_id AS video_id, text AS title,
                ([1920, 1280, 640, 3840, 400])[doc_id % 5 + 1] AS width,
                ([1080, 720, 480, 2160, 854])[doc_id % 5 + 1] AS height,
                ([30, 25, 24, 60, 30])[doc_id % 5 + 1]::DOUBLE AS fps,

@@ -22,8 +22,6 @@ STREAM_CONF = {
     ),
     "spark.sql.session.timeZone": "UTC",
 }
-# Local state stores are opened per partition and batch; a few are enough here.
-LOCAL_STATE_PARTITIONS = "4"
 SENTINEL = -1
 
 
@@ -31,12 +29,12 @@ def stage_dir(spark: SparkSession) -> str:
     return f"{ensure_checkpoint_dir(spark)}/stage-{uuid.uuid4().hex}"
 
 
-def stream_session(spark: SparkSession) -> SparkSession:
+def stream_session(spark: SparkSession, partitions: int | None = None) -> SparkSession:
+    """A session for streams; ``partitions``: number of state partitions, else that of ``spark``."""
     session = spark.newSession()
     for key, value in STREAM_CONF.items():
         session.conf.set(key, value)
-    if spark.sparkContext.master.startswith("local"):
-        session.conf.set("spark.sql.shuffle.partitions", LOCAL_STATE_PARTITIONS)
+    session.conf.set("spark.sql.shuffle.partitions", partitions or spark.conf.get("spark.sql.shuffle.partitions"))
     return session
 
 

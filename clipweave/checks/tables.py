@@ -89,7 +89,7 @@ def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return load(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("video_id"),
-        F.substring("text", 1, 60).alias("title"),
+        F.col("text").alias("title"),
         by_kind(1920, 1280, 640, 3840, 400).alias("width"),
         by_kind(1080, 720, 480, 2160, 854).alias("height"),
         by_kind(30.0, 25.0, 24.0, 60.0, 30.0).alias("fps"),

@@ -24,7 +24,7 @@ def parse_highlight(
     to whole seconds first.  A list holding one object is read as that object.
     Failed rows stay in the table with null times.  ``keep`` names columns to carry.
     """
-    raw = F.trim(F.col(column))
+    raw = F.regexp_replace(F.col(column), r"(?U)^\s+|\s+$", "")
     read = compute_once(replies.select("video_id", *keep, raw.alias("_raw")), "_r", _reply(F.col("_raw")))
     start, stop = _seconds(F.col("_r.start")), _seconds(F.col("_r.end"))
     missing = F.col("_r.start").isNull() | F.col("_r.end").isNull() | F.col("_r.content").isNull()
