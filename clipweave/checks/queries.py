@@ -192,13 +192,14 @@ def _styled(spark, d):
     third = F.pmod(F.col("seg_idx"), F.lit(3)) == 2
     override = F.create_map(
         F.lit("fontsize"), F.lit("15"),
-        F.lit("margin_bottom"), F.lit("100"),
-        F.lit("fade_duration"), F.lit("0.1"),
+        F.lit("margin_bottom"), F.when(F.pmod(F.col("seg_idx"), F.lit(7)) != 4, "100"),
+        F.lit("fade_duration"), F.when(F.pmod(F.col("seg_idx"), F.lit(11)) != 6, "0.1"),
         F.lit("animation_style"), F.when(third, F.lit("none")).otherwise(F.lit("fade")),
         F.lit("position"), F.when(third, F.lit("center,center")).otherwise(F.lit("center,bottom")),
         F.lit("color"), F.col("color"),
     )
-    return plan_rows.withColumn("style", op.merge_style(op.default_style(), override))
+    given = F.map_filter(override, lambda _, x: x.isNotNull())
+    return plan_rows.withColumn("style", op.merge_style(op.default_style(), given))
 
 
 @query
@@ -211,7 +212,7 @@ def merge_style(spark, d):
 def overlay_style(spark, d):
     dims = t.sizes(spark, d).select("video_id", "width", "height")
     styled = _styled(spark, d).join(dims, "video_id").withColumn("text_h", F.lit(40))
-    return op.overlay_style(styled).select("video_id", "seg_idx", "box_width", "fade_s", "pos_y", "shown_s")
+    return op.overlay_style(styled).select("video_id", "seg_idx", "box_width", "fade_s", "pos_y", "shown_s", "style_status")
 
 
 @query
@@ -365,6 +366,8 @@ def _stages(spark, d):
         .select("video_id", "duration_s")
         .join(counts, "video_id", "left")
         .join(parsed, "video_id", "left")
+        .join(t.sizes(spark, d).select("video_id", "width", "height"), "video_id")
+        .withColumn("n_segments", F.when(F.pmod(v, F.lit(50)) == 9, 0).otherwise(F.col("n_segments")))
         .withColumn("has_video", F.pmod(v, F.lit(50)) != 7)
         .withColumn("has_audio", F.pmod(v, F.lit(50)) != 8)
         .withColumn("decision", decision.otherwise("approve"))

@@ -33,7 +33,10 @@ TABLES: dict[str, str] = {
         FROM documents JOIN (SELECT video_id, max(end_s) AS m FROM segments GROUP BY 1) ON video_id = doc_id""",
     "replies": """
         SELECT doc_id AS video_id, CASE
-            WHEN doc_id % 8 = 0 THEN ok WHEN doc_id % 8 = 1 THEN '[' || ok || ']'
+            WHEN doc_id % 8 = 0 THEN ok WHEN doc_id % 16 = 9 THEN chr(10) || '[' || ok || ']' || chr(9)
+            WHEN doc_id % 32 = 18 THEN chr(10)
+            WHEN doc_id % 32 = 14 THEN '{"start": 100000, "content": "clip", "end": 100060}'
+            WHEN doc_id % 8 = 1 THEN '[' || ok || ']'
             WHEN doc_id % 16 = 2 THEN '' WHEN doc_id % 8 = 2 THEN '{"topic": "none"}'
             WHEN doc_id % 8 = 3 THEN '{"start": -5, "content": "clip", "end": 60}'
             WHEN doc_id % 8 = 4 THEN '{"start": 90, "content": "clip", "end": 30.5}'
@@ -152,10 +155,10 @@ TABLES: dict[str, str] = {
                json_extract_string(r, '$.content') AS content FROM parsed0""",
     "parsed2": """
         SELECT *, trunc(TRY_CAST(a AS DOUBLE))::INT AS s, trunc(TRY_CAST(b AS DOUBLE))::INT AS e FROM parsed1""",
-    "parsed": """
+    "parsed": r"""
         SELECT video_id, status, CASE WHEN status = 'ok' THEN s END AS start_s, CASE WHEN status = 'ok' THEN e END AS stop_s,
                CASE WHEN status = 'ok' THEN content END AS content
-        FROM (SELECT *, CASE WHEN coalesce(trim(response), '') IN ('', 'null') THEN 'empty'
+        FROM (SELECT *, CASE WHEN coalesce(regexp_replace(response, '^\s+|\s+$', '', 'g'), '') IN ('', 'null') THEN 'empty'
                              WHEN a IS NULL OR b IS NULL OR content IS NULL THEN 'bad_structure'
                              WHEN s IS NULL OR e IS NULL THEN 'unparseable'
                              WHEN s < 0 OR e < 0 THEN 'negative'
@@ -245,10 +248,11 @@ TABLES: dict[str, str] = {
              AND b.end_s - a.start_s BETWEEN 110.0::DOUBLE AND 130.0::DOUBLE""",
     "scored": """
         SELECT *, -abs(span_s - 120.0::DOUBLE) AS score,
-               row_number() OVER (PARTITION BY video_id ORDER BY -abs(span_s - 120.0::DOUBLE) DESC, start_s, end_s, first_idx, last_idx) AS rn,
-               row_number() OVER (PARTITION BY video_id ORDER BY -abs(span_s - 120.0::DOUBLE) DESC,
-                   (first_idx::BIGINT * 2654435761 + last_idx::BIGINT * 40503) % 4294967296, first_idx, last_idx) AS turn
-        FROM spans""",
+               row_number() OVER (PARTITION BY video_id ORDER BY -abs(span_s - 120.0::DOUBLE) DESC, spot, first_idx, last_idx) AS turn,
+               row_number() OVER (PARTITION BY video_id ORDER BY passes DESC, CASE WHEN passes THEN -abs(span_s - 120.0::DOUBLE) END DESC,
+                   spot, first_idx, last_idx) AS clip_turn
+        FROM (SELECT *, (first_idx::BIGINT * 2654435761 + last_idx::BIGINT * 40503) % 4294967296 AS spot,
+                     trunc(start_s) > 0 AND trunc(end_s) > trunc(start_s) AS passes FROM spans)""",
     "greedy": """
         SELECT video_id, list_reduce(l, lambda acc, x: CASE
                    WHEN len(list_filter(acc, lambda k: k.start_s < x[1].end_s AND x[1].start_s < k.end_s)) > 0 THEN acc
@@ -256,13 +260,21 @@ TABLES: dict[str, str] = {
         FROM (SELECT video_id, list([{'first_idx': first_idx, 'last_idx': last_idx, 'start_s': start_s, 'end_s': end_s,
                                       'span_s': span_s, 'score': score}] ORDER BY turn) AS l
               FROM scored GROUP BY 1)""",
+    "greedy_clips": """
+        SELECT video_id, list_reduce(l, lambda acc, x: CASE
+                   WHEN len(list_filter(acc, lambda k: k.start_s < x[1].end_s AND x[1].start_s < k.end_s)) > 0 THEN acc
+                   ELSE list_concat(acc, x) END) AS kept
+        FROM (SELECT video_id, list([{'first_idx': first_idx, 'last_idx': last_idx, 'start_s': start_s, 'end_s': end_s,
+                                      'span_s': span_s, 'score': score}] ORDER BY clip_turn) AS l
+              FROM scored GROUP BY 1)""",
     "outcomes": """
-        SELECT video_id, status, CASE WHEN status IN ('highlight_failed', 'crashed', 'out_of_range') THEN 1 ELSE 0 END AS exit_code
+        SELECT video_id, status, CASE WHEN status IN ('highlight_failed', 'crashed', 'out_of_range', 'too_narrow') THEN 1 ELSE 0 END AS exit_code
         FROM (SELECT v.video_id, CASE WHEN v.video_id % 50 = 7 THEN 'no_video' WHEN v.video_id % 50 = 8 THEN 'no_audio'
-                     WHEN n IS NULL THEN 'no_transcript' WHEN status <> 'ok' THEN 'highlight_failed'
+                     WHEN n IS NULL OR v.video_id % 50 = 9 THEN 'no_transcript' WHEN status <> 'ok' THEN 'highlight_failed'
                      WHEN v.video_id % 11 = 3 THEN 'cancelled' WHEN v.video_id % 11 = 5 THEN 'crashed'
                      WHEN NOT (start_s > 0 AND stop_s > 0 AND stop_s > start_s) THEN 'bad_highlight'
-                     WHEN start_s >= duration_s - 0.1::DOUBLE THEN 'out_of_range' ELSE 'success' END AS status
+                     WHEN start_s >= duration_s - 0.1::DOUBLE THEN 'out_of_range'
+                     WHEN width < trunc(height * 9 / 16) - trunc(height * 9 / 16) % 2 THEN 'too_narrow' ELSE 'success' END AS status
               FROM videos v JOIN parsed USING (video_id)
               LEFT JOIN (SELECT video_id, count(*) AS n FROM segments GROUP BY 1) USING (video_id))""",
     "nms_kept": """
@@ -310,11 +322,9 @@ _STYLE = {
     "animation_style": "CASE WHEN seg_idx % 3 = 2 THEN 'none' ELSE 'fade' END",
     "bg_opacity": "'0.7'",
     "color": "color",
-    "fade_duration": "'0.1'",
     "font": "'DejaVu-Sans-Bold'",
     "fontsize": "'15'",
     "line_height": "'1.2'",
-    "margin_bottom": "'100'",
     "position": "CASE WHEN seg_idx % 3 = 2 THEN 'center,center' ELSE 'center,bottom' END",
     "stroke_color": "'black'",
     "stroke_width": "'1'",
@@ -387,12 +397,19 @@ QUERIES_SQL: dict[str, str] = {
         FROM segments""",
     "overlay_plan": "SELECT video_id, seg_idx, color, start_s, end_s FROM overlays",
     "merge_style": "SELECT video_id, seg_idx, "
-    + " || ';' || ".join(f"'{k}=' || {v}" for k, v in _STYLE.items())
+    + " || ';' || ".join(
+        [f"'{k}=' || {v}" for k, v in _STYLE.items() if k < "fade_duration"]
+        + ["CASE WHEN seg_idx % 11 <> 6 THEN 'fade_duration=0.1;' ELSE '' END || 'font=DejaVu-Sans-Bold;fontsize=15'"]
+        + ["'line_height=1.2;' || CASE WHEN seg_idx % 7 <> 4 THEN 'margin_bottom=100;' ELSE '' END || 'position=' || "
+           + _STYLE["position"]]
+        + [f"'{k}=' || {v}" for k, v in _STYLE.items() if k > "position"]
+    )
     + " AS style FROM overlays",
     "overlay_style": """
         SELECT video_id, seg_idx, trunc(width * 0.8::DOUBLE)::INT AS box_width,
-               CASE WHEN seg_idx % 3 <> 2 THEN least(0.1::DOUBLE, (end_s - start_s) / 2) END AS fade_s,
-               CASE WHEN seg_idx % 3 <> 2 THEN height - 100 - 40 END AS pos_y, end_s - start_s AS shown_s
+               CASE WHEN seg_idx % 3 <> 2 AND seg_idx % 11 <> 6 THEN least(0.1::DOUBLE, (end_s - start_s) / 2) END AS fade_s,
+               CASE WHEN seg_idx % 3 <> 2 AND seg_idx % 7 <> 4 THEN height - 100 - 40 END AS pos_y, end_s - start_s AS shown_s,
+               CASE WHEN seg_idx % 3 <> 2 AND (seg_idx % 11 = 6 OR seg_idx % 7 = 4) THEN 'missing_key' ELSE 'ok' END AS style_status
         FROM overlays JOIN videos USING (video_id)""",
     "scale_boxes": """
         SELECT video_id, frame_no, det_idx, confidence,
@@ -437,22 +454,23 @@ QUERIES_SQL: dict[str, str] = {
     "item_outcomes": "SELECT video_id, status, exit_code FROM outcomes",
     "settle_attempts": "SELECT * FROM settled",
     "batch_outcomes": """
-        SELECT line_no, item, status, CASE WHEN status IN ('highlight_failed', 'crashed', 'out_of_range') THEN 1 ELSE 0 END AS exit_code
+        SELECT line_no, item, status, CASE WHEN status IN ('highlight_failed', 'crashed', 'out_of_range', 'too_narrow') THEN 1 ELSE 0 END AS exit_code
         FROM (SELECT d.doc_id AS line_no, 'https://example.org/watch/' || d.doc_id AS item, CASE
                   WHEN lang = 'es' THEN 'no_video' WHEN lang = 'fr' THEN 'no_audio' WHEN n IS NULL THEN 'no_transcript'
                   WHEN NOT coalesce(highlight_ok, false) THEN 'highlight_failed' WHEN decision = 'cancel' THEN 'cancelled'
                   WHEN decision = 'regenerate_failed' THEN 'crashed'
                   WHEN NOT (start_s > 0 AND stop_s > 0 AND stop_s > start_s) THEN 'bad_highlight'
-                  WHEN start_s >= duration_s - 0.1::DOUBLE THEN 'out_of_range' ELSE 'success' END AS status
+                  WHEN start_s >= duration_s - 0.1::DOUBLE THEN 'out_of_range'
+                  WHEN width < trunc(height * 9 / 16) - trunc(height * 9 / 16) % 2 THEN 'too_narrow' ELSE 'success' END AS status
               FROM documents d JOIN videos v ON v.video_id = d.doc_id LEFT JOIN settled s ON s.video_id = d.doc_id
               LEFT JOIN (SELECT video_id AS n FROM segments GROUP BY 1) ON n = d.doc_id)""",
     "many_clips": """
         SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY s) - 1 AS clip_idx, s AS start_s,
-               least(e::DOUBLE, top) AS end_s, least(e::DOUBLE, top) - s AS clip_s
+               least(e::DOUBLE, top) AS end_s, least(e::DOUBLE, top) - s AS clip_s,
+               CASE WHEN s <= 0 OR e <= s THEN 'bad_highlight' WHEN s >= top THEN 'out_of_range' ELSE 'ok' END AS clip_status
         FROM (SELECT video_id, trunc(k.start_s)::INT AS s, trunc(k.end_s)::INT AS e
-              FROM (SELECT video_id, unnest(kept) AS k FROM greedy))
-        JOIN (SELECT video_id, duration_s - 0.1::DOUBLE AS top FROM videos) USING (video_id)
-        WHERE s > 0 AND e > s AND s < top""",
+              FROM (SELECT video_id, unnest(kept) AS k FROM greedy_clips))
+        JOIN (SELECT video_id, duration_s - 0.1::DOUBLE AS top FROM videos) USING (video_id)""",
     "take_until": """
         SELECT line_no, success FROM (
             SELECT o_orderkey AS line_no, o_orderstatus = 'F' AS success,
@@ -460,10 +478,10 @@ QUERIES_SQL: dict[str, str] = {
         WHERE before < 200""",
     "sentence_edges": "SELECT video_id, seg_idx, opens, closes FROM edges",
     "candidate_spans": "SELECT * FROM spans",
-    "best_span": "SELECT video_id, first_idx, last_idx, start_s, end_s, span_s, score FROM scored WHERE rn = 1",
+    "best_span": "SELECT video_id, first_idx, last_idx, start_s, end_s, span_s, score FROM scored WHERE turn = 1",
     "span_text": r"""
         SELECT s.video_id, first_idx, last_idx, string_agg(regexp_replace(text, '^\s+|\s+$', '', 'g'), ' ' ORDER BY seg_idx) AS content
-        FROM scored s JOIN segments g ON g.video_id = s.video_id AND seg_idx BETWEEN first_idx AND last_idx WHERE rn = 1 GROUP BY ALL""",
+        FROM scored s JOIN segments g ON g.video_id = s.video_id AND seg_idx BETWEEN first_idx AND last_idx WHERE turn = 1 GROUP BY ALL""",
     "all_spans": "SELECT video_id, unnest(kept, recursive := true) FROM greedy",
     "fill_track": """
         SELECT video_id, frame_no, last_value(x IGNORE NULLS) OVER w AS x, last_value(y IGNORE NULLS) OVER w AS y,

@@ -123,7 +123,10 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     valid = reply(F.concat((at + 1).cast("string"), F.lit(".5")), F.concat((at + 120).cast("string"), F.lit(".7")))
     text = (
         F.when(case == 0, valid)
+        .when(F.pmod(d, F.lit(16)) == 9, F.concat(F.lit("\n["), valid, F.lit("]\t")))
         .when(case == 1, F.concat(F.lit("["), valid, F.lit("]")))
+        .when(F.pmod(d, F.lit(32)) == 18, "\n")
+        .when(F.pmod(d, F.lit(32)) == 14, reply("100000", "100060"))
         .when(F.pmod(d, F.lit(16)) == 2, "")
         .when(case == 2, '{"topic": "none"}')
         .when(case == 3, reply("-5", "60"))
@@ -166,7 +169,8 @@ def batch_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     fetched = load(spark, sf_dir, "documents").where(F.col("lang") != "es").select(
         F.col("doc_id").alias("video_id"), url.alias("item"), (F.col("lang") != "fr").alias("has_audio")
     )
-    return fetched.join(durations(spark, sf_dir), "video_id")
+    frame = sizes(spark, sf_dir).select("video_id", "width", "height")
+    return fetched.join(durations(spark, sf_dir), "video_id").join(frame, "video_id")
 
 
 def _text(c: Column | str) -> Column:

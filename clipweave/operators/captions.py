@@ -150,10 +150,13 @@ def merge_style(base: Column, override: Column) -> Column:
 def overlay_style(overlays: DataFrame, style: str = "style") -> DataFrame:
     """Box width, fade and vertical place from the merged style of each overlay.
 
-    Needs ``width``, ``height``, ``text_h``, ``start_s`` and ``end_s``.  Without a
-    fade length there is no fade; without a bottom margin there is no place.
+    Needs ``width``, ``height``, ``text_h``, ``start_s`` and ``end_s``.  A fade without
+    a length, or a place at the bottom without a margin, cannot be drawn:
+    ``style_status`` is then ``missing_key``, otherwise ``ok``.
     """
     value = lambda key: F.col(style)[key]
+    bare = lambda kind, wanted, key: (value(kind) == wanted) & value(key).isNull()
+    broken = bare("animation_style", "fade", "fade_duration") | bare("position", "center,bottom", "margin_bottom")
     shown = F.col("end_s") - F.col("start_s")
     fade = value("fade_duration").try_cast("double")
     y = F.col("height") - value("margin_bottom").try_cast("int") - F.col("text_h")
@@ -164,4 +167,5 @@ def overlay_style(overlays: DataFrame, style: str = "style") -> DataFrame:
         F.when((value("animation_style") == "fade") & (fade > 0), F.least(fade, shown / 2)).alias("fade_s"),
         F.when(value("position") == "center,bottom", y).alias("pos_y"),
         shown.alias("shown_s"),
+        F.when(broken, "missing_key").otherwise("ok").alias("style_status"),
     )

@@ -52,14 +52,19 @@ def gate_highlights(highlights: DataFrame) -> DataFrame:
 
     A start of exactly 0 parses fine but does not pass here.
     """
-    start, stop = F.col("start_s"), F.col("stop_s")
-    return highlights.where((start > 0) & (stop > 0) & (stop > start))
+    return highlights.where(passes_gate(F.col("start_s"), F.col("stop_s")))
+
+
+def passes_gate(start: Column, stop: Column) -> Column:
+    """May this range be cut?  False for missing times."""
+    return F.coalesce((start > 0) & (stop > 0) & (stop > start), F.lit(False))
 
 
 def clamp_clip(highlights: DataFrame, videos: DataFrame) -> DataFrame:
     """Clip range in source time; the end stays 0.1 s before the end of the video.
 
-    A start beyond that point has no clip: status ``out_of_range``.
+    A start beyond that point has no clip: status ``out_of_range``.  A range that does
+    not pass the gate has status ``bad_highlight``.
     """
     limit = F.col("_length") - F.lit(END_MARGIN_S)
     lengths = videos.select("video_id", F.col("duration_s").alias("_length"))
@@ -69,7 +74,10 @@ def clamp_clip(highlights: DataFrame, videos: DataFrame) -> DataFrame:
         "start_s",
         end.alias("end_s"),
         (end - F.col("start_s")).alias("clip_s"),
-        F.when(F.col("start_s") >= limit, "out_of_range").otherwise("ok").alias("clip_status"),
+        F.when(~passes_gate(F.col("start_s"), F.col("stop_s")), "bad_highlight")
+        .when(F.col("start_s") >= limit, "out_of_range")
+        .otherwise("ok")
+        .alias("clip_status"),
     )
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clipweave.functions import vertical_width
+from clipweave.operators.highlights import END_MARGIN_S, passes_gate
 from clipweave.operators.ordered import position_chunk, running_sum
 
 
@@ -74,6 +76,7 @@ EXIT_CODES = {
     "crashed": 1,
     "bad_highlight": 0,
     "out_of_range": 1,
+    "too_narrow": 1,
     "success": 0,
 }
 
@@ -83,7 +86,8 @@ def item_outcomes(stages: DataFrame) -> DataFrame:
 
     ``stages`` needs ``has_video``, ``has_audio``, ``n_segments``,
     ``highlight_ok``, ``decision`` (approve, cancel, regenerate_failed),
-    ``start_s``, ``stop_s`` and ``duration_s``.
+    ``start_s``, ``stop_s``, ``duration_s``, ``width`` and ``height``.  A frame that is
+    narrower than its vertical crop leaves no cropped file, and the run fails on it.
     """
     start, stop = F.col("start_s"), F.col("stop_s")
     rules = [
@@ -93,8 +97,9 @@ def item_outcomes(stages: DataFrame) -> DataFrame:
         (~F.coalesce(F.col("highlight_ok"), F.lit(False)), "highlight_failed"),
         (F.col("decision") == "cancel", "cancelled"),
         (F.col("decision") == "regenerate_failed", "crashed"),
-        (~((start > 0) & (stop > 0) & (stop > start)), "bad_highlight"),
-        (start >= F.col("duration_s") - F.lit(0.1), "out_of_range"),
+        (~passes_gate(start, stop), "bad_highlight"),
+        (start >= F.col("duration_s") - F.lit(END_MARGIN_S), "out_of_range"),
+        (F.col("width") < vertical_width(F.col("height")), "too_narrow"),
     ]
     status = _first_true(rules, "success")
     codes = F.create_map(*[F.lit(x) for kv in EXIT_CODES.items() for x in kv])

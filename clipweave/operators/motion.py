@@ -30,12 +30,13 @@ def motion_centroid(motion: DataFrame, threshold: float = MOTION_THRESHOLD) -> D
     """
     magnitude = F.sqrt(F.col("fx") * F.col("fx") + F.col("fy") * F.col("fy"))
     weight = F.when(magnitude > threshold, F.floor(magnitude * MICRO + F.lit(0.5)).cast("long"))
-    weighed = motion.select("video_id", "sample_no", F.col("x").cast("long").alias("x"), weight.alias("_w"))
-    sums = weighed.groupBy("video_id", "sample_no").agg(
+    part = chunk_key(["video_id"], F.col("sample_no")).alias("_part")
+    weighed = motion.select(part, F.col("x").cast("long").alias("x"), weight.alias("_w"))
+    sums = weighed.groupBy("_part").agg(
         F.sum(F.col("x") * F.col("_w")).alias("_xw"), F.sum("_w").alias("_w")
     )
     mean = F.col("_xw").cast("double") / F.col("_w").cast("double")
-    return sums.select("video_id", "sample_no", trunc_int(mean).alias("centroid_x"))
+    return sums.select("_part.video_id", F.col("_part.chunk").alias("sample_no"), trunc_int(mean).alias("centroid_x"))
 
 
 def step(state: Column, target: Column) -> Column:

@@ -104,16 +104,21 @@ def span_text(spans: DataFrame, segments: DataFrame) -> DataFrame:
     parts = (
         wanted.join(words, ["video_id", "_r"])
         .where(F.col("seg_idx").between(F.col("first_idx"), F.col("last_idx")))
-        .groupBy(*SPAN_KEY)
+        .groupBy(F.struct(*SPAN_KEY).alias("_span"))
         .agg(F.array_sort(F.collect_list(F.struct("seg_idx", "_text"))).alias("_parts"))
-        .select(*SPAN_KEY, F.array_join(F.transform("_parts", lambda p: p["_text"]), " ").alias("content"))
+        .select("_span.*", F.array_join(F.transform("_parts", lambda p: p["_text"]), " ").alias("content"))
     )
     return spans.join(parts, SPAN_KEY)
 
 
 def _ranking(score: Column) -> list[Column]:
-    """Highest score first; ties go to the earlier, then the shorter span."""
-    return [score.desc(), F.col("start_s"), F.col("end_s"), F.col("first_idx"), F.col("last_idx")]
+    """Highest score first; ties go to the smaller scattered number, see ``all_spans``."""
+    return [score.desc(), _scattered(), F.col("first_idx"), F.col("last_idx")]
+
+
+def _scattered() -> Column:
+    first, last = F.col("first_idx").cast("long"), F.col("last_idx").cast("long")
+    return F.pmod(first * SCATTER_FIRST + last * SCATTER_LAST, F.lit(SCATTER_RANGE))
 
 
 def best_span(spans: DataFrame, score: Column) -> DataFrame:
@@ -166,7 +171,7 @@ def all_spans(
 ) -> DataFrame:
     """Every good span: the best first, then the best that overlaps none taken yet.
 
-    ``single`` returns only the best one.  Exact and parallel within a video: time is
+    ``single`` returns only the best one, which is also the first of all.  Exact and parallel within a video: time is
     cut into chunks and each chunk is settled on its own, except for spans that
     depend on a neighbour chunk.  Those few are settled in further rounds with the
     cuts moved by half a chunk.  A video shorter than a chunk needs one round.
@@ -179,11 +184,7 @@ def all_spans(
         return best_span(spans, score)
     spark = spans.sparkSession
     ensure_checkpoint_dir(spark)
-    scattered = F.pmod(
-        F.col("first_idx").cast("long") * SCATTER_FIRST + F.col("last_idx").cast("long") * SCATTER_LAST,
-        F.lit(SCATTER_RANGE),
-    )
-    open_spans = spans.withColumn("score", score).withColumn("_tie", scattered)
+    open_spans = spans.withColumn("score", score).withColumn("_tie", _scattered())
     names = open_spans.columns
     schema = open_spans.withColumn("_touched", F.lit(0)).withColumn("_fate", F.lit(0)).schema
     chosen = None
@@ -201,10 +202,10 @@ def all_spans(
         inside = fates.where((F.col("_touched") == 1) & (F.col("_fate") == _OPEN)).select(*names)
         across = (
             fates.where(F.col("_touched") > 1)
-            .groupBy(*names)
+            .groupBy(F.struct(*names).alias("_span"))
             .agg(F.max("_fate").alias("_fate"))
             .where(F.col("_fate") == _OPEN)
-            .select(*names)
+            .select("_span.*")
         )
         open_spans = inside.unionByName(across)
         if open_spans.isEmpty():
@@ -231,4 +232,5 @@ def _settled(placed: DataFrame, schema) -> DataFrame:
         told = pa.array((fate != _REJECTED) | ~alone)
         return rows.append_column("_fate", pa.array(fate)).filter(told).select(columns)
 
-    return placed.groupBy("video_id", "_chunk").applyInArrow(run, schema)
+    part = chunk_key(["video_id"], F.col("_chunk"))
+    return placed.withColumn("_part", part).groupBy("_part").applyInArrow(run, schema)

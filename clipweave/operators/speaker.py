@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clipweave.functions import floor_div
-from clipweave.operators.ordered import fill_forward, position_chunk
+from clipweave.operators.ordered import chunk_key, fill_forward, position_chunk
 
 
 def lip_distance(boxes: DataFrame) -> DataFrame:
@@ -35,10 +35,12 @@ def active_speaker(boxes: DataFrame, frames: DataFrame) -> DataFrame:
     best = (
         lip_distance(boxes)
         .select(
-            "video_id", "frame_no", F.struct("lip", (-F.col("det_idx")).alias("_first"), box.alias("box")).alias("_s")
+            chunk_key(["video_id"], F.col("frame_no")).alias("_part"),
+            F.struct("lip", (-F.col("det_idx")).alias("_first"), box.alias("box")).alias("_s"),
         )
-        .groupBy("video_id", "frame_no")
+        .groupBy("_part")
         .agg(F.max("_s").alias("_s"))
+        .select("_part.video_id", F.col("_part.chunk").alias("frame_no"), "_s")
     )
     return frames.join(best, ["video_id", "frame_no"], "left").select(
         "video_id",

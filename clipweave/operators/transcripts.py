@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipweave.functions import seconds_text
-from clipweave.operators.ordered import position_chunk
+from clipweave.operators.ordered import chunk_key, position_chunk
 
 # Segments per transcript part.  About four hours of speech, so nearly every
 # video has one part; only a longer one is cut into several bounded rows.
@@ -57,12 +57,12 @@ def build_transcript(
     part holds at most ``part_segments`` segments, so no group is unbounded.
     """
     lines = segments.select(
-        "video_id",
-        position_chunk("seg_idx", part_segments).cast("int").alias("part_no"),
+        chunk_key(["video_id"], position_chunk("seg_idx", part_segments).cast("int")).alias("_part"),
         F.struct("seg_idx", transcript_line(sep).alias("line")).alias("_entry"),
     )
     ordered = F.transform(F.array_sort(F.collect_list("_entry")), lambda e: e["line"])
-    return lines.groupBy("video_id", "part_no").agg(F.array_join(ordered, "").alias("transcript"))
+    parts = lines.groupBy("_part").agg(F.array_join(ordered, "").alias("transcript"))
+    return parts.select("_part.video_id", F.col("_part.chunk").alias("part_no"), "transcript")
 
 
 def render_prompt(transcripts: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipweave.functions import clamp, floor_div, trunc_int, vertical_height, vertical_width
+from clipweave.operators.ordered import chunk_key
 
 # Fixed values.
 SHOWN_SHARE = 0.67
@@ -21,6 +22,11 @@ NMS_OVERLAP = 0.45
 NMS_KEEP = 200
 
 
+def _frame() -> Column:
+    """One frame of a video as a grouping value, so that frames of a hot video spread."""
+    return chunk_key(["video_id"], F.col("frame_no"))
+
+
 def vertical_dims(videos: DataFrame) -> DataFrame:
     """Add ``vertical_w``, ``vertical_h`` and ``dims_status`` (``ok`` or ``too_narrow``)."""
     w = vertical_width(F.col("height"))
@@ -89,9 +95,9 @@ def largest_face(
         )
     )
     return (
-        faces.groupBy("video_id", "frame_no")
+        faces.groupBy(_frame().alias("_part"))
         .agg(best.alias("_f"))
-        .select("video_id", "frame_no", "_f.x", "_f.y", "_f.w", "_f.h", "_f.area")
+        .select("_part.video_id", F.col("_part.chunk").alias("frame_no"), "_f.x", "_f.y", "_f.w", "_f.h", "_f.area")
     )
 
 
@@ -135,8 +141,9 @@ def unique_faces(detections: DataFrame, k: int = UNIQUE_FACES) -> DataFrame:
     ]
     seen = (
         detections.select("video_id", *box, F.struct("frame_no", "det_idx").alias("_at"))
-        .groupBy("video_id", "x", "y", "w", "h")
+        .groupBy(F.struct("video_id", "x", "y", "w", "h").alias("_box"))
         .agg(F.min("_at").alias("_at"))
+        .select("_box.*", "_at")
         .withColumn("first_frame", F.col("_at.frame_no"))
     )
     per_video = Window.partitionBy("video_id")
@@ -212,14 +219,15 @@ def nms(
     The detector's own limits bound each group: the ``top`` best boxes enter, found
     with a limit that also runs before the shuffle, and ``keep`` leave.
     """
-    order = Window.partitionBy("video_id", "frame_no").orderBy(F.col("confidence").desc(), "det_idx")
+    order = Window.partitionBy("_part").orderBy(F.col("confidence").desc(), "det_idx")
     entered = (
         detections.where(F.col("confidence") > min_confidence)
+        .withColumn("_part", _frame())
         .withColumn("_n", F.row_number().over(order))
         .where(F.col("_n") <= top)
     )
     box = F.struct("_n", "det_idx", "confidence", "x", "y", "x1", "y1")
-    sorted_boxes = entered.groupBy("video_id", "frame_no").agg(F.array_sort(F.collect_list(box)).alias("_b"))
+    sorted_boxes = entered.groupBy("_part").agg(F.array_sort(F.collect_list(box)).alias("_b"))
     kept = F.aggregate(
         "_b",
         F.slice("_b", 1, 0),
@@ -228,7 +236,7 @@ def nms(
         ),
     )
     return sorted_boxes.select(
-        "video_id", "frame_no", F.posexplode(F.slice(kept, 1, keep)).alias("rank", "_k")
+        "_part.video_id", F.col("_part.chunk").alias("frame_no"), F.posexplode(F.slice(kept, 1, keep)).alias("rank", "_k")
     ).select(
         "video_id", "frame_no", "rank", "_k.det_idx", "_k.confidence", "_k.x", "_k.y", "_k.x1", "_k.y1"
     )

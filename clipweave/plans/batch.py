@@ -19,7 +19,7 @@ def batch_outcomes(
 ) -> DataFrame:
     """``(line_no, item, status, exit_code)`` for every item of a work list.
 
-    ``videos`` is ``(item, video_id, has_audio, duration_s)`` with one row per
+    ``videos`` is ``(item, video_id, has_audio, duration_s, width, height)`` with one row per
     item that could be fetched; ``replies`` ``(video_id, attempt, response)``;
     ``decisions`` ``(video_id, attempt, decision)``.  Without decisions everything
     is approved.  An item listed twice has two outcomes.

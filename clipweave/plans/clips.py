@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clipweave.functions import output_name, session_key
 from clipweave.operators.captions import clip_captions
-from clipweave.operators.highlights import clamp_clip, gate_highlights, parse_highlight
+from clipweave.operators.highlights import clamp_clip, gate_highlights, parse_highlight, passes_gate
 from clipweave.operators.ordered import dense_index
 from clipweave.operators.spans import all_spans
 from clipweave.operators.vision import largest_face, static_crop, vertical_dims
@@ -23,18 +23,23 @@ def single_clips(responses: DataFrame, videos: DataFrame) -> DataFrame:
 
 
 def many_clips(spans: DataFrame, score: Column, videos: DataFrame, single: bool = False) -> DataFrame:
-    """Clips for every good span of a video, numbered in time order, or for the best only."""
-    picked = all_spans(spans, score, single)
+    """Clips for every good span of a video, numbered in time order, or for the best only.
+
+    Nothing is dropped: ``clip_status`` is ``ok``, ``bad_highlight`` or ``out_of_range``.
+    Spans that do not pass the gate rank below all others, so they push none out.
+    """
+    cut = passes_gate(F.col("start_s").cast("int"), F.col("end_s").cast("int"))
+    picked = all_spans(spans, F.when(cut, score.cast("double")).otherwise(float("-inf")), single)
     whole = picked.select(
         "video_id",
         F.col("start_s").cast("int").alias("start_s"),
         F.col("end_s").cast("int").alias("stop_s"),
     )
-    ranges = clamp_clip(gate_highlights(whole), videos).where(F.col("clip_status") == "ok")
+    ranges = clamp_clip(whole, videos)
     day = F.floor(F.col("start_s") / F.lit(86400))
     numbered = dense_index(ranges, ["video_id"], day, [F.col("start_s")], "_n")
     return numbered.select(
-        "video_id", F.col("_n").cast("int").alias("clip_idx"), "start_s", "end_s", "clip_s"
+        "video_id", F.col("_n").cast("int").alias("clip_idx"), "start_s", "end_s", "clip_s", "clip_status"
     )
 
 

@@ -83,9 +83,16 @@ def test_many_clips_numbers_in_time_order(spark):
     )
     videos = spark.createDataFrame([(1, 600.0)], "video_id INT, duration_s DOUBLE")
     score = -F.abs(F.col("end_s") - F.col("start_s") - 120)
-    # A clip that starts at 0 does not pass the gate; the last one is cut at the end.
-    assert rows(many_clips(spans, score, videos)) == [(1, 0, 120, 240.0, 120.0), (1, 1, 500, 599.9, 99.89999999999998)]
-    assert [r.start_s for r in many_clips(spans, -F.col("start_s"), videos, single=True).collect()] == []
+    # A clip that starts at 0 does not pass the gate but stays; the last one is cut at the end.
+    assert rows(many_clips(spans, score, videos)) == [
+        (1, 0, 0, 120.0, 120.0, "bad_highlight"),
+        (1, 1, 120, 240.0, 120.0, "ok"),
+        (1, 2, 500, 599.9, 99.89999999999998, "ok"),
+    ]
+    # It pushes out no span that passes, and is still there where nothing else is.
+    assert [r.start_s for r in many_clips(spans, -F.col("start_s"), videos, single=True).collect()] == [60]
+    alone = many_clips(spans.where("first_idx = 0"), score, videos, single=True)
+    assert [(r.start_s, r.clip_status) for r in alone.collect()] == [(0, "bad_highlight")]
 
 
 def test_attempts_end_at_the_first_that_is_not_regenerated(spark):

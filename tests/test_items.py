@@ -74,7 +74,7 @@ def test_take_until_over_many_chunks(spark):
 def test_outcomes(spark):
     schema = (
         "item STRING, has_video BOOLEAN, has_audio BOOLEAN, n_segments INT, highlight_ok BOOLEAN,"
-        "decision STRING, start_s INT, stop_s INT, duration_s DOUBLE"
+        "decision STRING, start_s INT, stop_s INT, duration_s DOUBLE, width INT, height INT"
     )
     data = [
         ("1", False, False, 0, False, None, None, None, None),
@@ -86,7 +86,9 @@ def test_outcomes(spark):
         ("7", True, True, 5, True, "approve", 0, 50, 100.0),
         ("8", True, True, 5, True, "approve", 100, 150, 100.0),
         ("9", True, True, 5, True, "approve", 68, 187, 300.0),
+        ("a", True, True, 5, True, "approve", 68, 187, 300.0),
     ]
+    data = [(*row, 400 if row[0] == "a" else 1920, 854) for row in data]
     out = op.item_outcomes(spark.createDataFrame(data, schema))
     got = [(r.item, r.status, r.exit_code) for r in out.orderBy("item").collect()]
     assert got == [
@@ -99,6 +101,7 @@ def test_outcomes(spark):
         ("7", "bad_highlight", 0),
         ("8", "out_of_range", 1),
         ("9", "success", 0),
+        ("a", "too_narrow", 1),
     ]
     assert ("success", 0, 1) in rows(op.outcome_funnel(out))
 

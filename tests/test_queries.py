@@ -12,6 +12,7 @@ from clipweave import operators as op
 from clipweave.checks import tables as t
 from clipweave.checks.queries import QUERIES
 from clipweave.checks.sql import ORACLES as SQL
+from clipweave.operators.items import EXIT_CODES
 
 
 @pytest.fixture(scope="module")
@@ -73,6 +74,36 @@ def test_limits_run_before_the_shuffle(spark, sf_dir, tmp_path):
         assert any("Partial" in line and kind in line for line in limits)
 
 
+def test_a_hot_video_is_dealt_anew(spark, sf_dir):
+    """Input dealt by video alone (a bucketed table, a join) gets a further exchange on a finer key."""
+    def by_video(df):
+        return df.repartition(4, "video_id")
+
+    detections, segments = by_video(t.detections(spark, sf_dir, 60)), by_video(t.segments(spark, sf_dir))
+    spans = op.best_span(op.candidate_spans(segments), F.col("span_s"))
+    for df in (
+        op.build_transcript(segments),
+        op.motion_centroid(by_video(t.motion(spark, sf_dir))),
+        op.nms(detections),
+        op.unique_faces(detections),
+        op.largest_face(detections),
+        op.span_text(by_video(spans), segments),
+    ):
+        assert "hashpartitioning(_" in plan_of(df)
+
+
+def test_every_outcome_occurs(spark, sf_dir):
+    funnel = QUERIES["outcome_funnel"](spark, sf_dir)
+    assert {r.status for r in funnel.collect()} == set(EXIT_CODES)
+
+
+def test_best_spans_are_among_all_spans(spark, sf_dir):
+    best, every = QUERIES["best_span"](spark, sf_dir), QUERIES["all_spans"](spark, sf_dir)
+    assert best.join(every, ["video_id", "first_idx", "last_idx"], "left_anti").isEmpty()
+    clips = QUERIES["many_clips"](spark, sf_dir)
+    assert best.join(clips, "video_id", "left_anti").isEmpty()
+
+
 def test_filters_and_columns_reach_the_scan(spark, sf_dir):
     plan = plan_of(QUERIES["zip_audio"](spark, sf_dir))
     assert "props" not in plan and "value" not in plan
