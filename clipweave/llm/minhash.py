@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clipweave.llm.common import keep, runs
-from clipweave.llm.components import components
+from clipweave.llm.components import components, merged
 from clipweave.llm.shingles import shingle_sets
 
 REGISTERS = 512
@@ -268,7 +268,7 @@ def near_duplicates(
     mixed = keep(member.join(mixed.select("index", "band"), ["index", "band"]), "mixed")
     rest = _cross_pairs(mixed, lean, percent, chunk).join(tried, ["a", "b"], "left_anti")
     more = keep(confirmed(rest, docs, words, percent), "more")
-    final = components(links.union(more)) if more.limit(1).count() else first
+    final = merged(first, more) if more.limit(1).count() else first
 
     named = sets.select("fp_a", "fp_b", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left")
     named = keep(named.select("fp_a", "fp_b", F.coalesce("component", "rep").alias("component")), "named")

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from clipweave.llm import minhash
-from clipweave.llm.components import components
+from clipweave.llm.components import components, merged
 from clipweave.llm.queries import QUERIES
 from clipweave.llm.shingles import shingle_sets
 
@@ -118,3 +118,34 @@ def test_components_of_paths_and_stars(spark):
     assert {v for k, v in found.items() if 100 <= k <= 160} == {100}
     assert {v for k, v in found.items() if k == 7 or 500 <= k < 560} == {7}
     assert found[900] == found[901] == 900 and len(found) == 61 + 61 + 2
+
+
+def test_components_settle_and_merge_like_union_find(spark):
+    rng = np.random.default_rng(5)
+    path = [(i, i + 1) for i in range(40)]
+    hub = [(100 + i, 1000) for i in range(30)]
+    loose = [tuple(int(x) for x in rng.integers(200, 400, 2)) for _ in range(120)]
+    more = [(7, 1000), (390, 2000), (3000, 3001), (3001, 3000), (5, 5)]
+
+    def union_find(edges):
+        root = {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        for a, b in edges:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+        return {x: find(x) for x in list(root)}
+
+    given = path + hub + loose + loose[:9]
+    first = components(spark.createDataFrame(given, "a long, b long"))
+    want = union_find(e for e in given if e[0] != e[1])
+    assert {r.node: r.component for r in first.collect()} == want
+    after = merged(first, spark.createDataFrame(more, "a long, b long"))
+    found = [(r.node, r.component) for r in after.collect()]
+    want = union_find(e for e in given + more if e[0] != e[1])
+    assert len(found) == len(set(found)) and {n: c for n, c in found if n in want} == want
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
