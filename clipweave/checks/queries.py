@@ -87,10 +87,15 @@ def pending_transcription(spark, d):
 @query
 def clip_manifest(spark, d):
     return plan.clip_manifest(
-        t.videos(spark, d), t.segments(spark, d), t.responses(spark, d), t.detections(spark, d, 60)
+        t.videos(spark, d), t.segments(spark, d), t.responses(spark, d), t.video_detections(spark, d)
     )
 
 
+@query
+def clip_crops(spark, d):
+    return plan.clip_crops(_clips(spark, d), t.video_detections(spark, d), t.sizes(spark, d))
+
+
 @query
 def temp_file_names(spark, d):
     keyed = t.titles(spark, d).select("page_id", fn.session_key("page_id", "title").alias("session"))

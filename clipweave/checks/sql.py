@@ -197,6 +197,28 @@ TABLES: dict[str, str] = {
                CASE WHEN width < vw THEN NULL WHEN m IS NULL THEN 0
                     ELSE greatest(0, least(m - floor(vw / 2)::INT, width - vw)) END AS x_start
         FROM dims LEFT JOIN medians USING (video_id)""",
+    "seen": """
+        SELECT *, row_number() OVER (PARTITION BY video_id, frame_no ORDER BY l_orderkey, l_linenumber, l_partkey,
+                                     l_quantity, l_extendedprice) - 1 AS det_idx
+        FROM (SELECT b.*, l_orderkey * 7 % floor(duration_s * fps)::BIGINT AS frame_no
+              FROM boxes b JOIN videos v ON b.video_id = v.video_id)""",
+    "clip_faces": """
+        SELECT c.video_id, c.clip_idx, x + floor((x1 - x) / 2)::INT AS centre
+        FROM clips c JOIN videos v ON c.video_id = v.video_id
+        JOIN seen s ON s.video_id = c.video_id AND s.frame_no >= floor(c.start_s * fps)
+                   AND s.frame_no < floor(c.start_s * fps) + 30
+        WHERE x1 - x >= 30 AND y1 - y >= 30
+        QUALIFY row_number() OVER (PARTITION BY c.video_id, c.clip_idx, s.frame_no
+                                   ORDER BY (x1 - x)::BIGINT * (y1 - y) DESC, det_idx) = 1""",
+    "clip_medians": """
+        SELECT video_id, clip_idx, l[floor(len(l) / 2)::INT + 1] + 60 AS m
+        FROM (SELECT video_id, clip_idx, list_sort(list(centre)) AS l FROM clip_faces GROUP BY ALL)""",
+    "cropped": """
+        SELECT c.video_id, c.clip_idx, CASE WHEN width < vw THEN 'reject' WHEN m IS NULL THEN 'motion' ELSE 'face' END AS mode,
+               CASE WHEN width < vw THEN NULL WHEN m IS NULL THEN 0
+                    ELSE greatest(0, least(m - floor(vw / 2)::INT, width - vw)) END AS x_start
+        FROM clips c JOIN dims d ON d.video_id = c.video_id
+        LEFT JOIN clip_medians m ON m.video_id = c.video_id AND m.clip_idx = c.clip_idx""",
     "unique_boxes": """
         SELECT video_id, x, y, x1 - x AS w, y1 - y AS h, min((frame_no, det_idx)) AS seen, min(frame_no) AS first_frame
         FROM dense GROUP BY ALL""",
@@ -357,7 +379,7 @@ QUERIES_SQL: dict[str, str] = {
                CASE WHEN title = '' THEN 'output' ELSE {_SLUG.format("title")} END || '_'
                    || substr(sha256(video_id || '|' || clip_idx), 1, 8) || '_short.mp4' AS output,
                CASE WHEN mode = 'reject' THEN 'too_narrow' ELSE 'planned' END AS status
-        FROM clips JOIN dims USING (video_id) JOIN crops USING (video_id)
+        FROM clips JOIN dims USING (video_id) JOIN cropped USING (video_id, clip_idx)
         LEFT JOIN (SELECT video_id, clip_idx, count(seg_idx) AS n FROM captions GROUP BY ALL) USING (video_id, clip_idx)""",
     "temp_file_names": """
         SELECT page_id, 'audio_' || k || '.wav' AS audio_file, 'temp_clip_' || k || '.mp4' AS clip_file,
@@ -446,6 +468,7 @@ QUERIES_SQL: dict[str, str] = {
         WHERE l_orderkey NOT IN (SELECT item_id FROM run_state WHERE status = 'success')""",
     "build_transcript": "SELECT video_id, part_no, transcript FROM transcripts",
     "largest_face": "SELECT video_id, frame_no, x, y, w, h, area FROM faces30",
+    "clip_crops": "SELECT video_id, clip_idx, mode, x_start FROM cropped",
     "static_crop": "SELECT video_id, mode, x_start FROM crops",
     "motion_centroid": "SELECT video_id, sample_no, centroid_x FROM centroids",
     "active_speaker": "SELECT video_id, frame_no, lip, x, y, x1, y1, is_active FROM speakers",

@@ -249,6 +249,15 @@ def detections(spark: SparkSession, sf_dir: str, n_frames: int = 600) -> DataFra
     return _boxes(spark, sf_dir, n_frames).withColumn("det_idx", idx).drop("_sort")
 
 
+def video_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Face boxes dealt over all frames that each video has."""
+    lengths = videos(spark, sf_dir).select("video_id", "n_frames")
+    boxes = _boxes(spark, sf_dir, 1).join(lengths, "video_id")
+    dealt = boxes.withColumn("frame_no", F.pmod(F.col("_sort.l_orderkey") * 7, F.col("n_frames")).cast("int"))
+    idx = F.row_number().over(Window.partitionBy("video_id", "frame_no").orderBy("_sort")) - 1
+    return dealt.withColumn("det_idx", idx).drop("_sort", "n_frames")
+
+
 def raw_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = detections(spark, sf_dir, 60)
     rel = [(F.col(c) / F.lit(s)).alias("r" + c) for c, s in (("x", 1920.0), ("y", 1080.0), ("x1", 1920.0), ("y1", 1080.0))]

@@ -24,6 +24,7 @@ from clipweave.operators.speaker import active_speaker, fill_track, lip_distance
 from clipweave.operators.streams import attach_audio, choose_stream, rank_streams
 from clipweave.operators.transcripts import build_transcript, render_prompt, transcript_stats
 from clipweave.operators.vision import (
+    clip_detections,
     face_crop_windows,
     face_windows,
     largest_face,

@@ -22,9 +22,9 @@ NMS_OVERLAP = 0.45
 NMS_KEEP = 200
 
 
-def _frame() -> Column:
-    """One frame of a video as a grouping value, so that frames of a hot video spread."""
-    return chunk_key(["video_id"], F.col("frame_no"))
+def _frame(keys: list[str] | None = None) -> Column:
+    """One frame of a video (or clip) as a grouping value, so that frames of a hot video spread."""
+    return chunk_key(keys or ["video_id"], F.col("frame_no"))
 
 
 def vertical_dims(videos: DataFrame) -> DataFrame:
@@ -78,10 +78,34 @@ def scale_boxes(raw: DataFrame, videos: DataFrame, min_confidence: float = MIN_C
     )
 
 
+def clip_detections(
+    clips: DataFrame, detections: DataFrame, videos: DataFrame, n: int = FACE_FRAMES
+) -> DataFrame:
+    """Detections in the first ``n`` frames of each clip, with ``clip_idx`` and frames counted from its start.
+
+    Clips and detections meet on the video and a block of ``n`` frames; a clip touches at most two
+    blocks, so a hot video spreads and no detection meets a clip that is far from it.
+    """
+    begins = F.floor(F.col("start_s") * F.col("fps"))
+    block = lambda frame: F.floor(frame / F.lit(n))
+    starts = clips.join(videos.select("video_id", "fps"), "video_id").select(
+        "video_id", "clip_idx", begins.alias("_begin")
+    )
+    blocks = F.array_distinct(F.array(block(F.col("_begin")), block(F.col("_begin") + n - 1)))
+    wanted = starts.withColumn("_block", F.explode(blocks))
+    met = detections.withColumn("_block", block(F.col("frame_no"))).join(wanted, ["video_id", "_block"])
+    inside = F.col("frame_no").between(F.col("_begin"), F.col("_begin") + n - 1)
+    shifted = met.where(inside).withColumn("frame_no", (F.col("frame_no") - F.col("_begin")).cast("int"))
+    return shifted.drop("_block", "_begin")
+
+
 def largest_face(
-    detections: DataFrame, n: int = FACE_FRAMES, min_size: int = MIN_FACE
+    detections: DataFrame, n: int = FACE_FRAMES, min_size: int = MIN_FACE, keys: tuple[str, ...] = ("video_id",)
 ) -> DataFrame:
-    """The largest face of each of the first ``n`` frames; ties go to the first found."""
+    """The largest face of each of the first ``n`` frames; ties go to the first found.
+
+    Frames are those of a video, or of a clip if ``keys`` also names ``clip_idx``.
+    """
     w, h = F.col("x1") - F.col("x"), F.col("y1") - F.col("y")
     faces = detections.where((F.col("frame_no") < n) & (w >= min_size) & (h >= min_size))
     best = F.max(
@@ -95,15 +119,16 @@ def largest_face(
         )
     )
     return (
-        faces.groupBy(_frame().alias("_part"))
+        faces.groupBy(_frame(list(keys)).alias("_part"))
         .agg(best.alias("_f"))
-        .select("_part.video_id", F.col("_part.chunk").alias("frame_no"), "_f.x", "_f.y", "_f.w", "_f.h", "_f.area")
+        .select(*[f"_part.{k}" for k in keys], F.col("_part.chunk").alias("frame_no"), "_f.x", "_f.y", "_f.w", "_f.h", "_f.area")
     )
 
 
-def static_crop(faces: DataFrame, videos: DataFrame) -> DataFrame:
+def static_crop(faces: DataFrame, videos: DataFrame, keys: tuple[str, ...] = ("video_id",)) -> DataFrame:
     """``(video_id, mode, x_start)``: crop centred on the upper median face.
 
+    With ``clip_idx`` among the ``keys``, ``videos`` has a row per clip and so has the result.
     ``faces`` has at most one row per leading frame, so the sorted list is short.
     Videos without a face are in ``motion`` mode, too narrow ones in ``reject``.
     """
@@ -111,16 +136,16 @@ def static_crop(faces: DataFrame, videos: DataFrame) -> DataFrame:
     centres = F.sort_array(F.collect_list(centre))
     middle = F.get(F.col("_c"), F.floor(F.size("_c") / 2).cast("int"))
     medians = (
-        faces.groupBy("video_id")
+        faces.groupBy(*keys)
         .agg(centres.alias("_c"))
-        .select("video_id", (middle + FACE_SHIFT).alias("_x"))
+        .select(*keys, (middle + FACE_SHIFT).alias("_x"))
     )
-    dims = vertical_dims(videos).select("video_id", "width", "vertical_w", "dims_status")
+    dims = vertical_dims(videos).select(*keys, "width", "vertical_w", "dims_status")
     vw = F.col("vertical_w")
     placed = clamp(F.col("_x") - floor_div(vw, 2), 0, F.col("width") - vw)
     usable = F.col("dims_status") == "ok"
-    return dims.join(medians, "video_id", "left").select(
-        "video_id",
+    return dims.join(medians, list(keys), "left").select(
+        *keys,
         F.when(~usable, "reject").when(F.col("_x").isNull(), "motion").otherwise("face").alias("mode"),
         F.when(usable, F.when(F.col("_x").isNull(), 0).otherwise(placed)).alias("x_start"),
     )

@@ -10,7 +10,7 @@ from clipweave.operators.captions import clip_captions
 from clipweave.operators.highlights import clamp_clip, gate_highlights, parse_highlight, passes_gate
 from clipweave.operators.ordered import dense_index
 from clipweave.operators.spans import all_spans
-from clipweave.operators.vision import largest_face, static_crop, vertical_dims
+from clipweave.operators.vision import clip_detections, largest_face, static_crop, vertical_dims
 from clipweave.session import ensure_checkpoint_dir
 
 
@@ -43,6 +43,13 @@ def many_clips(spans: DataFrame, score: Column, videos: DataFrame, single: bool
     )
 
 
+def clip_crops(clips: DataFrame, detections: DataFrame, videos: DataFrame) -> DataFrame:
+    """``(video_id, clip_idx, mode, x_start)``: the crop of each clip, from the first frames of that clip."""
+    keys = ("video_id", "clip_idx")
+    sized = clips.select(*keys).join(videos.select("video_id", "width", "height"), "video_id")
+    return static_crop(largest_face(clip_detections(clips, detections, videos), keys=keys), sized, keys)
+
+
 def clip_manifest(
     videos: DataFrame, segments: DataFrame, responses: DataFrame, detections: DataFrame
 ) -> DataFrame:
@@ -57,11 +64,11 @@ def clip_manifest(
         .groupBy("video_id", "clip_idx")
         .agg(F.count("seg_idx").alias("n_captions"))
     )
-    crops = static_crop(largest_face(detections), videos)
+    crops = clip_crops(clips, detections, videos)
     dims = vertical_dims(videos).select("video_id", "title", "vertical_w", "vertical_h")
     return (
         clips.join(dims, "video_id")
-        .join(crops, "video_id")
+        .join(crops, ["video_id", "clip_idx"])
         .join(captions, ["video_id", "clip_idx"], "left")
         .select(
             "video_id",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from clipweave import operators as op
 from clipweave import sources as src
+from clipweave.plans.clips import clip_crops
 from tests.conftest import rows
 
 VIDEO = "video_id INT, width INT, height INT, fps DOUBLE"
@@ -63,6 +64,29 @@ def test_static_crop_takes_the_upper_median(spark):
     assert rows(op.static_crop(faces, videos(spark, (1, 1920, 1080, 30.0)))) == [(1, "face", 457)]
 
 
+def test_two_clips_of_a_video_have_their_own_crops(spark):
+    clips = spark.createDataFrame(
+        [(1, 0, 2.0, 9.0), (1, 1, 3.99, 50.0), (1, 2, 100.0, 130.0), (4, 0, 1.0, 2.0)],
+        "video_id INT, clip_idx INT, start_s DOUBLE, end_s DOUBLE",
+    )
+    det = [
+        (1, 59, 0, 1.0, 0, 0, 400, 400),  # a frame before the first clip
+        (1, 60, 0, 1.0, 500, 0, 600, 100),  # its first frame
+        (1, 89, 0, 1.0, 700, 0, 800, 100),  # its frame 29: the upper median
+        (1, 90, 0, 1.0, 0, 0, 400, 400),  # its frame 30
+        (1, 119, 0, 1.0, 1000, 0, 1100, 100),  # 3.99 s at 30 frames a second is frame 119
+        (1, 148, 0, 1.0, 1100, 0, 1200, 100),
+        (1, 149, 0, 1.0, 0, 0, 400, 400),
+    ]
+    v = videos(spark, (1, 1920, 1080, 30.0), (4, 400, 854, 30.0))
+    det = spark.createDataFrame(det, DET)
+    shifted = op.clip_detections(clips, det, v).select("clip_idx", "frame_no", "x")
+    assert rows(shifted) == [(0, 0, 500), (0, 29, 700), (1, 0, 1000), (1, 29, 1100)]
+    assert rows(clip_crops(clips, det, v)) == [
+        (1, 0, "face", 507), (1, 1, "face", 907), (1, 2, "motion", 0), (4, 0, "reject", None),
+    ]
+
+
 def test_unique_faces_keeps_the_crossing_frame_whole(spark):
     box = lambda v, f, d, x: (v, f, d, 1.0, x, 0, x + 10, 10)
     det = [box(1, 0, 0, 1), box(1, 0, 1, 1), box(1, 1, 0, 2), box(1, 1, 1, 3), box(1, 1, 2, 4), box(1, 2, 0, 5)]
