@@ -88,7 +88,12 @@ TABLES: dict[str, str] = {
         SELECT *, row_number() OVER (PARTITION BY video_id, frame_no ORDER BY l_orderkey, l_linenumber, l_partkey,
                                      l_quantity, l_extendedprice) - 1 AS det_idx
         FROM (SELECT *, l_orderkey % 600 AS frame_no FROM boxes)""",
-    "frames": "SELECT s_suppkey AS video_id, unnest(range(600)) AS frame_no FROM supplier",
+    "frames": """
+        SELECT video_id, unnest(range(n)) AS frame_no
+        FROM (SELECT video_id, max(n) AS n
+              FROM (SELECT user_id AS video_id, count(*) AS n FROM events GROUP BY 1
+                    UNION ALL SELECT l_suppkey, max(l_orderkey % 600) + 1 FROM lineitem GROUP BY 1)
+              GROUP BY 1)""",
     "audio": """
         SELECT user_id AS video_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_no,
                event_type IN ('click', 'purchase') AS is_speech FROM events""",

@@ -21,16 +21,6 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores where the files give fewer tasks than there are cores.
-
-    A table written as one row group is read by one task.  With many files, as any
-    large table has, nothing is moved.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, df.columns[0]) if len(df.inputFiles()) < cores else df
-
-
 def _timed_sentences(documents: DataFrame) -> DataFrame:
     """Documents with ``_s``: their sentences as timed segments.
 
@@ -64,7 +54,7 @@ def _segment(entry: Column, idx: Column) -> Column:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return load(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def nested_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,10 +255,11 @@ def raw_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """600 frames for every supplier as a video."""
-    return load(spark, sf_dir, "supplier").select(
-        F.col("s_suppkey").alias("video_id"), F.explode(F.sequence(F.lit(0), F.lit(599))).alias("frame_no")
-    )
+    """All frames of every video that has sound or faces: up to its last event or detection."""
+    heard = load(spark, sf_dir, "events").groupBy(F.col("user_id").alias("video_id")).agg(F.count(F.lit(1)).alias("n"))
+    seen = _boxes(spark, sf_dir, 600).groupBy("video_id").agg((F.max("frame_no") + 1).alias("n"))
+    ends = heard.union(seen).groupBy("video_id").agg((F.max("n") - 1).cast("int").alias("end"))
+    return ends.select("video_id", F.explode(F.sequence(F.lit(0), "end")).alias("frame_no"))
 
 
 def audio_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
