@@ -38,8 +38,7 @@ def op4_dom_tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents").select("doc_id", "source")
-    return mixing.poisson_mix(docs)
+    return mixing.poisson_mix(load(spark, sf_dir, "documents"))
 
 
 def op6_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,6 +90,15 @@ def test_mixing_query_equals_inversion_by_hand(spark, sf_dir):
     assert len({(r["doc_id"], r["copy"]) for r in rows}) == len(rows)
 
 
+def test_mixing_query_carries_whole_documents(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    given = {r["doc_id"]: tuple(r) for r in docs.collect()}
+    out = QUERIES["op5_poisson_mix"](spark, sf_dir)
+    assert out.columns == [*docs.columns, "copy", "shuffle_key"]
+    rows = out.select(*docs.columns).collect()
+    assert rows and all(tuple(r) == given[r["doc_id"]] for r in rows)
+
+
 def test_mixing_hits_targets_and_means(spark):
     rows = [(i, "hot" if i % 3 else "a" if i % 2 else None) for i in range(60000)]
     df = spark.createDataFrame(rows, "doc_id long, source string").withColumn("copy", F.lit("x"))
