@@ -104,11 +104,18 @@ def _hashed(df: DataFrame, model: CrossPolytope, n_probes: int, width: int) -> D
 
 
 def _calibrate(
-    queries: DataFrame, rows: DataFrame, model: CrossPolytope, width: int, k: int, recall: float, sample: int
-) -> int:
+    queries: DataFrame,
+    rows: DataFrame,
+    model: CrossPolytope,
+    width: int,
+    k: int,
+    recall: float,
+    sample: int,
+    max_probes: int,
+) -> int | None:
     """Smallest number of probes a table at which a bounded sample of queries finds ``recall`` of its truth.
 
-    ``sample`` queries (smallest hashes of their ids) are compared with all rows, block by
+    None if ``max_probes`` do not reach it.  ``sample`` queries (smallest hashes of their ids) are compared with all rows, block by
     block; the probe at which each true neighbour shows up is all that reaches the driver.
     """
     chosen = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vec_id", "u", "v").collect()
@@ -136,7 +143,7 @@ def _calibrate(
         yield from batches_of([(np.full(len(s), q_id[i]), d, s) for i, (s, d) in kept.items()], _OUT)
 
     exact = best(rows.select("vec_id", "u", "v").mapInArrow(truth, "query_id long, vec_id long, score double"), k)
-    limit = min(model.n_buckets, 4096)
+    limit = min(model.n_buckets, max_probes)
     orders = [model.probes(q_u, tab, limit) for tab in range(model.n_tables)]
     place = {int(q): i for i, q in enumerate(q_id)}
 
@@ -155,7 +162,8 @@ def _calibrate(
     probes = np.sort([r["probe"] for r in found.collect()])
     if not len(probes):
         return 1
-    return int(min(limit, probes[min(len(probes) - 1, int(np.ceil(recall * len(probes))) - 1)]))
+    needed = int(probes[min(len(probes) - 1, int(np.ceil(recall * len(probes))) - 1)])
+    return needed if needed <= limit else None
 
 
 def nearest(
@@ -167,6 +175,7 @@ def nearest(
     recall: float = 0.95,
     sample: int = 64,
     chunk: int = 1024,
+    max_probes: int = 4096,
 ) -> DataFrame:
     """Each query row's ``k`` nearest rows by inner product, among the candidates of all its probes.
 
@@ -175,6 +184,8 @@ def nearest(
     (M: the largest norm) and 0 for queries.  Queries are the rows whose id is divisible by
     ``every``; each visits the probes of a table that lose least.  Their number is set on
     ``sample`` queries, compared with all rows, so that they reach ``recall`` (contract: 0.9).
+    If ``max_probes`` a table do not reach it there (possible only with more buckets than that, so
+    above about ``max_probes * bucket_rows`` rows), all queries are compared with all rows instead.
     Buckets with more than ``chunk`` rows are split and their probes go to every part.  Within a
     part, scores are computed in double precision on the original vectors; the best k go on.
     Queries that found fewer than k rows are compared with all rows, in blocks.
@@ -205,7 +216,9 @@ def nearest(
         rows = ready.select("vec_id", padded.alias("u"), "v")
     inner = width if flat else width + 1
     model = CrossPolytope(inner, n_tables, max(2, n // bucket_rows))
-    n_probes = _calibrate(queries, rows, model, inner, k, recall, sample)
+    n_probes = _calibrate(queries, rows, model, inner, k, recall, sample, max_probes)
+    if n_probes is None:
+        return _all_rows(queries.select("vec_id", "v"), ready, width, k)
 
     indexed = keep(_hashed(rows, model, 1, inner), "index")
     parts = indexed.groupBy("tab", "bucket").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("parts"))
@@ -246,7 +259,7 @@ def nearest(
 
 
 def _all_rows(queries: DataFrame, rows: DataFrame, width: int, k: int, block: int = 4096, query_block: int = 512) -> DataFrame:
-    """The exact way for queries whose probes came up short: every block of queries meets every block of rows."""
+    """The exact way for queries whose probes come up short: every block of queries meets every block of rows."""
     n_c = max(1, -(-rows.count() // block))
     n_q = max(1, -(-queries.count() // query_block))
     deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")

@@ -113,6 +113,15 @@ def test_approximate_with_a_hot_vector_and_uneven_norms(spark):
     assert hit / (20 * len(want)) >= 0.9
 
 
+def test_approximate_recall_where_probes_reach_their_limit(spark):
+    rows = np.random.default_rng(4).normal(0, 1, (6000, 48)).astype(np.float32).astype(np.float64)
+    df = spark.createDataFrame([(i, v.tolist(), "x", 0) for i, v in enumerate(rows)], SCHEMA)
+    got = found(cross_polytope.nearest(df, n_tables=1, bucket_rows=1, every=60))
+    want = brute(np.arange(6000), rows, 20, 60)
+    hit = sum(len({d for d, _ in got[q]} & {d for d, _ in w}) for q, w in want.items())
+    assert hit / (20 * len(want)) >= 0.95
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 32))
     y = cross_polytope.hadamard(x)
