@@ -75,9 +75,13 @@ class CrossPolytope:
         return code
 
 
-def _hashed(df: DataFrame, model: CrossPolytope, n_probes: int, width: int) -> DataFrame:
-    """Rows times tables times probes with their bucket; one probe is the row's own bucket."""
+def _hashed(df: DataFrame, model: CrossPolytope, n_probes: int, width: int, carry: bool = True) -> DataFrame:
+    """Rows times tables times probes with their bucket; one probe is the row's own bucket.
+
+    Without ``carry`` the buckets alone, for counts.
+    """
     schema = pa.schema([("tab", pa.int32()), ("bucket", pa.int64()), ("vec_id", pa.int64()), ("v", pa.list_(pa.float32()))])
+    bare = pa.schema(list(schema)[:2])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,19 +92,15 @@ def _hashed(df: DataFrame, model: CrossPolytope, n_probes: int, width: int) -> D
                 unit = x / np.linalg.norm(x, axis=1, keepdims=True)
                 for tab in range(model.n_tables):
                     code = model.buckets(unit, tab)[:, None] if n_probes == 1 else model.probes(unit, tab, n_probes)
+                    placed = [pa.array(np.full(code.size, tab, np.int32)), pa.array(code.ravel())]
+                    if not carry:
+                        yield pa.RecordBatch.from_arrays(placed, schema=bare)
+                        continue
                     again = pa.array(np.repeat(np.arange(len(x)), code.shape[1]))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(code.size, tab, np.int32)),
-                            pa.array(code.ravel()),
-                            ids.take(again),
-                            v.take(again),
-                        ],
-                        schema=schema,
-                    )
+                    yield pa.RecordBatch.from_arrays([*placed, ids.take(again), v.take(again)], schema=schema)
 
     three = df.select("vec_id", "u", "v")
-    return three.mapInArrow(place, "tab int, bucket long, vec_id long, v array<float>")
+    return three.mapInArrow(place, "tab int, bucket long" + (", vec_id long, v array<float>" if carry else ""))
 
 
 def _calibrate(
@@ -186,8 +186,8 @@ def nearest(
     ``sample`` queries, compared with all rows, so that they reach ``recall`` (contract: 0.9).
     If ``max_probes`` a table do not reach it there (possible only with more buckets than that, so
     above about ``max_probes * bucket_rows`` rows), all queries are compared with all rows instead.
-    Buckets with more than ``chunk`` rows are split and their probes go to every part.  Within a
-    part, scores are computed in double precision on the original vectors; the best k go on.
+    Buckets with more than ``chunk`` rows or more than ``chunk`` visiting queries are split on either
+    side, and every part of rows meets every part of queries in one bounded group.  Within a group, scores are computed in double precision on the original vectors; the best k go on.
     Queries that found fewer than k rows are compared with all rows, in blocks.
 
     Vectors that are null, zero or hold null or non-finite components take no part; shorter ones
@@ -221,15 +221,18 @@ def nearest(
         return _all_rows(queries.select("vec_id", "v"), ready, width, k)
 
     indexed = keep(_hashed(rows, model, 1, inner), "index")
-    parts = indexed.groupBy("tab", "bucket").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("parts"))
-    parts = keep(parts, "parts")
+    size = lambda name: F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias(name)
+    visits = _hashed(queries, model, max(2, n_probes), inner, carry=False).groupBy("tab", "bucket").agg(size("q_parts"))
+    parts = keep(indexed.groupBy("tab", "bucket").agg(size("parts")).join(visits, ["tab", "bucket"]), "parts")
+    deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = indexed.join(parts, ["tab", "bucket"]).select(
-        "tab", "bucket", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("role"), "vec_id", "v"
+        "tab", "bucket", deal("parts").alias("part"), each("q_parts").alias("q_part"), F.lit(0).alias("role"), "vec_id", "v"
     )
     asked = _hashed(queries, model, max(2, n_probes), inner).join(parts, ["tab", "bucket"]).select(
-        "tab", "bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("role"), "vec_id", "v"
+        "tab", "bucket", each("parts").alias("part"), deal("q_parts").alias("q_part"), F.lit(1).alias("role"), "vec_id", "v"
     )
-    where = ["tab", "bucket", "part"]
+    where = ["tab", "bucket", "part", "q_part"]
     met = own.union(asked).repartition(*where).sortWithinPartitions(*where, "role", "vec_id")
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

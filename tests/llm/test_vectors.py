@@ -113,6 +113,24 @@ def test_approximate_with_a_hot_vector_and_uneven_norms(spark):
     assert hit / (20 * len(want)) >= 0.9
 
 
+def test_approximate_groups_are_bounded_on_both_sides(spark, monkeypatch):
+    plain = cross_polytope.runs
+
+    def bounded(batches, keys):
+        for key, t in plain(batches, keys):
+            assert t.num_rows <= 250, f"a group of {t.num_rows} rows"
+            yield key, t
+
+    monkeypatch.setattr(cross_polytope, "runs", bounded)
+    rng = np.random.default_rng(9)
+    rows = np.r_[np.tile(rng.normal(0, 1, 8), (400, 1)), rng.normal(0, 1, (500, 8))].astype(np.float32).astype(np.float64)
+    df = spark.createDataFrame([(i, v.tolist(), "x", 0) for i, v in enumerate(rows)], SCHEMA)
+    got = found(cross_polytope.nearest(df, every=1, chunk=64))
+    want = brute(np.arange(900), rows, 20, 1)
+    hit = sum(sum(s >= w[-1][1] - 1e-9 for _, s in got[q]) for q, w in want.items())
+    assert hit / (20 * len(want)) >= 0.9
+
+
 def test_approximate_recall_where_probes_reach_their_limit(spark):
     rows = np.random.default_rng(4).normal(0, 1, (6000, 48)).astype(np.float32).astype(np.float64)
     df = spark.createDataFrame([(i, v.tolist(), "x", 0) for i, v in enumerate(rows)], SCHEMA)
