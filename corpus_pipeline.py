@@ -29,7 +29,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a recognised language, which also fills a missing ``lang``."""
+    """Documents with a letter in their text; the predicted language fills a missing ``lang`` and rejects nothing."""
     found = language.identify(docs).where(F.col("lang_pred") != language.UNKNOWN)
     named = found.groupBy("doc_id").agg(F.min("lang_pred").alias("_pred"))
     filled = docs.join(named, "doc_id").withColumn("lang", F.coalesce("lang", "_pred"))
