@@ -111,6 +111,15 @@ def test_mixing_hits_targets_and_means(spark):
     assert abs(large.count() / (200 * 900) - 1) < 0.02
 
 
+def test_large_means_store_no_long_distribution(spark):
+    df = spark.createDataFrame([(i, "hot") for i in range(1, 20001)] + [(0, "small")], "doc_id long, source string")
+    table = {r["_key"]: r for r in mixing.mixture(df).collect()}
+    assert table["small"]["mean"] > 100 and all(len(r["cdf"] or []) <= 127 for r in table.values())
+    rows = mixing.poisson_mix(df).where("doc_id < 50").collect()
+    want = {i: expected_copies(i, table["hot" if i else "small"]["mean"]) for i in range(50)}
+    assert Counter(r["doc_id"] for r in rows) == Counter({k: v for k, v in want.items() if v})
+
+
 def test_mixing_edges(spark):
     df = spark.createDataFrame([(None, None), (1, None), (1, None)], "doc_id long, source string")
     found = Counter(r["doc_id"] for r in mixing.poisson_mix(df, total=30).collect())
