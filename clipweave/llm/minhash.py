@@ -235,14 +235,16 @@ def near_duplicates(
 
     A-Z count as a-z; words end at ASCII white space.  Fewer words than ``words``: the whole
     sequence is one shingle.  Null text or text without words: size 0, alone, kept.  Repeated
-    rows: equal results.  Empty input: no rows.  Other columns are ignored.
+    rows: equal results.  A row with a null id belongs to the component of the documents with an id
+    and the same set, not kept; without such a document it is alone: component null, kept.  Empty
+    input: no rows.  Other columns are ignored.
 
     Returns doc_id, n_shingles, component_id (smallest id reachable), kept.
     """
     signed = keep(signatures(docs, words), "signed")
     some = signed.where("n_shingles > 0")
     row = F.struct("doc_id", "n_shingles", "sig")
-    firsts = some.groupBy("fp_a", "fp_b").agg(F.min(row).alias("r"))
+    firsts = some.where("doc_id is not null").groupBy("fp_a", "fp_b").agg(F.min(row).alias("r"))
     sets = keep(
         firsts.select(
             "fp_a", "fp_b", F.col("r.doc_id").alias("rep"), F.col("r.n_shingles").alias("n"), "r.sig"
@@ -272,12 +274,12 @@ def near_duplicates(
 
     named = sets.select("fp_a", "fp_b", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left")
     named = keep(named.select("fp_a", "fp_b", F.coalesce("component", "rep").alias("component")), "named")
-    joined = some.select("doc_id", "n_shingles", "fp_a", "fp_b").join(named, ["fp_a", "fp_b"])
+    joined = some.select("doc_id", "n_shingles", "fp_a", "fp_b").join(named, ["fp_a", "fp_b"], "left")
     alone = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
     both = joined.select("doc_id", "n_shingles", "component").union(alone)
     return both.select(
         "doc_id",
         "n_shingles",
         F.col("component").alias("component_id"),
-        (F.col("doc_id") == F.col("component")).alias("kept"),
+        F.coalesce(F.col("doc_id") == F.col("component"), F.col("component").isNull()).alias("kept"),
     )

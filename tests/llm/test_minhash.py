@@ -86,6 +86,17 @@ def test_edges(spark):
     assert minhash.near_duplicates(df.limit(0), words=2).count() == 0
 
 
+def test_null_ids_inside_a_group_of_copies(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text), (3, text), (5, text), (2, text + " end"), (None, "apart b c"), (None, "apart b c"), (None, None)]
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()
+    found = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in out), key=str)
+    assert found == sorted(
+        [(None, 59, 2, False), (3, 59, 2, False), (5, 59, 2, False), (2, 60, 2, True)]
+        + [(None, 2, None, True)] * 2 + [(None, 0, None, True)], key=str
+    )
+
+
 def test_long_text_and_slices():
     text = " ".join(f"w{i % 70000}" for i in range(300000))
     short = ["a b c", None, text, "", "x y", text]
