@@ -19,7 +19,7 @@ MANTISSA = 9
 #: Marks a register that is empty and borrows its value.
 BORROWED = 1 << 15
 BANDS, BAND_ROWS = 32, 5
-SIGMAS = 4.5
+SIGMAS = 5.0
 _RANDOM = np.random.default_rng(20170313)
 #: Registers in the order in which they are stored: bands first.
 _ORDER = _RANDOM.permutation(REGISTERS)
@@ -228,7 +228,7 @@ def near_duplicates(
        fingerprint; only the smallest id of each goes on, so copies are never paired.
     2. 32 bands of 5 registers: a pair at 0.8 meets in at least one with probability 1 - 3e-6.
     3. Each member of a band bucket is paired with the bucket's smallest id (a star, not all pairs).
-       Pairs whose corrected estimate lies 4.5 deviations and a register below the threshold go;
+       Pairs whose corrected estimate lies 5 deviations and a register below the threshold go;
        the others are confirmed on full sets; components follow.
     4. Buckets that still hold several components are compared fully, in blocks of ``chunk``
        members, and the survivors confirmed.  So a star through a wrong centre loses no link.

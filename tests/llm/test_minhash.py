@@ -120,6 +120,12 @@ def test_estimates_follow_jaccard():
         assert abs(np.mean(errors)) < 0.02, share
 
 
+def test_estimate_leaves_five_deviations():
+    sig, n = np.zeros((1, minhash.REGISTERS), np.uint16), np.array([10**9])
+    _, low = minhash.estimate(sig, sig, n, n, 0.8)
+    assert low[0] <= 0.8 - 4.99 * (0.8 * 0.2 / minhash.REGISTERS) ** 0.5
+
+
 def test_components_of_paths_and_stars(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(100, 160)] + [(500, i) for i in range(501, 560)] + [(7, 500), (900, 901)]
