@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from clipweave.llm import (
+    alignment,
     attribution,
     cross_polytope,
     extraction,
@@ -16,7 +17,9 @@ from clipweave.llm import (
     mixing,
     packing,
     quality,
+    repair,
     shards,
+    winnowing,
 )
 from clipweave.llm.common import load
 
@@ -61,6 +64,19 @@ def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(load(spark, sf_dir, "documents"), words=2)
 
 
+def op11_branch_and_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damaged(load(spark, sf_dir, "conversations")))
+
+
+def op12_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted, _ = winnowing.decontaminate(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return winnowing.digest(counted)
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.agreement(load(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -74,6 +90,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_cotrained_quality,
         op9_section_tokens,
         op10_hyperminhash,
+        op11_branch_and_bound,
+        op12_winnowing,
+        op13_token_alignment,
     )
 }
 
