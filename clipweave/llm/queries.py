@@ -19,6 +19,7 @@ from clipweave.llm import (
     quality,
     repair,
     shards,
+    sql,
     winnowing,
 )
 from clipweave.llm.common import load
@@ -96,4 +97,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {**sql.ORACLES}

@@ -141,14 +141,13 @@ def _short_places(docs: DataFrame, named: DataFrame, lengths: list[int]) -> Data
     """(k, place) of grams as long as a short item whose hash is that of such an item."""
     short = named.where(F.col("len").isin(lengths)).select("len", F.xxhash64("window").alias("g")).distinct()
     docs = compute_once(docs.select("key", "text"), "_words", words_of("text"))
-    gram = lambda s, n: F.xxhash64(F.array_join(F.slice("_words", s + 1, n), " "))
-    every = [
-        F.transform(
-            _span(F.lit(0), F.size("_words") - n), lambda s, n=n: F.struct(s.alias("s"), F.lit(n).alias("len"), gram(s, n).alias("g"))
-        )
-        for n in lengths
-    ]
-    grams = docs.select(F.xxhash64("key").alias("k"), F.inline(F.concat(*every)))
+
+    def grams_of(n: int) -> Column:
+        gram = lambda s: F.xxhash64(F.array_join(F.slice("_words", s + 1, n), " "))
+        row = lambda s: F.struct(s.alias("s"), F.lit(n).alias("len"), gram(s).alias("g"))
+        return F.transform(_span(F.lit(0), F.size("_words") - n), row)
+
+    grams = docs.select(F.xxhash64("key").alias("k"), F.inline(F.concat(*map(grams_of, lengths))))
     return grams.join(short, ["len", "g"], "left_semi").select("k", _place(F.col("s"), F.col("len")).alias("place"))
 
 
