@@ -173,50 +173,94 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, part_
     return rows.select("a", "part", "role", "id", "text").mapInArrow(compare, "a long, b long").distinct()
 
 
-def _cross_pairs(members: DataFrame, sets: DataFrame, percent: int, chunk: int) -> DataFrame:
-    """Pairs of a band bucket in different components that the estimate cannot rule out.
+_BLOCK = ["index", "band", "i", "j"]
 
-    A bucket is cut into chunks of about ``chunk`` members and every two chunks meet in one
-    bounded group, where signatures are compared as blocks; only surviving pairs leave it.
+
+def _blocks(members: DataFrame, chunk: int) -> DataFrame:
+    """Members of a band bucket dealt to chunks; every two chunks of a bucket meet in one block (i, j).
+
+    A bucket has a chunk for every ``chunk`` members and for every ``chunk`` * 4,096 shingles, so a block is
+    bounded in rows and, but for single very long texts, in bytes.
     """
-    sized = members.groupBy("index", "band").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"))
+    count, size = F.count(F.lit(1)) / chunk, F.sum("n") / (chunk * 4096)
+    sized = members.groupBy("index", "band").agg(F.ceil(F.greatest(count, size)).cast("int").alias("chunks"))
     dealt = members.join(sized, ["index", "band"]).withColumn("c", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
-        "index", "band", F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"), "c", "rep", "component"
-    )
-    rows = met.join(sets, "rep").repartition("index", "band", "i", "j").sortWithinPartitions(
-        "index", "band", "i", "j", "c", "rep"
+    return dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
+        "index", "band", F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"), "c", "rep", "component", "n"
     )
 
+
+def _near(k: int, index: int, i: int, j: int, c, comp, n, sig: np.ndarray, percent: int) -> np.ndarray:
+    """Later rows of a block that row ``k`` may be linked with: of another component, and not ruled out.
+
+    A pair that shares several bands is looked at in the first of them.
+    """
+    rest = np.arange(k + 1, len(n))
+    rest = rest[(comp[rest] != comp[k]) & _sizes_fit(n[k], n[rest], percent)]
+    if i != j:
+        rest = rest[(c[rest] == j) & (c[k] == i)]
+    if not len(rest):
+        return rest
+    est, low = estimate(sig[k], sig[rest], n[k : k + 1], n[rest], percent / 100)
+    near = rest[est >= low]
+    banded = lambda rows: rows[..., : BANDS * BAND_ROWS].reshape(*rows.shape[:-1], BANDS, BAND_ROWS)
+    return near[(banded(sig[k]) == banded(sig[near])).all(-1).argmax(-1) == index]
+
+
+def _cross_links(
+    members: DataFrame, sets: DataFrame, docs: DataFrame, words: int, percent: int, chunk: int
+) -> DataFrame:
+    """Links between different components inside band buckets, enough of them to join what is linked.
+
+    Blocks are first compared by signatures; only their members with a possible partner go on.
+    Those get their text once per block and are compared on full sets there.  So rows grow with the
+    members, never with the pairs, and no pair leaves a block but a link that joins two components.
+    """
+    blocks = _blocks(members, chunk)
+    order = [*_BLOCK, "c", "rep"]
+    rows = blocks.join(sets.select("rep", "sig"), "rep").repartition(*_BLOCK).sortWithinPartitions(*order)
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (index, band, i, j), t in runs(batches, _BLOCK):
+            comp, n, c = (t.column(x).to_numpy() for x in ("component", "n", "c"))
+            sig = _sigs(t, "sig")
+            wanted = np.zeros(len(n), bool)
+            for k in range(len(n) - 1):
+                near = _near(k, index, i, j, c, comp, n, sig, percent)
+                wanted[near] = True
+                wanted[k] |= len(near) > 0
+            if wanted.any():
+                yield from t.select([*order, "component", "n"]).filter(pa.array(wanted)).to_batches()
+
+    columns = "index int, band long, i int, j int, c int, rep long, component long, n long"
+    active = keep(rows.select(*order, "component", "n", "sig").mapInArrow(candidates, columns), "active")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
+    # Texts are shuffled at every size: what is wanted grows with the input and is no broadcast.
+    # A repeated id brings its other texts too; the right one has the size of the set and is checked by it.
+    full = texts.join(active.hint("merge"), "rep").repartition(*_BLOCK).sortWithinPartitions(*order)
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (index, _, i, j), t in runs(batches, ["index", "band", "i", "j"]):
+        for (index, _, i, j), t in runs(batches, _BLOCK):
             rep, comp, n, c = (t.column(x).to_numpy() for x in ("rep", "component", "n", "c"))
-            sig = _sigs(t, "sig")
-            banded = sig[:, : BANDS * BAND_ROWS].reshape(-1, BANDS, BAND_ROWS)
-            inside = i == j
-            found_a, found_b = [], []
+            comp = comp.copy()
+            found = list(shingle_sets(t.column("text").combine_chunks(), words))
+            sig = np.stack([registers(s) if len(s) == m else np.full(REGISTERS, BORROWED, np.uint16) for s, m in zip(found, n)])
+            links = []
             for k in range(len(rep) - 1):
-                if not inside and c[k] != i:
-                    break
-                rest = np.arange(k + 1, len(rep))
-                rest = rest[(comp[rest] != comp[k]) & _sizes_fit(n[k], n[rest], percent)]
-                if not inside:
-                    rest = rest[c[rest] == j]
-                if not len(rest):
-                    continue
-                est, low = estimate(sig[k], sig[rest], n[k : k + 1], n[rest], percent / 100)
-                near = rest[est >= low]
-                # A pair that shares several bands is emitted in the first of them.
-                shared = (banded[k] == banded[near]).all(-1)
-                near = near[shared.argmax(-1) == index]
-                found_a += [rep[k]] * len(near)
-                found_b += rep[near].tolist()
-            if found_a:
-                lo, hi = np.minimum(found_a, found_b), np.maximum(found_a, found_b)
+                for m in _near(k, index, i, j, c, comp, n, sig, percent).tolist():
+                    if comp[k] == comp[m] or len(found[k]) != n[k] or len(found[m]) != n[m]:
+                        continue
+                    both = np.concatenate([found[k], found[m]])
+                    both.sort()
+                    common = int((both[1:] == both[:-1]).sum())
+                    if 100 * common >= percent * (len(both) - common):
+                        links.append((rep[k], rep[m]))
+                        comp[comp == comp[m]] = comp[k]  # from now on they are connected
+            if links:
+                lo, hi = np.sort(np.array(links), axis=1).T
                 yield pa.RecordBatch.from_arrays([pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], ["a", "b"])
 
-    wanted = ["index", "band", "i", "j", "c", "rep", "component", "n", "sig"]
-    return rows.select(*wanted).mapInArrow(compare, "a long, b long")
+    return full.select(*order, "component", "n", "text").mapInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(
@@ -231,7 +275,9 @@ def near_duplicates(
        Pairs whose corrected estimate lies 5 deviations and a register below the threshold go;
        the others are confirmed on full sets; components follow.
     4. Buckets that still hold several components are compared fully, in blocks of ``chunk``
-       members, and the survivors confirmed.  So a star through a wrong centre loses no link.
+       members: by signatures, then on full sets.  So a star through a wrong centre loses no link, and a
+       family of similar texts that are not linked costs rows for its members, not for its pairs.
+    Sets are compared as sets of 64-bit hashes of shingles; "full" and "exact" hold up to their collisions.
 
     A-Z count as a-z; words end at ASCII white space.  Fewer words than ``words``: the whole
     sequence is one shingle.  Null text or text without words: size 0, alone, kept.  Repeated
@@ -254,7 +300,7 @@ def near_duplicates(
     width = 2 * BAND_ROWS
     band = lambda i: F.xxhash64(i, F.expr("sig").substr(i * width + 1, F.lit(width)))
     every = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)
-    bands = sets.select("rep", F.posexplode(every).alias("index", "band"))
+    bands = sets.select("rep", "n", F.posexplode(every).alias("index", "band"))
     leads = bands.groupBy("index", "band").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last")
     multi = keep(bands.join(leads.select("index", "band", "lead"), ["index", "band"]), "multi")
     lean = sets.select("rep", "n", "sig")
@@ -264,12 +310,11 @@ def near_duplicates(
     links = keep(confirmed(tried, docs, words, percent), "links")
     first = keep(components(links), "first")
 
-    member = multi.select("rep", "index", "band").join(first.withColumnRenamed("node", "rep"), "rep", "left")
+    member = multi.select("rep", "index", "band", "n").join(first.withColumnRenamed("node", "rep"), "rep", "left")
     member = member.withColumn("component", F.coalesce("component", "rep"))
     mixed = member.groupBy("index", "band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     mixed = keep(member.join(mixed.select("index", "band"), ["index", "band"]), "mixed")
-    rest = _cross_pairs(mixed, lean, percent, chunk).join(tried, ["a", "b"], "left_anti")
-    more = keep(confirmed(rest, docs, words, percent), "more")
+    more = keep(_cross_links(mixed, lean, docs, words, percent, chunk), "more")
     final = merged(first, more) if more.limit(1).count() else first
 
     named = sets.select("fp_a", "fp_b", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left")

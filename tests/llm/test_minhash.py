@@ -166,3 +166,25 @@ def test_components_settle_and_merge_like_union_find(spark):
     want = union_find(e for e in given + more if e[0] != e[1])
     assert len(found) == len(set(found)) and {n: c for n, c in found if n in want} == want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_families_without_links_cost_rows_for_members_not_pairs(spark, monkeypatch):
+    """Texts at a pairwise similarity of 0.76: no links, and twice the members make at most 2.2 times the rows."""
+    written = {}
+    plain_keep = minhash.keep
+
+    def counting(df, name):
+        out = plain_keep(df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(minhash, "keep", counting)
+    shared = " ".join(f"s{i}" for i in range(432))
+    sizes = []
+    for n in (150, 300):
+        rows = [(i, shared + " " + " ".join(f"o{i}x{j}" for j in range(68))) for i in range(n)]
+        out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2)
+        assert out.where("not kept").count() == 0
+        sizes.append(dict(written))
+    assert sizes[0]["active"] > 150  # the family does reach the comparison on full sets
+    assert all(sizes[1][k] <= 2.2 * max(v, 100) for k, v in sizes[0].items())
