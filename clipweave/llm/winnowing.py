@@ -77,7 +77,8 @@ def decontaminate(
 
     Every stage is keyed by document or by gram.  A document is never paired with items: windows
     lead to the *set* of their items, and a set is resolved once for all documents that share it.
-    A side of a join is broadcast only where Spark finds its written size below its threshold.
+    Texts of documents are shuffled once, to meet their hits.  Other sides of joins are broadcast only where
+    Spark finds their written size below its threshold.
 
     Null, empty or blank texts: no words, no hits.  Repeated rows: equal results; rows under one id are
     told apart by their text.  A null doc_id is kept as it is.  Items with one item_id count once, a null
@@ -112,7 +113,8 @@ def decontaminate(
         places = places.union(_short_places(own, named, sorted(lengths)))
     places = keep(places.groupBy("k").agg(F.collect_set("place").alias("places")), "places")
 
-    hit_docs = own.join(places, F.xxhash64("key") == F.col("k"))
+    # Documents are shuffled at every size: how many have hits grows with the input and is no broadcast.
+    hit_docs = own.join(places.hint("merge"), F.xxhash64("key") == F.col("k"))
     hit_docs = compute_once(hit_docs, "_words", words_of("text")).select("key", "_words", "places")
     hits = _windows(hit_docs, ["key"], F.col("places")).join(known, ["window", "len"])
     per_doc = hits.groupBy("key").agg(
