@@ -54,7 +54,8 @@ def _segment(entry: Column, idx: Column) -> Column:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "documents").select("doc_id", "text")
+    """Documents dealt by id before they are split: a file of one row group would be split by one task."""
+    return load(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
 
 
 def nested_segments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipweave.functions import strip
-from clipweave.functions.workers import ship_with_job
 from clipweave.operators.ordered import chunk_key, position_chunk
 from clipweave.session import ensure_checkpoint_dir
 
@@ -17,16 +14,13 @@ TOLERANCE_S = 10.0
 SENTENCE_END = r"[.!?]\s*$"
 SEG_CHUNK = 4096
 TEXT_CHUNK = 64
-GREEDY_CHUNK_S = 6 * 3600.0
-ROUNDS_PER_WIDTH = 4
+GREEDY_CHUNK_S = 1800.0
 # Multipliers that scatter segment numbers over 32 bits.
 SCATTER_FIRST = 2654435761
 SCATTER_LAST = 40503
 SCATTER_RANGE = 1 << 32
 _ROUNDING = 1e-6
 
-ship_with_job(__name__)
-
 SPAN_KEY = ["video_id", "first_idx", "last_idx"]
 
 
@@ -61,27 +55,30 @@ def candidate_spans(
     """``(video_id, first_idx, last_idx, start_s, end_s, span_s)`` near the wanted length.
 
     Openers meet closers on video and time bucket, where each opener looks into
-    the two or three buckets its end may fall in: the rows joined are about the
-    rows returned, and a long video is spread over its buckets.
+    the two or three buckets its end may fall in: the rows that meet are about the
+    rows returned, and a long video is spread over its buckets.  Both come from one
+    pass over the text, and one shuffle brings them together.
     """
     width = max(2 * tol_s, 1.0)
     low = F.floor((F.col("start_s") + target_s - tol_s - _ROUNDING) / width)
     high = F.floor((F.col("start_s") + target_s + tol_s + _ROUNDING) / width)
-    openers = sentence_edges(segments).where("opens").select(
-        "video_id",
-        F.col("seg_idx").alias("first_idx"),
-        "start_s",
-        F.explode(F.sequence(low, high)).alias("_b"),
+    none = F.array().cast("array<bigint>")
+    buckets = F.concat(
+        F.when(F.col("closes"), F.array(F.floor(F.col("end_s") / width))).otherwise(none),
+        F.when(F.col("opens"), F.sequence(low, high)).otherwise(none),
     )
-    closers = segments.where(F.col("text").rlike(SENTENCE_END)).select(
-        "video_id",
-        F.col("seg_idx").alias("last_idx"),
-        "end_s",
-        F.floor(F.col("end_s") / width).alias("_b"),
+    placed = sentence_edges(segments).where("opens or closes").select(
+        "video_id", "seg_idx", "start_s", "end_s", "closes", F.posexplode(buckets).alias("_k", "_b")
+    )
+    is_closer = F.col("closes") & (F.col("_k") == 0)
+    met = placed.groupBy(F.struct("video_id", "_b").alias("_part")).agg(
+        F.collect_list(F.when(~is_closer, F.struct(F.col("seg_idx").alias("first_idx"), "start_s"))).alias("_openers"),
+        F.collect_list(F.when(is_closer, F.struct(F.col("seg_idx").alias("last_idx"), "end_s"))).alias("_closers"),
     )
     length = F.col("end_s") - F.col("start_s")
     return (
-        openers.join(closers, ["video_id", "_b"])
+        met.select("_part.video_id", F.explode("_openers").alias("_o"), "_closers")
+        .select("video_id", "_o.first_idx", "_o.start_s", F.inline("_closers"))
         .where(
             (F.col("last_idx") >= F.col("first_idx"))
             & length.between(F.lit(target_s - tol_s), F.lit(target_s + tol_s))
@@ -132,53 +129,24 @@ def best_span(spans: DataFrame, score: Column) -> DataFrame:
     return scored.withColumn("_n", first).where(F.col("_n") == 1).drop("_n")
 
 
-_OPEN, _CHOSEN, _REJECTED = 0, 1, 2
-
-
-def _settle(start: np.ndarray, end: np.ndarray, alone: np.ndarray) -> np.ndarray:
-    """Fate of each span of one time chunk; rows come best first.
-
-    A span that overlaps a chosen one is rejected.  A span that reaches into another
-    chunk, or overlaps a better one still open, stays open.  Otherwise it is chosen.
-    """
-    n = len(start)
-    by_start = np.argsort(start, kind="stable")
-    starts, ends = start[by_start], end[by_start]
-    longest = (end - start).max()
-    place = np.empty(n, dtype=np.int64)
-    place[by_start] = np.arange(n)
-    fate = np.full(n, _REJECTED, dtype=np.int32)
-    rejected, blocked = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
-    for i in range(n):
-        at = place[i]
-        if rejected[at]:
-            continue
-        # Every span that could overlap starts within one length before it or inside it.
-        low = np.searchsorted(starts, start[i] - longest, "left")
-        high = np.searchsorted(starts, end[i], "left")
-        met = ends[low:high] > start[i]
-        if blocked[at] or not alone[i]:
-            fate[i] = _OPEN
-            blocked[low:high] |= met
-        else:
-            fate[i] = _CHOSEN
-            rejected[low:high] |= met
-    return fate
-
-
 def all_spans(
     spans: DataFrame, score: Column, single: bool = False, chunk_s: float = GREEDY_CHUNK_S
 ) -> DataFrame:
     """Every good span: the best first, then the best that overlaps none taken yet.
 
-    ``single`` returns only the best one, which is also the first of all.  Exact and parallel within a video: time is
-    cut into chunks and each chunk is settled on its own, except for spans that
-    depend on a neighbour chunk.  Those few are settled in further rounds with the
-    cuts moved by half a chunk.  A video shorter than a chunk needs one round.
+    ``single`` returns only the best one, which is also the first of all.  Exact and parallel within a
+    video: time is cut into chunks of ``chunk_s``, a fixed width, and each chunk is settled on its own
+    by one fold over its spans, best first.  A span that reaches into another chunk, and what
+    overlaps it and ranks lower, stays open for a further round, with the cuts moved by half a chunk.
+
+    Rounds: a span that waits for none is settled as soon as it lies inside one chunk, which is so in one
+    of two rounds (the width is at least twice the longest span, else it is raised to that once).  Waiting
+    spans overlap one by one, so a chain of them that spans k half chunks takes at most about 2 k + 2
+    rounds, however it is ordered: a chunk settles all of a chain that lies in it at once.  So rounds are
+    bounded by the length of the longest video over the width; a video shorter than a chunk takes one or two.
 
     Equal scores are ranked by a scattering of the segment numbers: ranked by time,
-    each span would wait for the one before it, and a long video of even segments
-    would be settled from one end to the other.
+    each span would wait for the one before it, and chains would be as long as the video.
     """
     if single:
         return best_span(spans, score)
@@ -186,51 +154,69 @@ def all_spans(
     ensure_checkpoint_dir(spark)
     open_spans = spans.withColumn("score", score).withColumn("_tie", _scattered())
     names = open_spans.columns
-    schema = open_spans.withColumn("_touched", F.lit(0)).withColumn("_fate", F.lit(0)).schema
     chosen = None
-    shift, rounds = 0.0, 0
+    shift = 0.0
     while True:
         low = F.floor((F.col("start_s") + shift) / chunk_s)
         high = F.floor((F.col("end_s") + shift) / chunk_s)
-        placed = open_spans.withColumn("_touched", (high - low + 1).cast("int")).withColumn(
-            "_chunk", F.explode(F.sequence(low, high))
-        )
-        fates = _settled(placed, schema).checkpoint()
+        placed = open_spans.withColumn("_alone", low == high).withColumn("_chunk", F.explode(F.sequence(low, high)))
+        fates = _settled(placed, names).checkpoint()
         picked = fates.where(F.col("_fate") == _CHOSEN).select(*names)
         chosen = picked if chosen is None else chosen.unionByName(picked)
-        # A span in two chunks comes back twice and stays open if both leave it open.
-        inside = fates.where((F.col("_touched") == 1) & (F.col("_fate") == _OPEN)).select(*names)
+        # A span in several chunks comes back from each; it stays open if all of them leave it open.
+        inside = fates.where(F.col("_alone") & (F.col("_fate") == _OPEN)).select(*names)
         across = (
-            fates.where(F.col("_touched") > 1)
+            fates.where(~F.col("_alone"))
             .groupBy(F.struct(*names).alias("_span"))
             .agg(F.max("_fate").alias("_fate"))
             .where(F.col("_fate") == _OPEN)
             .select("_span.*")
         )
         open_spans = inside.unionByName(across)
-        if open_spans.isEmpty():
+        longest = open_spans.agg(F.max(F.col("end_s") - F.col("start_s"))).first()[0]
+        if longest is None:
             return chosen.drop("_tie")
+        chunk_s = max(chunk_s, 2.0 * longest)
         shift = chunk_s / 2 if shift == 0.0 else 0.0
-        rounds += 1
-        if rounds % ROUNDS_PER_WIDTH == 0:
-            # Long chains of dependent spans, or spans longer than half a chunk: what
-            # little is left is settled in wider chunks.
-            chunk_s *= 2
-
-
-def _settled(placed: DataFrame, schema) -> DataFrame:
-    """Run ``_settle`` on every (video, chunk)."""
-    columns = schema.names
-    rank = [("score", "descending")] + [(c, "ascending") for c in ("_tie", "first_idx", "last_idx")]
-
-    def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by(rank)
-        start, end = rows["start_s"].to_numpy(), rows["end_s"].to_numpy()
-        alone = rows["_touched"].to_numpy() == 1
-        fate = _settle(start, end, alone)
-        # Most spans are rejected; only one seen by a second chunk must be reported.
-        told = pa.array((fate != _REJECTED) | ~alone)
-        return rows.append_column("_fate", pa.array(fate)).filter(told).select(columns)
-
-    part = chunk_key(["video_id"], F.col("_chunk"))
-    return placed.withColumn("_part", part).groupBy("_part").applyInArrow(run, schema)
+
+
+_OPEN, _CHOSEN, _REJECTED = 0, 1, 2
+
+
+def _settled(placed: DataFrame, names: list[str]) -> DataFrame:
+    """The fate of each span of each (video, chunk) as far as the chunk alone can tell.
+
+    Best first: a span that overlaps a chosen one is rejected; one that reaches into another chunk,
+    or overlaps a better one still open, stays open; any other is chosen.  Rejected spans that lie in one
+    chunk are not returned.  What is held while folding are the chosen and open spans of one chunk.
+    """
+    key = ["video_id"]
+    rest = [c for c in names if c not in (*key, "score", "_tie", "first_idx", "last_idx")]
+    # Fields in ranking order, so that sorting the structs ranks the spans.
+    span = F.struct(F.col("score").isNull().alias("_none"), (-F.col("score")).alias("_rank"), "_tie", "first_idx", "last_idx", *rest, "score", "_alone")
+    groups = placed.groupBy(chunk_key(key, F.col("_chunk")).alias("_part")).agg(F.array_sort(F.collect_list(span)).alias("_spans"))
+    overlaps = lambda kept, x: F.exists(kept, lambda k: (k["start_s"] < x["end_s"]) & (x["start_s"] < k["end_s"]))
+
+    def told(x: Column, fate: int) -> Column:
+        return F.array(F.struct(x.alias("span"), F.lit(fate).alias("fate")))
+
+    def step(acc: Column, x: Column) -> Column:
+        rejected = overlaps(acc["chosen"], x)
+        waits = ~x["_alone"] | overlaps(acc["open"], x)
+        return F.when(
+            rejected,
+            F.when(x["_alone"], acc).otherwise(acc.withField("told", F.concat(acc["told"], told(x, _REJECTED)))),
+        ).when(waits, acc.withField("open", F.array_append(acc["open"], x))).otherwise(
+            acc.withField("chosen", F.array_append(acc["chosen"], x))
+        )
+
+    none = F.slice("_spans", 1, 0)
+    nothing = F.slice(F.transform("_spans", lambda x: F.struct(x.alias("span"), F.lit(_OPEN).alias("fate"))), 1, 0)
+    start = F.struct(none.alias("chosen"), none.alias("open"), nothing.alias("told"))
+    mark = lambda kept, fate: F.transform(kept, lambda x: F.struct(x.alias("span"), F.lit(fate).alias("fate")))
+    close = lambda acc: F.concat(mark(acc["chosen"], _CHOSEN), mark(acc["open"], _OPEN), acc["told"])
+    settled = groups.select(F.col("_part.video_id").alias("video_id"), F.explode(F.aggregate("_spans", start, step, close)).alias("_x"))
+    fields = [c for c in names if c not in key]
+    return settled.select("video_id", *[F.col("_x.span")[c].alias(c) for c in fields], F.col("_x.span._alone").alias("_alone"), F.col("_x.fate").alias("_fate")).select(
+        *names, "_alone", "_fate"
+    )
