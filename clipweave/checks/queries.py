@@ -87,7 +87,22 @@ def pending_transcription(spark, d):
 @query
 def clip_manifest(spark, d):
     return plan.clip_manifest(
-        t.videos(spark, d), t.segments(spark, d), t.responses(spark, d), t.video_detections(spark, d)
+        t.videos(spark, d), t.segments(spark, d), t.responses(spark, d), t.video_detections(spark, d), t.clip_motion(spark, d)
+    )
+
+
+@query
+def many_clip_manifest(spark, d):
+    """Several clips per video, each with its own names and crop plan."""
+    return plan.many_clip_manifest(
+        t.videos(spark, d), t.segments(spark, d), _score(), t.video_detections(spark, d), t.clip_motion(spark, d)
+    )
+
+
+@query
+def clip_crop_ranges(spark, d):
+    return plan.clip_crop_ranges(
+        _clips(spark, d), t.video_detections(spark, d), t.clip_motion(spark, d), t.sizes(spark, d)
     )
 
 

@@ -224,6 +224,79 @@ TABLES: dict[str, str] = {
                     ELSE greatest(0, least(m - floor(vw / 2)::INT, width - vw)) END AS x_start
         FROM clips c JOIN dims d ON d.video_id = c.video_id
         LEFT JOIN clip_medians m ON m.video_id = c.video_id AND m.clip_idx = c.clip_idx""",
+    # Crops of clips frame by frame, for single clips and for many; spelled out once for both.
+    "clip_centroids": """
+        SELECT video_id, sample_no, trunc(sum(x * w)::DOUBLE / sum(w)::DOUBLE)::INT AS centroid_x
+        FROM (SELECT v.video_id, sample_no, floor(p * sw / 32.0::DOUBLE)::INT AS x,
+                     CASE WHEN sqrt(fx * fx + fy * fy) > 2.0 THEN floor(sqrt(fx * fx + fy * fy) * 1000000 + 0.5)::BIGINT END AS w
+              FROM (SELECT video_id, sample_no, p, embedding[2 * p + 1]::DOUBLE * 10 AS fx, embedding[2 * p + 2]::DOUBLE * 10 AS fy
+                    FROM (SELECT label::BIGINT * 8 AS video_id, embedding, unnest(range(32)) AS p,
+                                 row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS sample_no FROM embeddings)) v JOIN scaled s ON s.video_id = v.video_id)
+        GROUP BY ALL""",
+    "clip_goals": """
+        SELECT c.video_id, c.clip_idx, m.sample_no, row_number() OVER (PARTITION BY c.video_id, c.clip_idx ORDER BY m.sample_no) AS rn,
+               CASE WHEN row_number() OVER (PARTITION BY c.video_id, c.clip_idx ORDER BY m.sample_no) > 1 AND centroid_x IS NOT NULL
+                    THEN greatest(0, least(centroid_x - floor(vw / 2)::INT, sw - vw)) END AS goal
+        FROM clips c JOIN scaled s ON s.video_id = c.video_id
+        JOIN clip_centroids m ON m.video_id = c.video_id AND m.sample_no * trunc(fps) >= floor(c.start_s * fps)
+                             AND m.sample_no * trunc(fps) < floor(c.end_s * fps)""",
+    "clip_smoothed": """
+        SELECT video_id, clip_idx, rn, sample_no, 0 AS smoothed_x FROM clip_goals WHERE rn = 1
+        UNION ALL
+        SELECT g.video_id, g.clip_idx, g.rn, g.sample_no,
+               CASE WHEN g.goal IS NULL THEN s.smoothed_x
+                    ELSE trunc(0.90::DOUBLE * s.smoothed_x + 0.10::DOUBLE * g.goal)::INT END
+        FROM clip_smoothed s JOIN clip_goals g ON g.video_id = s.video_id AND g.clip_idx = s.clip_idx AND g.rn = s.rn + 1""",
+    "clip_frames": """
+        SELECT c.video_id, c.clip_idx, x.mode, f, CASE x.mode WHEN 'face' THEN x.x_start ELSE coalesce(s.smoothed_x, 0) END AS o
+        FROM (SELECT c.video_id, clip_idx, fps, floor(c.start_s * fps)::BIGINT AS b,
+                     unnest(range((floor(c.end_s * fps) - floor(c.start_s * fps))::BIGINT)) AS f
+              FROM clips c JOIN videos v ON v.video_id = c.video_id) c
+        JOIN cropped x ON x.video_id = c.video_id AND x.clip_idx = c.clip_idx AND x.mode <> 'reject'
+        ASOF LEFT JOIN clip_smoothed s
+          ON s.video_id = c.video_id AND s.clip_idx = c.clip_idx AND floor((c.b + c.f) / trunc(c.fps)) >= s.sample_no""",
+    "clip_ranges": """
+        SELECT video_id, clip_idx, mode, o, min(f) AS first_frame, max(f) AS last_frame
+        FROM (SELECT *, f - row_number() OVER (PARTITION BY video_id, clip_idx, o ORDER BY f) AS island FROM clip_frames)
+        GROUP BY video_id, clip_idx, mode, o, island""",
+    "clip_windows": """
+        SELECT r.video_id, clip_idx, row_number() OVER (PARTITION BY r.video_id, clip_idx ORDER BY first_frame) - 1 AS range_no, mode,
+               first_frame::INT AS first_frame, last_frame::INT AS last_frame,
+               CASE WHEN e - o < vw THEN greatest(0, e - vw) ELSE o END AS crop_x, e AS crop_x2
+        FROM (SELECT r.*, vw, least(o + vw, CASE mode WHEN 'face' THEN width ELSE sw END) AS e
+              FROM clip_ranges r JOIN scaled s ON s.video_id = r.video_id) r""",
+    "many_clip_goals": """
+        SELECT c.video_id, c.clip_idx, m.sample_no, row_number() OVER (PARTITION BY c.video_id, c.clip_idx ORDER BY m.sample_no) AS rn,
+               CASE WHEN row_number() OVER (PARTITION BY c.video_id, c.clip_idx ORDER BY m.sample_no) > 1 AND centroid_x IS NOT NULL
+                    THEN greatest(0, least(centroid_x - floor(vw / 2)::INT, sw - vw)) END AS goal
+        FROM many_cut c JOIN scaled s ON s.video_id = c.video_id
+        JOIN clip_centroids m ON m.video_id = c.video_id AND m.sample_no * trunc(fps) >= floor(c.start_s * fps)
+                             AND m.sample_no * trunc(fps) < floor(c.end_s * fps)""",
+    "many_clip_smoothed": """
+        SELECT video_id, clip_idx, rn, sample_no, 0 AS smoothed_x FROM many_clip_goals WHERE rn = 1
+        UNION ALL
+        SELECT g.video_id, g.clip_idx, g.rn, g.sample_no,
+               CASE WHEN g.goal IS NULL THEN s.smoothed_x
+                    ELSE trunc(0.90::DOUBLE * s.smoothed_x + 0.10::DOUBLE * g.goal)::INT END
+        FROM many_clip_smoothed s JOIN many_clip_goals g ON g.video_id = s.video_id AND g.clip_idx = s.clip_idx AND g.rn = s.rn + 1""",
+    "many_clip_frames": """
+        SELECT c.video_id, c.clip_idx, x.mode, f, CASE x.mode WHEN 'face' THEN x.x_start ELSE coalesce(s.smoothed_x, 0) END AS o
+        FROM (SELECT c.video_id, clip_idx, fps, floor(c.start_s * fps)::BIGINT AS b,
+                     unnest(range((floor(c.end_s * fps) - floor(c.start_s * fps))::BIGINT)) AS f
+              FROM many_cut c JOIN videos v ON v.video_id = c.video_id) c
+        JOIN many_cropped x ON x.video_id = c.video_id AND x.clip_idx = c.clip_idx AND x.mode <> 'reject'
+        ASOF LEFT JOIN many_clip_smoothed s
+          ON s.video_id = c.video_id AND s.clip_idx = c.clip_idx AND floor((c.b + c.f) / trunc(c.fps)) >= s.sample_no""",
+    "many_clip_ranges": """
+        SELECT video_id, clip_idx, mode, o, min(f) AS first_frame, max(f) AS last_frame
+        FROM (SELECT *, f - row_number() OVER (PARTITION BY video_id, clip_idx, o ORDER BY f) AS island FROM many_clip_frames)
+        GROUP BY video_id, clip_idx, mode, o, island""",
+    "many_clip_windows": """
+        SELECT r.video_id, clip_idx, row_number() OVER (PARTITION BY r.video_id, clip_idx ORDER BY first_frame) - 1 AS range_no, mode,
+               first_frame::INT AS first_frame, last_frame::INT AS last_frame,
+               CASE WHEN e - o < vw THEN greatest(0, e - vw) ELSE o END AS crop_x, e AS crop_x2
+        FROM (SELECT r.*, vw, least(o + vw, CASE mode WHEN 'face' THEN width ELSE sw END) AS e
+              FROM many_clip_ranges r JOIN scaled s ON s.video_id = r.video_id) r""",
     "unique_boxes": """
         SELECT video_id, x, y, x1 - x AS w, y1 - y AS h, min((frame_no, det_idx)) AS seen, min(frame_no) AS first_frame
         FROM dense GROUP BY ALL""",
@@ -294,6 +367,36 @@ TABLES: dict[str, str] = {
         FROM (SELECT video_id, list([{'first_idx': first_idx, 'last_idx': last_idx, 'start_s': start_s, 'end_s': end_s,
                                       'span_s': span_s, 'score': score}] ORDER BY clip_turn) AS l
               FROM scored GROUP BY 1)""",
+    "many": """
+        SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY s) - 1 AS clip_idx, s AS start_s,
+               least(e::DOUBLE, top) AS end_s, least(e::DOUBLE, top) - s AS clip_s,
+               CASE WHEN s <= 0 OR e <= s THEN 'bad_highlight' WHEN s >= top THEN 'out_of_range' ELSE 'ok' END AS clip_status
+        FROM (SELECT video_id, trunc(k.start_s)::INT AS s, trunc(k.end_s)::INT AS e
+              FROM (SELECT video_id, unnest(kept) AS k FROM greedy_clips))
+        JOIN (SELECT video_id, duration_s - 0.1::DOUBLE AS top FROM videos) USING (video_id)""",
+    "one_captions": "SELECT video_id, clip_idx, count(seg_idx) AS n FROM captions GROUP BY ALL",
+    "many_cut": "SELECT * FROM many WHERE clip_status = 'ok'",
+    "many_faces": """
+        SELECT c.video_id, c.clip_idx, x + floor((x1 - x) / 2)::INT AS centre
+        FROM many_cut c JOIN videos v ON c.video_id = v.video_id
+        JOIN seen s ON s.video_id = c.video_id AND s.frame_no >= floor(c.start_s * fps)
+                   AND s.frame_no < floor(c.start_s * fps) + 30
+        WHERE x1 - x >= 30 AND y1 - y >= 30
+        QUALIFY row_number() OVER (PARTITION BY c.video_id, c.clip_idx, s.frame_no
+                                   ORDER BY (x1 - x)::BIGINT * (y1 - y) DESC, det_idx) = 1""",
+    "many_medians": """
+        SELECT video_id, clip_idx, l[floor(len(l) / 2)::INT + 1] + 60 AS m
+        FROM (SELECT video_id, clip_idx, list_sort(list(centre)) AS l FROM many_faces GROUP BY ALL)""",
+    "many_cropped": """
+        SELECT c.video_id, c.clip_idx, CASE WHEN width < vw THEN 'reject' WHEN m IS NULL THEN 'motion' ELSE 'face' END AS mode,
+               CASE WHEN width < vw THEN NULL WHEN m IS NULL THEN 0
+                    ELSE greatest(0, least(m - floor(vw / 2)::INT, width - vw)) END AS x_start
+        FROM many_cut c JOIN dims d ON d.video_id = c.video_id
+        LEFT JOIN many_medians m ON m.video_id = c.video_id AND m.clip_idx = c.clip_idx""",
+    "many_captions": r"""
+        SELECT c.video_id, clip_idx, count(*) AS n
+        FROM many_cut c JOIN segments s ON s.video_id = c.video_id AND s.end_s - c.start_s > 0 AND s.start_s - c.start_s < clip_s
+        WHERE regexp_replace(text, '^\s+|\s+$', '', 'g') <> '' GROUP BY ALL""",
     "outcomes": """
         SELECT video_id, status, CASE WHEN status IN ('highlight_failed', 'crashed', 'out_of_range', 'too_narrow') THEN 1 ELSE 0 END AS exit_code
         FROM (SELECT v.video_id, CASE WHEN v.video_id % 50 = 7 THEN 'no_video' WHEN v.video_id % 50 = 8 THEN 'no_audio'
@@ -323,7 +426,7 @@ _INTER = f"({_W} * {_H})"
 _HIT = f"({_INTER} / ({_SIZE} + {_SIZE.replace('{a}', '{b}')} - {_INTER}) > 0.45)"
 TABLES["nms_kept"] = TABLES["nms_kept"].replace("iou_hit(k, b[1])", _HIT.format(a="k", b="b[1]"))
 
-RECURSIVE = {"smoothed"}
+RECURSIVE = {"smoothed", "clip_smoothed", "many_clip_smoothed"}
 
 
 def _with(sql: str) -> str:
@@ -379,13 +482,36 @@ QUERIES_SQL: dict[str, str] = {
     "read_segments": "SELECT video_id, seg_idx, text, start_s, end_s FROM segments",
     "pending_transcription": "SELECT video_id, duration_s FROM videos WHERE video_id NOT IN (SELECT doc_id FROM labels)",
     "clip_manifest": f"""
-        SELECT video_id, clip_idx, start_s, end_s, vw AS vertical_w, vh AS vertical_h, mode, x_start,
+        SELECT c.video_id, c.clip_idx, 'https://example.org/watch/' || c.video_id AS source, start_s, end_s, vw AS vertical_w,
+               vh AS vertical_h, mode, x_start, coalesce(r.k, 0) AS n_ranges, coalesce(plan, '') AS crop_plan,
+               coalesce(n, 0) AS n_captions,
+               CASE WHEN title = '' THEN 'output' ELSE {_SLUG.format("title")} END || '_' || key || '_short.mp4' AS output,
+               'audio_' || key || '.wav' AS audio_file, 'temp_clip_' || key || '.mp4' AS clip_file,
+               'temp_cropped_' || key || '.mp4' AS cropped_file, 'temp_subtitled_' || key || '.mp4' AS subtitled_file,
+               CASE WHEN clip_status <> 'ok' THEN clip_status WHEN mode = 'reject' THEN 'too_narrow' ELSE 'planned' END AS status
+        FROM (SELECT *, substr(sha256(video_id || '|' || clip_idx), 1, 8) AS key FROM clips) c
+        JOIN dims d ON d.video_id = c.video_id
+        LEFT JOIN cropped x ON x.video_id = c.video_id AND x.clip_idx = c.clip_idx
+        LEFT JOIN (SELECT video_id, clip_idx, count(*) AS k,
+                          string_agg(first_frame || '-' || last_frame || '@' || crop_x, ';' ORDER BY range_no) AS plan
+                   FROM clip_windows GROUP BY ALL) r ON r.video_id = c.video_id AND r.clip_idx = c.clip_idx
+        LEFT JOIN one_captions n ON n.video_id = c.video_id AND n.clip_idx = c.clip_idx""",
+    "many_clip_manifest": f"""
+        SELECT c.video_id, c.clip_idx, 'https://example.org/watch/' || c.video_id AS source, start_s, end_s, vw AS vertical_w,
+               vh AS vertical_h, mode, x_start, coalesce(r.k, 0) AS n_ranges, coalesce(plan, '') AS crop_plan,
                coalesce(n, 0) AS n_captions,
-               CASE WHEN title = '' THEN 'output' ELSE {_SLUG.format("title")} END || '_'
-                   || substr(sha256(video_id || '|' || clip_idx), 1, 8) || '_short.mp4' AS output,
-               CASE WHEN mode = 'reject' THEN 'too_narrow' ELSE 'planned' END AS status
-        FROM clips JOIN dims USING (video_id) JOIN cropped USING (video_id, clip_idx)
-        LEFT JOIN (SELECT video_id, clip_idx, count(seg_idx) AS n FROM captions GROUP BY ALL) USING (video_id, clip_idx)""",
+               CASE WHEN title = '' THEN 'output' ELSE {_SLUG.format("title")} END || '_' || key || '_short.mp4' AS output,
+               'audio_' || key || '.wav' AS audio_file, 'temp_clip_' || key || '.mp4' AS clip_file,
+               'temp_cropped_' || key || '.mp4' AS cropped_file, 'temp_subtitled_' || key || '.mp4' AS subtitled_file,
+               CASE WHEN clip_status <> 'ok' THEN clip_status WHEN mode = 'reject' THEN 'too_narrow' ELSE 'planned' END AS status
+        FROM (SELECT *, substr(sha256(video_id || '|' || clip_idx), 1, 8) AS key FROM many) c
+        JOIN dims d ON d.video_id = c.video_id
+        LEFT JOIN many_cropped x ON x.video_id = c.video_id AND x.clip_idx = c.clip_idx
+        LEFT JOIN (SELECT video_id, clip_idx, count(*) AS k,
+                          string_agg(first_frame || '-' || last_frame || '@' || crop_x, ';' ORDER BY range_no) AS plan
+                   FROM many_clip_windows GROUP BY ALL) r ON r.video_id = c.video_id AND r.clip_idx = c.clip_idx
+        LEFT JOIN many_captions n ON n.video_id = c.video_id AND n.clip_idx = c.clip_idx""",
+    "clip_crop_ranges": "SELECT video_id, clip_idx, range_no, mode, first_frame, last_frame, crop_x, crop_x2 FROM clip_windows",
     "temp_file_names": """
         SELECT page_id, 'audio_' || k || '.wav' AS audio_file, 'temp_clip_' || k || '.mp4' AS clip_file,
                'temp_cropped_' || k || '.mp4' AS cropped_file, 'temp_subtitled_' || k || '.mp4' AS subtitled_file
@@ -492,13 +618,7 @@ QUERIES_SQL: dict[str, str] = {
                   WHEN width < trunc(height * 9 / 16) - trunc(height * 9 / 16) % 2 THEN 'too_narrow' ELSE 'success' END AS status
               FROM documents d JOIN videos v ON v.video_id = d.doc_id LEFT JOIN settled s ON s.video_id = d.doc_id
               LEFT JOIN (SELECT video_id AS n FROM segments GROUP BY 1) ON n = d.doc_id)""",
-    "many_clips": """
-        SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY s) - 1 AS clip_idx, s AS start_s,
-               least(e::DOUBLE, top) AS end_s, least(e::DOUBLE, top) - s AS clip_s,
-               CASE WHEN s <= 0 OR e <= s THEN 'bad_highlight' WHEN s >= top THEN 'out_of_range' ELSE 'ok' END AS clip_status
-        FROM (SELECT video_id, trunc(k.start_s)::INT AS s, trunc(k.end_s)::INT AS e
-              FROM (SELECT video_id, unnest(kept) AS k FROM greedy_clips))
-        JOIN (SELECT video_id, duration_s - 0.1::DOUBLE AS top FROM videos) USING (video_id)""",
+    "many_clips": "SELECT * FROM many",
     "take_until": """
         SELECT line_no, success FROM (
             SELECT o_orderkey AS line_no, o_orderstatus = 'F' AS success,

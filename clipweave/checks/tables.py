@@ -81,6 +81,7 @@ def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("video_id"),
         F.col("text").alias("title"),
+        F.concat(F.lit("https://example.org/watch/"), F.col("doc_id").cast("string")).alias("source"),
         by_kind(1920, 1280, 640, 3840, 400).alias("width"),
         by_kind(1080, 720, 480, 2160, 854).alias("height"),
         by_kind(30.0, 25.0, 24.0, 60.0, 30.0).alias("fps"),
@@ -281,10 +282,10 @@ def pcm(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def motion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Motion vectors in scaled pixels, 32 columns per sample."""
+def motion(spark: SparkSession, sf_dir: str, spread: int = 1) -> DataFrame:
+    """Motion vectors in scaled pixels, 32 columns per sample; label k is video k * ``spread``."""
     labelled = load(spark, sf_dir, "embeddings").select(
-        F.col("label").cast("long").alias("video_id"), "vec_id", "embedding"
+        (F.col("label").cast("long") * spread).alias("video_id"), "vec_id", "embedding"
     )
     vectors = dense_index(
         labelled, ["video_id"], position_chunk("vec_id", 4096), [F.col("vec_id")], "sample_no"
@@ -304,6 +305,11 @@ def motion(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def clip_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The motion samples again, for videos whose reply gives a clip."""
+    return motion(spark, sf_dir, 8)
+
+
 def motion_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All frames the motion samples cover."""
     last = load(spark, sf_dir, "embeddings").groupBy(F.col("label").cast("long").alias("video_id")).agg(

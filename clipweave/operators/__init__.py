@@ -1,4 +1,5 @@
 from clipweave.operators.captions import (
+    caption_counts,
     caption_layout,
     clip_captions,
     default_style,
@@ -17,7 +18,14 @@ from clipweave.operators.items import (
     route_inputs,
     take_until,
 )
-from clipweave.operators.motion import crop_per_frame, crop_window, motion_centroid, smooth_track
+from clipweave.operators.motion import (
+    clip_samples,
+    crop_per_frame,
+    crop_ranges,
+    crop_window,
+    motion_centroid,
+    smooth_track,
+)
 from clipweave.operators.ordered import dense_index, fill_forward, position_chunk, running_sum
 from clipweave.operators.spans import all_spans, best_span, candidate_spans, sentence_edges, span_text
 from clipweave.operators.speaker import active_speaker, fill_track, lip_distance, zip_audio

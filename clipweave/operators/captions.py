@@ -40,12 +40,12 @@ def _buckets(low: Column, high: Column) -> Column:
     return F.sequence(F.floor(low / BUCKET_S), F.floor(high / BUCKET_S))
 
 
-def overlapping(clips: DataFrame, segments: DataFrame, *columns: str) -> DataFrame:
-    """Segments that overlap a clip of their video, with ``columns`` of the segment.
+def _met(clips: DataFrame, segments: DataFrame, *columns: str, how: str = "inner") -> DataFrame:
+    """Segments in the time buckets of each clip of their video, with ``columns`` of the segment; ``_hit``: it overlaps.
 
     Both sides are placed in fixed time buckets and joined on video and bucket: a
     very long video is spread over its buckets, and only neighbours in time meet.
-    A pair that shares several buckets is kept in the first one.
+    A pair that shares several buckets overlaps in the first one only.
     """
     s0 = F.least("start_s", F.greatest("start_s", "end_s"))
     s1 = F.greatest("start_s", "end_s")
@@ -62,9 +62,8 @@ def overlapping(clips: DataFrame, segments: DataFrame, *columns: str) -> DataFra
     )
     shift0, shift1 = F.col("start_s") - F.col("_from"), F.col("end_s") - F.col("_from")
     first_shared = F.floor(F.greatest("start_s", "_from") / BUCKET_S)
-    return cut.join(seg, ["video_id", "_b"]).where(
-        (shift1 > 0) & (shift0 < F.col("_length")) & (F.col("_b") == first_shared)
-    )
+    hit = (shift1 > 0) & (shift0 < F.col("_length")) & (F.col("_b") == first_shared)
+    return cut.join(seg, ["video_id", "_b"], how).withColumn("_hit", F.coalesce(hit, F.lit(False)))
 
 
 def clip_captions(clips: DataFrame, segments: DataFrame) -> DataFrame:
@@ -75,28 +74,33 @@ def clip_captions(clips: DataFrame, segments: DataFrame) -> DataFrame:
     blank captions are dropped.  A clip that no segment overlaps keeps one row
     with status ``no_overlap``; one whose segments are all blank has no row.
     """
-    pairs = overlapping(clips, segments, "text")
-    text = strip("text")
-    captions = pairs.select(
+    found = F.struct("seg_idx", "text", "start_s", "end_s")
+    per_clip = (
+        _met(clips, segments, "text", how="left")
+        .groupBy(F.struct("video_id", "clip_idx", "_from", "_length").alias("_clip"))
+        .agg(F.collect_list(F.when(F.col("_hit"), found)).alias("_found"))
+    )
+    shown = per_clip.select("_clip.*", F.explode_outer("_found").alias("_s")).select(
+        "video_id", "clip_idx", "_from", "_length", "_s.seg_idx", strip("_s.text").alias("text"), "_s.start_s", "_s.end_s"
+    )
+    none = F.col("seg_idx").isNull()
+    return shown.where(none | (F.col("text") != "")).select(
         "video_id",
         "clip_idx",
         "seg_idx",
-        text.alias("text"),
-        F.greatest(F.lit(0.0), F.col("start_s") - F.col("_from")).alias("start_s"),
-        F.least(F.col("_length"), F.col("end_s") - F.col("_from")).alias("end_s"),
-        F.lit("caption").alias("status"),
-    ).where(F.col("text") != "")
-    touched = overlapping(clips, segments).select("video_id", "clip_idx").distinct()
-    untouched = clips.join(touched, ["video_id", "clip_idx"], "left_anti").select(
-        "video_id",
-        "clip_idx",
-        F.lit(None).cast("int").alias("seg_idx"),
-        F.lit(None).cast("string").alias("text"),
-        F.lit(None).cast("double").alias("start_s"),
-        F.lit(None).cast("double").alias("end_s"),
-        F.lit("no_overlap").alias("status"),
+        "text",
+        F.when(~none, F.greatest(F.lit(0.0), F.col("start_s") - F.col("_from"))).alias("start_s"),
+        F.when(~none, F.least(F.col("_length"), F.col("end_s") - F.col("_from"))).alias("end_s"),
+        F.when(none, "no_overlap").otherwise("caption").alias("status"),
     )
-    return captions.unionByName(untouched)
+
+
+def caption_counts(clips: DataFrame, segments: DataFrame) -> DataFrame:
+    """``(video_id, clip_idx, n_captions)`` for every clip; carries a flag for blank segments, not the text."""
+    flagged = segments.select("video_id", "seg_idx", "start_s", "end_s", (strip("text") != "").alias("_shown"))
+    counted = F.count(F.when(F.col("_hit") & F.col("_shown"), 1)).alias("n_captions")
+    met = _met(clips, flagged, "_shown", how="left")
+    return met.groupBy(F.struct("video_id", "clip_idx").alias("_clip")).agg(counted).select("_clip.*", "n_captions")
 
 
 def caption_layout(captions: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipweave.functions import clamp, floor_div, trunc_int
@@ -45,22 +45,31 @@ def step(state: Column, target: Column) -> Column:
     return F.when(target.isNull(), state).otherwise(moved.cast("int"))
 
 
-def targets(centroids: DataFrame, videos: DataFrame) -> DataFrame:
-    """``(video_id, sample_no, target, max_x)``; the first sample never has a target."""
+def targets(centroids: DataFrame, videos: DataFrame, keys: tuple[str, ...] = ("video_id",)) -> DataFrame:
+    """``(video_id, sample_no, target, max_x)``; the first sample never has a target.
+
+    With ``clip_idx`` among the ``keys``, samples are those of a clip and numbered from its start.
+    """
     sizes = screen_scale(videos).select("video_id", "vertical_w", "scaled_w", "max_x")
     vw = F.col("vertical_w")
     target = clamp(F.col("centroid_x") - floor_div(vw, 2), 0, F.col("scaled_w") - vw)
     usable = F.col("centroid_x").isNotNull() & (F.col("sample_no") > 0)
     return centroids.join(sizes, "video_id").select(
-        "video_id", "sample_no", F.when(usable, target).alias("target"), "max_x"
+        *keys, "sample_no", F.when(usable, target).alias("target"), "max_x"
     )
 
 
 def smooth_track(
-    centroids: DataFrame, videos: DataFrame, chunk: int = SAMPLE_CHUNK, fan: int = FAN
+    centroids: DataFrame,
+    videos: DataFrame,
+    chunk: int = SAMPLE_CHUNK,
+    fan: int = FAN,
+    keys: tuple[str, ...] = ("video_id",),
 ) -> DataFrame:
     """``(video_id, sample_no, smoothed_x)``: the smoothed offset after every sample.
 
+    With ``clip_idx`` among the ``keys`` (see ``clip_samples``) smoothing starts anew in each clip.
+
     Each step depends on the one before and truncates, so no linear window gives
     it.  But a step never reorders two states, and it pulls them together: what a
     run of samples does to *any* start state is a short list of (lowest start,
@@ -72,23 +81,23 @@ def smooth_track(
     """
     ensure_checkpoint_dir(centroids.sparkSession)
     runs = (
-        targets(centroids, videos)
-        .groupBy(chunk_key(["video_id"], position_chunk("sample_no", chunk)).alias("_part"))
+        targets(centroids, videos, keys)
+        .groupBy(chunk_key(keys, position_chunk("sample_no", chunk)).alias("_part"))
         .agg(
             F.array_sort(F.collect_list(F.struct("sample_no", "target"))).alias("_samples"),
             F.first("max_x").alias("_max"),
         )
-        .select(F.col("_part.video_id").alias("video_id"), F.col("_part.chunk").alias("_run"), "_samples", "_max")
+        .select(*[f"_part.{k}" for k in keys], F.col("_part.chunk").alias("_run"), "_samples", "_max")
         .checkpoint()
     )
-    starts = _run_starts(runs.select("video_id", "_run", _run_effect().alias("_effect")), fan)
+    starts = _run_starts(runs.select(*keys, "_run", _run_effect().alias("_effect")), fan, keys)
     states = F.aggregate(
         "_samples",
         F.array("_start"),
         lambda acc, e: F.array_append(acc, step(F.element_at(acc, -1), e["target"])),
     )
-    replayed = runs.join(starts, ["video_id", "_run"]).select(
-        "video_id",
+    replayed = runs.join(starts, [*keys, "_run"]).select(
+        *keys,
         F.inline(
             F.zip_with(
                 "_samples",
@@ -120,7 +129,7 @@ def _apply(effect: Column, state: Column) -> Column:
     return F.array_max(F.filter(effect, lambda p: p["low"] <= state))["value"]
 
 
-def _run_starts(effects: DataFrame, fan: int) -> DataFrame:
+def _run_starts(effects: DataFrame, fan: int, keys: tuple[str, ...]) -> DataFrame:
     """``(video_id, _run, _start)``: chain the effects in two levels of ``fan`` runs.
 
     With the defaults one row covers a million samples (12 days at one per
@@ -141,7 +150,7 @@ def _run_starts(effects: DataFrame, fan: int) -> DataFrame:
             )
         )
 
-    groups = effects.groupBy("video_id", F.floor(F.col("_run") / fan).alias("_group")).agg(
+    groups = effects.groupBy(*keys, F.floor(F.col("_run") / fan).alias("_group")).agg(
         F.array_sort(F.collect_list(F.struct("_run", "_effect"))).alias("_runs")
     )
     whole = F.aggregate(
@@ -152,13 +161,13 @@ def _run_starts(effects: DataFrame, fan: int) -> DataFrame:
         ),
     )
     group_starts = (
-        groups.select("video_id", "_group", whole.alias("_whole"))
-        .groupBy("video_id")
+        groups.select(*keys, "_group", whole.alias("_whole"))
+        .groupBy(*keys)
         .agg(F.array_sort(F.collect_list(F.struct("_group", "_whole"))).alias("_groups"))
-        .select("video_id", started("_groups", chain("_groups", F.lit(0), "_whole"), "_group"))
+        .select(*keys, started("_groups", chain("_groups", F.lit(0), "_whole"), "_group"))
     )
-    return groups.join(group_starts, ["video_id", "_group"]).select(
-        "video_id", started("_runs", chain("_runs", F.col("_start"), "_effect"), "_run")
+    return groups.join(group_starts, [*keys, "_group"]).select(
+        *keys, started("_runs", chain("_runs", F.col("_start"), "_effect"), "_run")
     )
 
 
@@ -203,3 +212,80 @@ def crop_window(offsets: DataFrame, videos: DataFrame) -> DataFrame:
     return offsets.join(sizes, "video_id").select(
         "video_id", "frame_no", left.alias("crop_x"), right.alias("crop_x2")
     )
+
+
+CLIP = ("video_id", "clip_idx")
+
+
+def _clip_frames(clips: DataFrame, videos: DataFrame) -> DataFrame:
+    """Clips in frames of their video: first frame, number of frames, sampling step, first and last sample."""
+    fps = F.col("fps")
+    begin, step = F.floor(F.col("start_s") * fps), trunc_int(fps)
+    sized = clips.select(*CLIP, "start_s", "end_s").join(videos.select("video_id", "fps"), "video_id")
+    framed = sized.where(step > 0).select(
+        *CLIP, begin.alias("_begin"), (F.floor(F.col("end_s") * fps) - begin).alias("_n"), step.alias("_step")
+    )
+    return framed.where(F.col("_n") > 0).select(
+        "*",
+        F.ceil(F.col("_begin") / F.col("_step")).alias("_first"),
+        F.floor((F.col("_begin") + F.col("_n") - 1) / F.col("_step")).alias("_last"),
+    )
+
+
+def clip_samples(clips: DataFrame, centroids: DataFrame, videos: DataFrame, block: int = SAMPLE_CHUNK) -> DataFrame:
+    """``(video_id, clip_idx, sample_no, centroid_x)``: the samples inside each clip, numbered from its start.
+
+    Samples and clips meet on the video and a block of samples, so a hot video spreads over its
+    blocks.  A sample in several clips belongs to each of them.
+    """
+    blocks = F.sequence(position_chunk("_first", block), position_chunk("_last", block))
+    wanted = _clip_frames(clips, videos).where("_first <= _last").select(*CLIP, "_first", "_last", F.explode(blocks).alias("_block"))
+    known = centroids.select("video_id", "sample_no", "centroid_x", position_chunk("sample_no", block).alias("_block"))
+    return (
+        known.join(wanted, ["video_id", "_block"])
+        .where(F.col("sample_no").between(F.col("_first"), F.col("_last")))
+        .select(*CLIP, (F.col("sample_no") - F.col("_first")).cast("int").alias("sample_no"), "centroid_x")
+    )
+
+
+def crop_ranges(clips: DataFrame, crops: DataFrame, centroids: DataFrame, videos: DataFrame) -> DataFrame:
+    """The crop of every clip as ranges of its frames that share an offset.
+
+    ``crops`` is ``(video_id, clip_idx, mode, x_start)``.  A clip in ``face`` mode is one range at its fixed offset.
+    In ``motion`` mode smoothing starts anew with the clip, at offset 0; frames keep the offset of the last
+    sample before them, and a range begins where the offset changes.  A motion clip without
+    samples is one range at 0; a rejected clip has none.  So a clip has a row per shift of its crop, not
+    one per frame, and no frame is paired with a sample.
+
+    Returns video_id, clip_idx, range_no, mode, first_frame, last_frame (from the clip's start), crop_x, crop_x2.
+    Offsets are in pixels of the scaled frame in motion mode, of the source frame in face mode.
+    """
+    framed = _clip_frames(clips, videos).join(crops.where("mode <> 'reject'"), list(CLIP))
+    moving = clips.join(crops.where("mode = 'motion'").select(*CLIP), list(CLIP), "left_semi")
+    states = smooth_track(clip_samples(moving, centroids, videos), videos, keys=CLIP)
+    part = F.struct(*CLIP)
+    before = F.lag("smoothed_x").over(Window.partitionBy("_part").orderBy("sample_no"))
+    shifts = (
+        states.withColumn("_part", part)
+        .withColumn("_before", F.coalesce(before, F.lit(0)))
+        .where("smoothed_x <> _before")
+        .select(*CLIP, "sample_no", "smoothed_x")
+    )
+    begin = framed.select(*CLIP, F.lit(None).cast("int").alias("sample_no"), F.when(F.col("mode") == "face", F.col("x_start")).otherwise(0).alias("smoothed_x"))
+    sizes = screen_scale(videos).select("video_id", "vertical_w", "width", "scaled_w")
+    placed = begin.unionByName(shifts).join(framed, list(CLIP)).join(sizes, "video_id")
+    at = F.col("_first") * F.col("_step") - F.col("_begin") + F.col("sample_no") * F.col("_step")
+    placed = placed.withColumn("_part", part).withColumn("first_frame", F.coalesce(at, F.lit(0)))
+    order = Window.partitionBy("_part").orderBy("first_frame")
+    right = F.least(F.col("smoothed_x") + F.col("vertical_w"), F.when(F.col("mode") == "face", F.col("width")).otherwise(F.col("scaled_w")))
+    left = F.when(right - F.col("smoothed_x") < F.col("vertical_w"), F.greatest(F.lit(0), right - F.col("vertical_w"))).otherwise(F.col("smoothed_x"))
+    return placed.select(
+        *CLIP,
+        (F.row_number().over(order) - 1).alias("range_no"),
+        "mode",
+        F.col("first_frame").cast("int").alias("first_frame"),
+        (F.lead("first_frame").over(order) - 1).cast("int").alias("_until"),
+        (F.col("_n") - 1).cast("int").alias("_end"),
+        left.alias("crop_x"),
+        right.alias("crop_x2"),
+    ).select(*CLIP, "range_no", "mode", "first_frame", F.coalesce("_until", "_end").alias("last_frame"), "crop_x", "crop_x2")

@@ -1,4 +1,19 @@
 from clipweave.plans.batch import batch_outcomes
-from clipweave.plans.clips import clip_manifest, many_clips, single_clips
+from clipweave.plans.clips import (
+    clip_crop_ranges,
+    clip_manifest,
+    many_clip_manifest,
+    many_clips,
+    manifest,
+    single_clips,
+)
 
-__all__ = ["batch_outcomes", "clip_manifest", "many_clips", "single_clips"]
+__all__ = [
+    "batch_outcomes",
+    "clip_crop_ranges",
+    "clip_manifest",
+    "many_clip_manifest",
+    "many_clips",
+    "manifest",
+    "single_clips",
+]

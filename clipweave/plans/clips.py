@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipweave.functions import output_name, session_key
-from clipweave.operators.captions import clip_captions
+from clipweave.operators.captions import caption_counts
 from clipweave.operators.highlights import clamp_clip, gate_highlights, parse_highlight, passes_gate
+from clipweave.operators.motion import crop_ranges, motion_centroid
 from clipweave.operators.ordered import dense_index
-from clipweave.operators.spans import all_spans
+from clipweave.operators.spans import all_spans, candidate_spans
 from clipweave.operators.vision import clip_detections, largest_face, static_crop, vertical_dims
 from clipweave.session import ensure_checkpoint_dir
+from clipweave.sources.manifest import temp_names
 
 
 def single_clips(responses: DataFrame, videos: DataFrame) -> DataFrame:
@@ -50,37 +52,76 @@ def clip_crops(clips: DataFrame, detections: DataFrame, videos: DataFrame) -> Da
     return static_crop(largest_face(clip_detections(clips, detections, videos), keys=keys), sized, keys)
 
 
-def clip_manifest(
-    videos: DataFrame, segments: DataFrame, responses: DataFrame, detections: DataFrame
+def clip_crop_ranges(clips: DataFrame, detections: DataFrame, motion: DataFrame, videos: DataFrame) -> DataFrame:
+    """The crop of each clip as ranges of frames: fixed on a face, else following motion; see ``crop_ranges``."""
+    return crop_ranges(clips, clip_crops(clips, detections, videos), motion_centroid(motion), videos)
+
+
+def _crop_plans(ranges: DataFrame) -> DataFrame:
+    """Ranges as one line per clip: ``first-last@x`` joined by semicolons; a clip shifts at most once a second."""
+    piece = F.format_string("%d-%d@%d", "first_frame", "last_frame", "crop_x")
+    ordered = F.array_sort(F.collect_list(F.struct("range_no", piece.alias("piece"))))
+    return ranges.groupBy(F.struct("video_id", "clip_idx").alias("_clip")).agg(ordered.alias("_p")).select(
+        "_clip.*", F.size("_p").alias("n_ranges"), F.array_join(F.transform("_p", lambda x: x["piece"]), ";").alias("crop_plan")
+    )
+
+
+def manifest(
+    clips: DataFrame, videos: DataFrame, segments: DataFrame, detections: DataFrame, motion: DataFrame
 ) -> DataFrame:
-    """One row per clip: range, frame size, crop mode, number of captions, file name.
+    """One row per clip: source, range, frame size, crop plan, number of captions, file names, status.
+
+    ``clips`` is ``(video_id, clip_idx, start_s, end_s, clip_s[, clip_status])``, one or many per video; ``videos`` has
+    ``title``, ``source``, ``width``, ``height`` and ``fps``.  A clip whose ``clip_status`` is not ``ok`` keeps a row with that
+    status and no plan; so does one of a frame narrower than its crop, as ``too_narrow``.  Every run has its own
+    key, made of video and clip, in the names of its files.
 
     The clips are few and used in every branch, so they are checkpointed.
     """
     ensure_checkpoint_dir(videos.sparkSession)
-    clips = single_clips(responses, videos).checkpoint()
-    captions = (
-        clip_captions(clips, segments)
-        .groupBy("video_id", "clip_idx")
-        .agg(F.count("seg_idx").alias("n_captions"))
-    )
-    crops = clip_crops(clips, detections, videos)
-    dims = vertical_dims(videos).select("video_id", "title", "vertical_w", "vertical_h")
-    return (
+    keys = ["video_id", "clip_idx"]
+    if "clip_status" not in clips.columns:
+        clips = clips.withColumn("clip_status", F.lit("ok"))
+    clips = clips.checkpoint()
+    cut = clips.where("clip_status = 'ok'")
+    crops = clip_crops(cut, detections, videos).checkpoint()
+    ranges = crop_ranges(cut, crops, motion_centroid(motion), videos)
+    dims = vertical_dims(videos).select("video_id", "title", "source", "vertical_w", "vertical_h")
+    named = (
         clips.join(dims, "video_id")
-        .join(crops, ["video_id", "clip_idx"])
-        .join(captions, ["video_id", "clip_idx"], "left")
-        .select(
-            "video_id",
-            "clip_idx",
-            "start_s",
-            "end_s",
-            "vertical_w",
-            "vertical_h",
-            "mode",
-            "x_start",
-            F.coalesce("n_captions", F.lit(0)).alias("n_captions"),
-            output_name("title", session_key("video_id", "clip_idx")).alias("output"),
-            F.when(F.col("mode") == "reject", "too_narrow").otherwise("planned").alias("status"),
-        )
+        .join(crops, keys, "left")
+        .join(_crop_plans(ranges), keys, "left")
+        .join(caption_counts(cut, segments), keys, "left")
+        .withColumn("session", session_key(*keys))
     )
+    status = F.when(F.col("clip_status") != "ok", F.col("clip_status")).when(F.col("mode") == "reject", "too_narrow").otherwise("planned")
+    return named.select(
+        *keys,
+        "source",
+        "start_s",
+        "end_s",
+        "vertical_w",
+        "vertical_h",
+        "mode",
+        "x_start",
+        F.coalesce("n_ranges", F.lit(0)).alias("n_ranges"),
+        F.coalesce("crop_plan", F.lit("")).alias("crop_plan"),
+        F.coalesce("n_captions", F.lit(0)).alias("n_captions"),
+        output_name("title", F.col("session")).alias("output"),
+        *[c.alias(n) for n, c in temp_names().items()],
+        status.alias("status"),
+    )
+
+
+def clip_manifest(
+    videos: DataFrame, segments: DataFrame, responses: DataFrame, detections: DataFrame, motion: DataFrame
+) -> DataFrame:
+    """``manifest`` of one clip per usable reply."""
+    return manifest(single_clips(responses, videos), videos, segments, detections, motion)
+
+
+def many_clip_manifest(
+    videos: DataFrame, segments: DataFrame, score: Column, detections: DataFrame, motion: DataFrame
+) -> DataFrame:
+    """``manifest`` of every good span of each video."""
+    return manifest(many_clips(candidate_spans(segments), score, videos), videos, segments, detections, motion)
