@@ -123,6 +123,12 @@ def chunk_audio(spark, d):
     return frames.select("video_id", "frame_no", F.md5("frame").alias("digest"))
 
 
+@query
+def chunk_audio_parts(spark, d):
+    frames = src.chunk_audio_parts(t.pcm_parts(spark, d))
+    return frames.select("video_id", "frame_no", F.md5("frame").alias("digest"))
+
+
 @query
 def export_channel(spark, d):
     return src.export_channel(t.channel(spark, d), ["videos", "streams"])

@@ -651,6 +651,8 @@ QUERIES_SQL: dict[str, str] = {
 # A stream run to its end gives what the batch form gives.
 QUERIES_SQL["approve_stream"] = QUERIES_SQL["approve"]
 QUERIES_SQL["smooth_stream"] = QUERIES_SQL["smooth_track"]
+# Sound in parts gives the frames of the whole.
+QUERIES_SQL["chunk_audio_parts"] = QUERIES_SQL["chunk_audio"]
 QUERIES_SQL["items_stream"] = """
     SELECT item AS item_id FROM items
     WHERE item NOT IN (SELECT url FROM pages WHERE page_id % 3 < 2)"""

@@ -282,6 +282,19 @@ def pcm(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pcm_parts(spark: SparkSession, sf_dir: str, size: int = 1000) -> DataFrame:
+    """The sound of ``pcm`` in parts of 1,000 bytes, some of them in two."""
+    starts = F.sequence(F.lit(0), F.greatest(F.octet_length("pcm") - 1, F.lit(0)), F.lit(size))
+    cut = pcm(spark, sf_dir).select("video_id", "pcm", F.posexplode(starts).alias("_k", "_at"))
+    short = F.pmod(F.col("_k"), F.lit(7)) == 3
+    sizes = F.when(short, F.array(F.lit(0), F.lit(3))).otherwise(F.array(F.lit(0)))
+    parts = cut.select("video_id", "pcm", "_k", "_at", short.alias("_short"), F.posexplode(sizes).alias("_j", "_from"))
+    length = F.when(F.col("_short") & (F.col("_j") == 0), 3).otherwise(size - F.col("_from"))
+    return parts.select(
+        "video_id", (F.col("_k") * 2 + F.col("_j")).alias("part_no"), F.substring("pcm", F.col("_at") + F.col("_from") + 1, length).alias("pcm")
+    )
+
+
 def motion(spark: SparkSession, sf_dir: str, spread: int = 1) -> DataFrame:
     """Motion vectors in scaled pixels, 32 columns per sample; label k is video k * ``spread``."""
     labelled = load(spark, sf_dir, "embeddings").select(

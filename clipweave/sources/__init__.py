@@ -1,10 +1,11 @@
-from clipweave.sources.audio import chunk_audio
+from clipweave.sources.audio import chunk_audio, chunk_audio_parts
 from clipweave.sources.manifest import export_channel, write_channel, write_plan
 from clipweave.sources.segments import explode_segments, read_segments
 from clipweave.sources.worklist import items_from_lines, preview_items, read_items, read_lines
 
 __all__ = [
     "chunk_audio",
+    "chunk_audio_parts",
     "explode_segments",
     "export_channel",
     "items_from_lines",
