@@ -118,7 +118,9 @@ def align_texts(texts: list[str | None], folder: str | None = None) -> Aligned:
     ahead = pd.merge_asof(left, right, on="start", by="doc")
     back = pd.merge_asof(right, left.assign(start_a=left["start"]), on="start", by="doc")
     back = back[back["start_a"] != back["start"]]  # equal starts were found from the other side
-    both = pd.concat([ahead, back], ignore_index=True)[["a", "b", "start", "end_a", "end_b"]].sort_values(["a", "b"])
+    # Every overlap begins at another byte, in the order of its tokens.
+    both = pd.concat([ahead[["a", "b", "start", "end_a", "end_b"]], back[["a", "b", "start", "end_a", "end_b"]]], ignore_index=True)
+    both = both.take(np.argsort(both["start"].to_numpy(), kind="stable"))
     ends = both[["end_a", "end_b"]].min(axis=1)
     overlaps = pd.DataFrame(
         {"a": both["a"], "b": both["b"], "ends_together": both["end_a"] == both["end_b"], "start": both["start"], "end": ends}
