@@ -506,6 +506,11 @@ def smooth_stream(spark, d):
     return streams.smoothing(spark, d)
 
 
+@query
+def smooth_stream_with_losses(spark, d):
+    return streams.smoothing_with_losses(spark, d)
+
+
 @query
 def items_stream(spark, d):
     return streams.items(spark, d)

@@ -130,6 +130,16 @@ TABLES: dict[str, str] = {
                CASE WHEN g.goal IS NULL THEN s.smoothed_x
                     ELSE trunc(0.90::DOUBLE * s.smoothed_x + 0.10::DOUBLE * g.goal)::INT END
         FROM smoothed s JOIN goals g ON g.video_id = s.video_id AND g.rn = s.rn + 1""",
+    "kept_goals": """
+        SELECT video_id, sample_no, goal, row_number() OVER (PARTITION BY video_id ORDER BY sample_no) AS rn
+        FROM goals WHERE sample_no % 11 <> 5""",
+    "kept_smoothed": """
+        SELECT video_id, rn, sample_no, 0 AS smoothed_x FROM kept_goals WHERE rn = 1
+        UNION ALL
+        SELECT g.video_id, g.rn, g.sample_no,
+               CASE WHEN g.goal IS NULL THEN s.smoothed_x
+                    ELSE trunc(0.90::DOUBLE * s.smoothed_x + 0.10::DOUBLE * g.goal)::INT END
+        FROM kept_smoothed s JOIN kept_goals g ON g.video_id = s.video_id AND g.rn = s.rn + 1""",
     "motion_frames": """
         SELECT video_id, fps, unnest(range((n * trunc(fps))::BIGINT)) AS frame_no
         FROM (SELECT label::BIGINT AS video_id, count(*) AS n FROM embeddings GROUP BY 1) JOIN videos USING (video_id)""",
@@ -426,7 +436,7 @@ _INTER = f"({_W} * {_H})"
 _HIT = f"({_INTER} / ({_SIZE} + {_SIZE.replace('{a}', '{b}')} - {_INTER}) > 0.45)"
 TABLES["nms_kept"] = TABLES["nms_kept"].replace("iou_hit(k, b[1])", _HIT.format(a="k", b="b[1]"))
 
-RECURSIVE = {"smoothed", "clip_smoothed", "many_clip_smoothed"}
+RECURSIVE = {"smoothed", "kept_smoothed", "clip_smoothed", "many_clip_smoothed"}
 
 
 def _with(sql: str) -> str:
@@ -651,6 +661,7 @@ QUERIES_SQL: dict[str, str] = {
 # A stream run to its end gives what the batch form gives.
 QUERIES_SQL["approve_stream"] = QUERIES_SQL["approve"]
 QUERIES_SQL["smooth_stream"] = QUERIES_SQL["smooth_track"]
+QUERIES_SQL["smooth_stream_with_losses"] = "SELECT video_id, sample_no, smoothed_x FROM kept_smoothed"
 # Sound in parts gives the frames of the whole.
 QUERIES_SQL["chunk_audio_parts"] = QUERIES_SQL["chunk_audio"]
 QUERIES_SQL["items_stream"] = """

@@ -115,6 +115,35 @@ def smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(run_to_end(smooth_stream(source), folder))
 
 
+def smoothing_with_losses(spark: SparkSession, sf_dir: str, lost: int = 11) -> DataFrame:
+    """Odd samples arrive before even ones and every ``lost``-th never does; a sample is one second of event time.
+
+    Two rows far in the future move the watermark past all gaps.
+    """
+    folder = stage_dir(spark)
+    second = F.timestamp_seconds(F.col("sample_no") + 1_000_000)
+    samples = targets(motion_centroid(t.motion(spark, sf_dir)), t.sizes(spark, sf_dir)).select(
+        "video_id", "sample_no", "target", second.alias("ts")
+    )
+    samples = samples.where(F.pmod(F.col("sample_no"), F.lit(lost)) != lost // 2)
+    even = F.pmod(F.col("sample_no"), F.lit(2)) == 0
+    session = stream_session(spark)
+
+    def future(days: int) -> DataFrame:
+        ts = F.timestamp_seconds(F.lit(1_000_000 + days * 86_400))
+        return spark.range(1).select(
+            F.lit(SENTINEL).cast("long").alias("video_id"), F.lit(days).alias("sample_no"), F.lit(None).cast("int").alias("target"), ts.alias("ts")
+        )
+
+    # Both halves are staged before the stream starts: they are one batch, so that no sample is late.
+    arrivals = [samples.where(~even).unionByName(samples.where(even)), *[future(d) for d in (3000, 6000, 9000, 12000)]]
+    for now in arrivals:
+        now.write.mode("append").parquet(f"{folder}/samples")
+        source = session.readStream.schema(samples.schema).parquet(f"{folder}/samples")
+        out = run_to_end(smooth_stream(source, gap_s=60.0), folder)
+    return spark.read.parquet(out).where(F.col("video_id") != SENTINEL)
+
+
 def page_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as finished runs: every third one done, every third one failed."""
     kind = F.pmod(F.col("page_id"), F.lit(3))

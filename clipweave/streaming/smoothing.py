@@ -17,51 +17,103 @@ OUTPUT = "video_id BIGINT, sample_no INT, smoothed_x INT"
 
 
 class _Smoother(StatefulProcessor):
-    """Keeps the next sample number, the offset, and samples that came too early."""
+    """Keeps the next sample number, the offset, and samples that came too early.
+
+    Of the early samples only the next one is looked up.  With ``gap_ms`` a timer runs from the last
+    arrival: when it fires over early samples the missing ones are given up and the offset is held;
+    when it fires over none the state of the video is released.
+    """
+
+    def __init__(self, gap_ms: int | None = None, idle_ms: int | None = None) -> None:
+        self._gap_ms, self._idle_ms = gap_ms, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._at = handle.getValueState("at", "next_no INT, smoothed INT, early INT")
+        self._handle = handle
+        self._at = handle.getValueState("at", "next_no INT, smoothed INT, early INT, due_ms LONG")
         self._early = handle.getMapState("early", "sample_no INT", "target INT")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        (video_id,) = key
-        next_no, smoothed, waiting = self._at.get() if self._at.exists() else (0, 0, 0)
-        ready = {}
-        for batch in rows:
-            for no, target in zip(batch["sample_no"], batch["target"]):
-                if no >= next_no:  # a sample delivered twice is already done
-                    ready[int(no)] = None if pd.isna(target) else int(target)
-        if waiting:
-            for (no,), (target,) in list(self._early.iterator()):
-                ready.setdefault(no, target)
-            self._early.clear()
+    def _step(self, smoothed: int, target: int | None) -> int:
+        return smoothed if target is None else int(KEEP_SHARE * smoothed + NEW_SHARE * target)
+
+    def _go_on(self, key, state: tuple, ready: dict, seen_ms: int) -> pd.DataFrame:
+        """Settle samples from the next one on, from ``ready`` and the early ones; keep the rest and set the timer."""
+        next_no, smoothed, early, due_ms = state
         numbers, states = [], []
-        while next_no in ready:
-            target = ready.pop(next_no)
-            if target is not None:
-                smoothed = int(KEEP_SHARE * smoothed + NEW_SHARE * target)
+        while True:
+            if next_no in ready:
+                target = ready.pop(next_no)
+                # A copy may wait among the early ones.
+                if early and self._early.containsKey((next_no,)):
+                    self._early.removeKey((next_no,))
+                    early -= 1
+            elif early and self._early.containsKey((next_no,)):
+                (target,) = self._early.getValue((next_no,))
+                self._early.removeKey((next_no,))
+                early -= 1
+            else:
+                break
+            smoothed = self._step(smoothed, target)
             numbers.append(next_no)
             states.append(smoothed)
             next_no += 1
         for no, target in ready.items():
+            early += not (early and self._early.containsKey((no,)))
             self._early.updateValue((no,), (target,))
-        self._at.update((next_no, smoothed, len(ready)))
-        yield pd.DataFrame({"video_id": video_id, "sample_no": numbers, "smoothed_x": states})
+        if self._gap_ms is not None:
+            if due_ms:
+                self._handle.deleteTimer(due_ms)
+            due_ms = max(seen_ms, 0) + (self._gap_ms if early else self._idle_ms)
+            self._handle.registerTimer(due_ms)
+        self._at.update((next_no, smoothed, early, due_ms))
+        return pd.DataFrame({"video_id": key[0], "sample_no": numbers, "smoothed_x": states})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        state = self._at.get() if self._at.exists() else (0, 0, 0, 0)
+        ready, seen_ms = {}, 0
+        for batch in rows:
+            for no, target in zip(batch["sample_no"], batch["target"]):
+                if no >= state[0]:  # a sample delivered twice is already done
+                    ready[int(no)] = None if pd.isna(target) else int(target)
+            if self._gap_ms is not None:
+                seen_ms = max(seen_ms, int(batch["ts"].max().timestamp() * 1000))
+        yield self._go_on(key, state, ready, seen_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        next_no, smoothed, early, _ = self._at.get()
+        if not early:
+            self._at.clear()
+            yield pd.DataFrame({"video_id": [], "sample_no": [], "smoothed_x": []})
+            return
+        next_no = min(no for (no,) in self._early.keys())
+        yield self._go_on(key, (next_no, smoothed, early, 0), {}, expiredTimerInfo.getExpiryTimeInMs())
 
     def close(self) -> None:
         pass
 
 
-def smooth_stream(samples: DataFrame) -> DataFrame:
-    """The streaming form of ``smooth_track`` over ``(video_id, sample_no, target)``.
+def smooth_stream(
+    samples: DataFrame, gap_s: float | None = None, idle_s: float = 3600.0, lateness: str = "0 seconds"
+) -> DataFrame:
+    """The streaming form of ``smooth_track`` over ``(video_id, sample_no, target[, ts])``.
+
+    Samples are numbered from 0, with a null target where nothing moved.  They may arrive in any
+    order: one that comes early waits in the state until the gap before it is filled, so the result
+    equals the batch form.
 
-    Every sample must arrive, numbered from 0, with a null target where nothing
-    moved.  Samples may arrive in any order: one that comes early waits in the state
-    until the gap before it is filled, so the result equals the batch form.
+    Without ``gap_s`` every sample must arrive.  With it, ``ts`` is the event time: when the watermark is ``gap_s``
+    past the last arrival of a video that has a gap, the missing samples are given up and the offset is held
+    over them, as the batch form does for missing rows.  So the state of a video is bounded by what arrives within
+    ``gap_s``.  ``idle_s`` after the last sample the state is released; a sample after that starts the video anew.
     Needs the RocksDB state store.
     """
+    if gap_s is None:
+        processor, mode, columns = _Smoother(), "none", ["video_id", "sample_no", "target"]
+    else:
+        processor, mode = _Smoother(int(gap_s * 1000), int(idle_s * 1000)), "eventTime"
+        columns = ["video_id", "sample_no", "target", "ts"]
+        samples = samples.withWatermark("ts", lateness)
     return (
-        samples.select("video_id", "sample_no", "target")
+        samples.select(*columns)
         .groupBy("video_id")
-        .transformWithStateInPandas(_Smoother(), OUTPUT, outputMode="append", timeMode="none")
+        .transformWithStateInPandas(processor, OUTPUT, outputMode="append", timeMode=mode)
     )
