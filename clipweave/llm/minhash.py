@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -176,13 +177,34 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, part_
 _BLOCK = ["index", "band", "i", "j"]
 
 
+def _mixed(members: DataFrame, percent: int) -> DataFrame:
+    """Members of band buckets that may have a partner there: of another component and of a fitting size.
+
+    Sizes of linked sets differ by at most 100 / percent, so they lie in the same or in neighbouring classes of
+    a slightly wider ratio; a member whose three classes hold one component only has no partner.  Of buckets
+    with equal members the one of the first band is kept: a pair is looked at in the first band it shares.
+    """
+    size = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent * 1.01)).cast("int")
+    members = members.withColumn("size", size)
+    part = members.groupBy("index", "band", "size").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    around = part.select("index", "band", F.explode(F.array(*[F.col("size") + k for k in (-1, 0, 1)])).alias("size"), "lo", "hi")
+    open_ = around.groupBy("index", "band", "size").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
+    left = members.join(open_.select("index", "band", "size"), ["index", "band", "size"])
+    marks = left.groupBy("index", "band").agg(
+        F.count(F.lit(1)).alias("c"),
+        *[F.sum(F.xxhash64(F.lit(k), "rep").cast("decimal(20,0)")).alias(f"h{k}") for k in (0, 1)],
+    )
+    once = marks.groupBy("c", "h0", "h1").agg(F.min(F.struct("index", "band")).alias("_b")).select("_b.*")
+    return left.join(once, ["index", "band"]).select("rep", "index", "band", "n", "component")
+
+
 def _blocks(members: DataFrame, chunk: int) -> DataFrame:
     """Members of a band bucket dealt to chunks; every two chunks of a bucket meet in one block (i, j).
 
-    A bucket has a chunk for every ``chunk`` members and for every ``chunk`` * 4,096 shingles, so a block is
+    A bucket has a chunk for every ``chunk`` members and for every ``chunk`` * 2,048 shingles, so a block is
     bounded in rows and, but for single very long texts, in bytes.
     """
-    count, size = F.count(F.lit(1)) / chunk, F.sum("n") / (chunk * 4096)
+    count, size = F.count(F.lit(1)) / chunk, F.sum("n") / (chunk * 2048)
     sized = members.groupBy("index", "band").agg(F.ceil(F.greatest(count, size)).cast("int").alias("chunks"))
     dealt = members.join(sized, ["index", "band"]).withColumn("c", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     return dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
@@ -264,7 +286,7 @@ def _cross_links(
 
 
 def near_duplicates(
-    docs: DataFrame, words: int = 5, percent: int = 80, chunk: int = 512
+    docs: DataFrame, words: int = 5, percent: int = 80, chunk: int = 1024
 ) -> DataFrame:
     """Group documents whose sets of ``words``-word shingles have a Jaccard similarity of percent/100 or more.
 
@@ -311,9 +333,7 @@ def near_duplicates(
     first = keep(components(links), "first")
 
     member = multi.select("rep", "index", "band", "n").join(first.withColumnRenamed("node", "rep"), "rep", "left")
-    member = member.withColumn("component", F.coalesce("component", "rep"))
-    mixed = member.groupBy("index", "band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    mixed = keep(member.join(mixed.select("index", "band"), ["index", "band"]), "mixed")
+    mixed = keep(_mixed(member.withColumn("component", F.coalesce("component", "rep")), percent), "mixed")
     more = keep(_cross_links(mixed, lean, docs, words, percent, chunk), "more")
     final = merged(first, more) if more.limit(1).count() else first
 
