@@ -93,13 +93,26 @@ def held_out() -> F.Column:
 def train(docs: DataFrame, families: Mapping[str, str], sample: int, dim: int) -> LanguageModel | None:
     """Learn from at most ``sample`` documents, evenly over the languages (smallest id hashes).
 
+    A repeated id counts once, with the least of its languages and that row's own text; null ids are not learned
+    from.  Of more than ``sample`` languages only the most frequent ones are learned.  Rows of a language are first cut
+    by a bound on their hash that leaves about the wanted number, so no language is gathered in one task.
     Trigrams are counted in tasks; the driver gets the sample's count vectors only.
     """
-    usable = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    usable = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    row = F.struct("lang", F.xxhash64("text").alias("mark"))
+    own = usable.groupBy("doc_id").agg(F.min(row).alias("_o")).select("doc_id", "_o.lang", "_o.mark")
+    counts = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    kept = counts.orderBy(F.col("n").desc(), "lang").limit(sample).collect()  # at most ``sample`` rows
+    if not kept:
+        return None
+    quota = max(1, sample // len(kept))
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) / float(1 << 31)
+    # Five deviations above the quota; what is above it is cut below.
+    bound = (quota + 5 * quota**0.5 + 10) / F.col("n")
+    sizes = docs.sparkSession.createDataFrame([(r["lang"], r["n"]) for r in kept], "lang string, n long")
+    near = own.join(F.broadcast(sizes), "lang").where(share < bound)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    langs = max(1, usable.select("lang").distinct().count())
-    ranked = usable.select("doc_id", "lang").withColumn("_r", F.row_number().over(order))
-    chosen = ranked.where(F.col("_r") <= max(1, sample // langs)).select("doc_id", "lang").distinct()
+    chosen = near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= quota).select("doc_id", "lang", "mark")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,7 +126,9 @@ def train(docs: DataFrame, families: Mapping[str, str], sample: int, dim: int) -
                 ["doc_id", "lang", "at", "value"],
             )
 
-    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` ids
+    marked = docs.select("doc_id", "lang", "text", F.xxhash64("text").alias("mark"))
+    same = marked.join(F.broadcast(chosen), ["doc_id", "lang", "mark"])  # at most ``sample`` ids
+    picked = same.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     rows = picked.select("doc_id", "lang", "text").mapInArrow(count, "doc_id long, lang string, at binary, value binary").collect()
     if not rows:
         return None

@@ -71,16 +71,19 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 def _pack_level(items: DataFrame, groups: int, level: int, capacity: int, slack: int) -> DataFrame:
-    """One round of best fit in each group: rows are bins with their members in order."""
+    """One round of best fit in each group: rows are bins with their members in order.
+
+    Items are dealt by the number of their row in the written table, so copies of a document, and
+    documents without an id, spread over all groups.
+    """
     member = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-    schema = pa.schema([("sequence_id", pa.int64()), ("fill", pa.int64()), ("full", pa.bool_()), ("members", pa.list_(member))])
-    first = F.element_at("members", 1)
-    dealt = items.withColumn("grp", F.pmod(F.xxhash64(F.lit(level), first["doc_id"], first["piece"]), F.lit(groups)).cast("int"))
-    order = dealt.select("grp", "fill", "members", first["doc_id"].alias("d"), first["piece"].alias("p"))
-    rows = order.repartition("grp").sortWithinPartitions("grp", F.col("fill").desc(), "d", "p").select("grp", "fill", "members")
+    schema = pa.schema([("fill", pa.int64()), ("full", pa.bool_()), ("members", pa.list_(member))])
+    dealt = items.withColumn("spot", F.xxhash64(F.lit(level), "number"))
+    dealt = dealt.withColumn("grp", F.pmod(F.col("spot"), F.lit(groups)).cast("int"))
+    rows = dealt.repartition("grp").sortWithinPartitions("grp", F.col("fill").desc(), "spot").select("grp", "fill", "members")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (grp,), t in runs(batches, ["grp"]):
+        for _, t in runs(batches, ["grp"]):
             fill = t.column("fill").to_numpy()
             lists = t.column("members").combine_chunks()
             if isinstance(lists, pa.ChunkedArray):
@@ -92,13 +95,12 @@ def _pack_level(items: DataFrame, groups: int, level: int, capacity: int, slack:
             values = lists.values.take(pa.array(np.concatenate(at))).cast(member)
             offsets = pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32))
             total = np.array([int(fill[b].sum()) for b in bins])
-            ids = (level << 50) + (int(grp) << 20) + np.arange(len(bins))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.array(total), pa.array(total >= capacity - slack), pa.ListArray.from_arrays(offsets, values)],
+                [pa.array(total), pa.array(total >= capacity - slack), pa.ListArray.from_arrays(offsets, values)],
                 schema=schema,
             )
 
-    return rows.mapInArrow(pack, f"sequence_id long, fill long, full boolean, members array<struct<{_PIECE.replace(' ', ':').replace(',:', ',')}>>")
+    return rows.mapInArrow(pack, f"fill long, full boolean, members array<struct<{_PIECE.replace(' ', ':').replace(',:', ',')}>>")
 
 
 def pack(
@@ -116,33 +118,37 @@ def pack(
     but the first are full sequences by themselves.  The rest are packed in a tree: items are
     dealt by hash to groups of about ``group_items``, each group packs best-fit by falling size,
     bins with at most ``slack`` free tokens are emitted, and underfull bins go to the next
-    level as items, in fewer groups.  It ends with one group, or when a level saves less than
-    one bin in a hundred, so no task ever holds more than a group, whatever the sizes.
+    level as items, in fewer groups.  It ends with one group, when a level saves less than one bin in a
+    hundred, or after ``max_levels`` levels (bins stay as they are then), so no task ever holds more
+    than a group.  Groups are dealt by row, so one repeated or missing id does not fill a group.
 
     Tokens are made once and written to the shared folder; only numbers move after that.
 
-    Null or empty text: the separator alone.  Repeated rows are packed each for itself.  Empty
+    Null or empty text: the separator alone.  A null id is kept.  Repeated rows are packed each for itself.  Empty
     input: no rows.  Other columns are ignored.
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset.
     """
-    cut = keep(pieces(docs, capacity, separator, folder), "pieces")
-    alone = cut.where(F.col("length") == capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id())
+    row = F.monotonically_increasing_id()
+    cut = keep(pieces(docs, capacity, separator, folder).withColumn("number", row), "pieces")
+    alone = cut.where(F.col("length") == capacity).withColumn("sequence_id", -1 - F.col("number"))
     item = F.array(F.struct("doc_id", "piece", "start", "length", "ids_crc32"))
-    items = cut.where(F.col("length") < capacity).select(F.col("length").alias("fill"), item.alias("members"))
+    items = cut.where(F.col("length") < capacity).select("number", F.col("length").alias("fill"), item.alias("members"))
     n, done = items.count(), []
     for level in range(max_levels):
         if n == 0:
             break
         groups = -(-n // group_items)
-        bins = keep(_pack_level(items, groups, level, capacity, slack), f"level{level}")
+        packed = _pack_level(items, groups, level, capacity, slack)
+        # Row numbers of the written table, with the level above their bits: no two bins share one.
+        bins = keep(packed.withColumn("sequence_id", F.lit(level << 58) + row), f"level{level}")
         counts = bins.groupBy("full").count().collect()
         underfull = sum(r["count"] for r in counts if not r["full"])
         last = groups == 1 or underfull > 0.99 * n or level == max_levels - 1
         done.append(bins if last else bins.where("full"))
         if last:
             break
-        items, n = bins.where("NOT full").select("fill", "members"), underfull
+        items, n = bins.where("NOT full").select(F.col("sequence_id").alias("number"), "fill", "members"), underfull
     out = alone.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", F.lit(0).cast("long").alias("offset"))
     for bins in done:
         before = F.aggregate(F.slice("members", F.lit(1), F.col("_i")), F.lit(0).cast("long"), lambda a, m: a + m["length"])

@@ -128,16 +128,18 @@ def _views(batch: pa.RecordBatch, at: int = 0) -> list[np.ndarray]:
 def train(docs: DataFrame, labels: DataFrame, sample: int, rounds: int, batch: int, sure: float) -> CoTrained | None:
     """Fit on at most ``sample`` labelled and ``sample`` unlabelled documents (smallest id hashes).
 
-    Half of the labelled places go to each label, so a rare one is not missed.
+    Half of the labelled places go to each label, so a rare one is not missed.  A repeated id counts once, with the
+    least of its rows; rows without an id are scored but not learned from.
     """
     known = labels.where("quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("y"))
     order = F.xxhash64(F.lit(5), "doc_id")
     picked = known.where("y = 1").orderBy(order, "doc_id").limit(sample // 2).union(
         known.where("y <> 1").orderBy(order, "doc_id").limit(sample // 2).withColumn("y", F.lit(0))
     )
-    free = docs.select("doc_id").join(known, "doc_id", "left_anti").orderBy(order, "doc_id").limit(sample)
+    free = docs.select("doc_id").where("doc_id IS NOT NULL").distinct().join(known, "doc_id", "left_anti").orderBy(order, "doc_id").limit(sample)
     wanted = picked.union(free.select("doc_id", F.lit(None).cast("int").alias("y")))
-    joined = docs.join(F.broadcast(wanted), "doc_id")  # at most twice ``sample`` ids
+    met = docs.join(F.broadcast(wanted), "doc_id")  # at most twice ``sample`` ids
+    joined = met.groupBy("doc_id", "y").agg(F.min(F.struct("text", "source", "lang", "n_chars")).alias("_d")).select("doc_id", "y", "_d.*")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

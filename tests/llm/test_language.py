@@ -45,3 +45,54 @@ def test_only_the_text_decides(spark):
     docs = small(spark).selectExpr("doc_id", "text", "if(crc32(cast(cast(doc_id as string) as binary)) % 5 = 0, 'xx', lang) lang")
     again = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs).collect()}
     assert base == again
+
+
+def test_repeated_and_null_ids_are_learned_once(spark, monkeypatch):
+    """Copies of an id count once, with the text of a row that has the language; rows without an id do not count."""
+    seen = {}
+
+    class Spy(language.LanguageModel):
+        def __init__(self, x, labels, *rest):
+            seen["rows"], seen["labels"] = len(x), list(labels)
+            super().__init__(x, labels, *rest)
+
+    monkeypatch.setattr(language, "LanguageModel", Spy)
+    docs = small(spark)
+    more = [(3, "the and of with", "en", "x")] * 300 + [(3, "el la los con", None, "x")] * 50 + [(None, "das ist ein", "de", "x")] * 100
+    out = language.identify(small(spark, more), sample=40)
+    assert out.count() == docs.count() + 450
+    assert seen["rows"] <= 40 and seen["labels"].count("en") <= 10
+
+
+def test_predictions_equal_plain_votes(spark, monkeypatch):
+    """The model's choice again, one text and one pair machine at a time."""
+    import numpy as np
+    import pyarrow as pa
+
+    made = []
+
+    class Spy(language.LanguageModel):
+        def __init__(self, *args):
+            super().__init__(*args)
+            made.append(self)
+
+    monkeypatch.setattr(language, "LanguageModel", Spy)
+    rows = {r["doc_id"]: r["lang_pred"] for r in language.identify(small(spark)).collect()}
+    (model,) = made
+    texts = {r["doc_id"]: r["text"] for r in small(spark).collect()}
+    probability = lambda x, m: 1 / (1 + np.exp(-(m[2] * (float(x @ m[0]) + m[1]) + m[3])))
+    for doc in sorted(rows)[:100]:
+        if rows[doc] == "und":
+            continue
+        counts = next(language.trigram_counts(pa.array([texts[doc]]), model.dim, True))
+        x = np.sqrt(counts) / np.linalg.norm(np.sqrt(counts))
+        family = max(zip(model.families, model.family_models), key=lambda f: probability(x, f[1]))[0] if model.family_models else model.families[0]
+        names = model.members[family]
+        votes, sums = dict.fromkeys(names, 0), dict.fromkeys(names, 0.0)
+        for (a, b), machine in model.pairs.items():
+            if a in votes:
+                p = probability(x, machine)
+                votes[a if p >= 0.5 else b] += 1
+                sums[a] += p
+                sums[b] += 1 - p
+        assert rows[doc] == min(names, key=lambda v: (-votes[v], -sums[v], v))

@@ -82,3 +82,48 @@ def test_near_duplicates_keep_one_of_each_group(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     want = {i for i, (_, _, kept) in brute([(r["doc_id"], r["text"]) for r in docs.collect()], 5).items() if kept}
     assert {r["doc_id"] for r in pipeline.dedup_stage(spark, docs, "").collect()} == want
+
+
+def test_repeated_and_null_ids_are_learned_once(spark, monkeypatch):
+    """One unlabelled id holds most rows, others have no id: each id reaches the driver once."""
+    seen = {}
+
+    class Spy(quality.CoTrained):
+        def __init__(self, views, y, pools, *rest):
+            seen["labelled"], seen["pool"] = len(y), len(pools[0])
+            super().__init__(views, y, pools, *rest)
+
+    monkeypatch.setattr(quality, "CoTrained", Spy)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "source", "lang", "n_chars")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    more = [(10**6, f"text number {i % 3}", "s", "en", 9) for i in range(400)] + [(None, "no id", "s", "en", 5)] * 100
+    every = docs.union(spark.createDataFrame(more, docs.schema))
+    out = quality.classify(every, labels)
+    assert out.count() == docs.count() + 500
+    known = docs.join(labels.select("doc_id"), "doc_id", "left_semi").select("doc_id").distinct().count()
+    assert seen == {"labelled": known, "pool": docs.select("doc_id").distinct().count() - known + 1}
+
+
+def test_scores_are_those_of_the_weights(spark, monkeypatch):
+    """Scores of all documents again, one by one, from the trained weights and the plain features."""
+    made = []
+
+    class Spy(quality.CoTrained):
+        def __init__(self, *args):
+            super().__init__(*args)
+            made.append(self)
+
+    monkeypatch.setattr(quality, "CoTrained", Spy)
+    sf = "/root/testdata/sf0.001"
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = QUERIES["op8_cotrained_quality"](spark, sf).collect()
+    (model,) = made
+    import pyarrow as pa
+
+    for r in rows:
+        d = docs[r["doc_id"]]
+        views = [quality.text_view(pa.array([d["text"]])), quality.meta_view([d["source"]], [d["lang"]], [d["n_chars"]])]
+        logit = [model.calibration[k][0] * (float(views[k][0] @ model.weights[k][0]) + model.weights[k][1]) + model.calibration[k][1] for k in (0, 1)]
+        z = sum(w * min(30, max(-30, x)) for w, x in zip(model.combined[0], logit)) + model.combined[1]
+        want = 0.0 if not (d["text"] or "").strip() else 1 / (1 + np.exp(-z))
+        assert abs(r["score"] - want) < 1e-4

@@ -139,3 +139,22 @@ def test_section_edges(spark):
     assert attribution.section_tokens(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         attribution.section_tokens(df, rule="middle")
+
+
+def test_repeated_and_null_ids_spread_over_groups(spark):
+    """A third of the rows are copies of one document, a third have no id: no group takes them all."""
+    rows = [(1, "same words here again")] * 300 + [(None, f"no id {i}") for i in range(300)] + [(i, "other " * (i % 9)) for i in range(10, 310)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = packing.pack(df, capacity=64, slack=2, group_items=64).collect()
+    assert len(found) == len(rows)
+    bins = {}
+    for r in found:
+        bins.setdefault(r["sequence_id"], []).append(r)
+    for members in bins.values():
+        at = 0
+        for r in sorted(members, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 64
+    of_copies = [s for s, m in bins.items() if any(r["doc_id"] == 1 for r in m)]
+    assert len(of_copies) >= 300 * 5 // 64 and len(bins) <= 1.1 * sum(r["length"] for r in found) / 64 + 2
