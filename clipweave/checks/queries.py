@@ -13,6 +13,7 @@ from clipweave import sources as src
 from clipweave.checks import streams
 from clipweave.checks import tables as t
 from clipweave.plans import batch_outcomes as plan_batch
+from clipweave.plans import run_until
 from clipweave.plans import clips as plan
 from clipweave.session import ensure_checkpoint_dir
 from clipweave.sources.manifest import temp_names
@@ -47,6 +48,44 @@ def route_inputs(spark, d):
     return op.route_inputs(t.order_items(spark, d), t.files(spark, d))
 
 
+@query
+def route_inputs_from_storage(spark, d):
+    """Suppliers' videos looked up in a folder tree that holds those of some nations."""
+    folder = f"{streams.stage_dir(spark)}/videos"
+    nations = t.load(spark, d, "nation").where(F.col("n_regionkey") < 3)
+    nations.select(F.col("n_nationkey").alias("nation"), "n_name").write.partitionBy("nation").text(folder)
+    listed = src.list_files(spark, folder, "*.txt").select(F.regexp_extract("path", "(/videos/nation=[0-9]+)/", 1).alias("path"))
+    name = F.concat(F.lit("/videos/nation="), F.col("s_nationkey").cast("string"))
+    items = t.load(spark, d, "supplier").select(F.col("s_suppkey").alias("line_no"), name.alias("item"))
+    return op.route_inputs(items, listed)
+
+
+@query
+def read_work_list(spark, d):
+    """Page URLs written as a text list and read back."""
+    path = f"{streams.stage_dir(spark)}/list"
+    src.write_channel(t.load(spark, d, "pages").select("url"), path)
+    return src.read_items(spark, path).select("item")
+
+
+@query
+def read_segment_files(spark, d):
+    """Transcripts written as JSON documents, one per video, and read back."""
+    path = f"{streams.stage_dir(spark)}/segments"
+    t.nested_segments(spark, d).write.json(path)
+    return src.read_segments(spark, path)
+
+
+@query
+def plan_sink(spark, d):
+    """A plan is stored; a second run replaces the rows of one status only."""
+    path = f"{streams.stage_dir(spark)}/plan"
+    rows = op.item_outcomes(_stages(spark, d)).select("video_id", "status", "exit_code")
+    src.update_plan(rows, path, "run-1")
+    src.update_plan(rows.where("status = 'success'"), path, "run-2")
+    return src.read_plan(spark, path).select("video_id", "status", "exit_code", "run_id")
+
+
 @query
 def title_from_path(spark, d):
     """Page URLs with an extension, local and downloaded."""
@@ -426,6 +465,19 @@ def take_until(spark, d):
     return op.take_until(results, TARGET_COUNT)
 
 
+@query
+def unattended_run(spark, d):
+    """Batches against stored state until 20 items have succeeded; stopped after two batches and started again."""
+    ensure_checkpoint_dir(spark)
+    outcomes = op.item_outcomes(_stages(spark, d)).select(F.col("video_id").cast("string").alias("item_id"), F.col("status").alias("outcome"))
+    outcomes = outcomes.checkpoint()
+    items = t.load(spark, d, "documents").select(F.col("doc_id").alias("line_no"), F.col("doc_id").cast("string").alias("item_id"))
+    state = f"{streams.stage_dir(spark)}/runs"
+    work = lambda todo: todo.join(outcomes, "item_id").select("item_id", "outcome")
+    run_until(items, work, state, 20, 50, max_batches=2)
+    return run_until(items, work, state, 20, 50)
+
+
 # Closeness to the wanted length; the real score comes from a model.
 def _score():
     return -F.abs(F.col("span_s") - F.lit(120.0))
@@ -511,6 +563,11 @@ def smooth_stream_with_losses(spark, d):
     return streams.smoothing_with_losses(spark, d)
 
 
+@query
+def items_stream_runs(spark, d):
+    return streams.runs(spark, d)
+
+
 @query
 def items_stream(spark, d):
     return streams.items(spark, d)

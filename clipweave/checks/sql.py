@@ -662,6 +662,22 @@ QUERIES_SQL: dict[str, str] = {
 QUERIES_SQL["approve_stream"] = QUERIES_SQL["approve"]
 QUERIES_SQL["smooth_stream"] = QUERIES_SQL["smooth_track"]
 QUERIES_SQL["smooth_stream_with_losses"] = "SELECT video_id, sample_no, smoothed_x FROM kept_smoothed"
+QUERIES_SQL["route_inputs_from_storage"] = """
+    SELECT s_suppkey AS line_no, '/videos/nation=' || s_nationkey AS item,
+           CASE WHEN s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 3) THEN 'file' ELSE 'url' END AS route FROM supplier"""
+QUERIES_SQL["read_work_list"] = "SELECT url AS item FROM pages"
+QUERIES_SQL["read_segment_files"] = QUERIES_SQL["read_segments"]
+QUERIES_SQL["plan_sink"] = """
+    SELECT video_id, status, exit_code, CASE WHEN status = 'success' THEN 'run-2' ELSE 'run-1' END AS run_id FROM outcomes"""
+QUERIES_SQL["unattended_run"] = """
+    SELECT video_id AS line_no, video_id::VARCHAR AS item_id, CASE WHEN status = 'success' THEN 'success' ELSE 'failed' END AS status, status AS outcome
+    FROM (SELECT *, coalesce(sum((status = 'success')::INT) OVER (ORDER BY video_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+          FROM outcomes) WHERE before < 20"""
+QUERIES_SQL["items_stream_runs"] = """
+    SELECT item AS item_id, CASE WHEN outcome = 'success' THEN 'success' ELSE 'failed' END AS status, outcome, version::BIGINT AS version
+    FROM (SELECT item, min(line_no // 2 % 2) AS version FROM items GROUP BY 1)
+    JOIN (SELECT url, min(CASE page_id % 3 WHEN 0 THEN 'success' WHEN 1 THEN 'crashed' ELSE 'no_audio' END) AS outcome FROM pages GROUP BY 1)
+      ON url = item"""
 # Sound in parts gives the frames of the whole.
 QUERIES_SQL["chunk_audio_parts"] = QUERIES_SQL["chunk_audio"]
 QUERIES_SQL["items_stream"] = """

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from clipweave.checks import tables as t
 from clipweave.operators.motion import motion_centroid, targets
 from clipweave.session import ensure_checkpoint_dir
-from clipweave.streaming import approve_stream, items_stream, smooth_stream, start_items
+from clipweave.sources.state import read_state
+from clipweave.streaming import approve_stream, items_stream, smooth_stream, start_items, start_runs
 
 STREAM_CONF = {
     "spark.sql.streaming.stateStore.providerClass": (
@@ -165,3 +166,21 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     query.awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("item_id")
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of even pages land first, then all lines: the second list runs only what the first has not."""
+    folder = stage_dir(spark)
+    session = stream_session(spark)
+    kind = F.pmod(F.col("page_id"), F.lit(3))
+    outcome = F.when(kind == 0, "success").when(kind == 1, "crashed").otherwise("no_audio")
+    known = t.load(session, sf_dir, "pages").groupBy("url").agg(F.min(outcome).alias("outcome"))
+
+    def run(todo: DataFrame) -> DataFrame:
+        return todo.join(known, todo["item_id"] == known["url"]).select("item_id", "outcome")
+
+    lines = t.lines(spark, sf_dir)
+    for now in (lines.where(F.pmod(F.floor(F.col("line_no") / 2), F.lit(2)) == 0), lines):
+        now.select("line").write.mode("append").text(f"{folder}/lists")
+        start_runs(items_stream(session, f"{folder}/lists"), run, f"{folder}/runs", f"{folder}/state", once=True).awaitTermination()
+    return read_state(spark, f"{folder}/runs")

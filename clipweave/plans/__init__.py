@@ -7,6 +7,7 @@ from clipweave.plans.clips import (
     manifest,
     single_clips,
 )
+from clipweave.plans.unattended import run_until
 
 __all__ = [
     "batch_outcomes",
@@ -15,5 +16,6 @@ __all__ = [
     "many_clip_manifest",
     "many_clips",
     "manifest",
+    "run_until",
     "single_clips",
 ]

@@ -1,18 +1,7 @@
 from clipweave.sources.audio import chunk_audio, chunk_audio_parts
-from clipweave.sources.manifest import export_channel, write_channel, write_plan
+from clipweave.sources.manifest import export_channel, read_plan, update_plan, write_channel, write_plan
 from clipweave.sources.segments import explode_segments, read_segments
-from clipweave.sources.worklist import items_from_lines, preview_items, read_items, read_lines
+from clipweave.sources.state import init_state, read_state, write_outcomes
+from clipweave.sources.worklist import items_from_lines, list_files, preview_items, read_items, read_lines
 
-__all__ = [
-    "chunk_audio",
-    "chunk_audio_parts",
-    "explode_segments",
-    "export_channel",
-    "items_from_lines",
-    "preview_items",
-    "read_items",
-    "read_lines",
-    "read_segments",
-    "write_channel",
-    "write_plan",
-]
+__all__ = [name for name in dir() if not name.startswith("_")]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -35,6 +35,35 @@ def write_plan(
     )
 
 
+def update_plan(
+    plan: DataFrame, path: str, run_id: str, partition_by: Sequence[str] = ("status",), rows_per_file: int = 5_000_000
+) -> int:
+    """Replace only the partitions that ``plan`` has rows for, marked with ``run_id``; the others stay.
+
+    The rows are counted while they are written and again as they are read back; a difference raises.  A
+    run that is repeated replaces its own partitions.  Returns the number of rows.
+    """
+    seen = Observation()
+    marked = plan.withColumn("run_id", F.lit(run_id)).observe(seen, F.count(F.lit(1)).alias("n"))
+    (
+        marked.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .option("maxRecordsPerFile", rows_per_file)
+        .partitionBy(*partition_by)
+        .parquet(path)
+    )
+    written = seen.get["n"]
+    stored = read_plan(plan.sparkSession, path).where(F.col("run_id") == run_id).count()
+    if stored < written:
+        raise OSError(f"{written} rows of run {run_id} were written to {path}, {stored} are there")
+    return written
+
+
+def read_plan(spark: SparkSession, path: str) -> DataFrame:
+    """The stored plan with the run that wrote each row."""
+    return spark.read.parquet(path)
+
+
 def export_channel(
     listing: DataFrame, tabs: Sequence[str] = ("videos", "streams", "shorts")
 ) -> DataFrame:

@@ -57,3 +57,9 @@ def preview_items(items: DataFrame) -> DataFrame:
         (F.col("_pos") + 1).alias("position"),
         F.format_string("%03d. %s", F.col("_pos") + 1, F.col("item")).alias("preview"),
     )
+
+
+def list_files(spark: SparkSession, folder: str, pattern: str = "*.mp4") -> DataFrame:
+    """``(path, length)`` of the files below a folder whose names match; their content is not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
+    return files.load(folder).select("path", "length")

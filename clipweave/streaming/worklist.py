@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from clipweave.functions import strip
 from clipweave.operators.items import pending_items
+from clipweave.sources.state import init_state, read_state, write_outcomes
 
 
 def items_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
@@ -40,3 +41,28 @@ def start_items(
 
     writer = items.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start() if once else writer.start()
+
+
+def start_runs(
+    items: DataFrame,
+    run: Callable[[DataFrame], DataFrame],
+    state: str,
+    checkpoint: str,
+    retry_failures: bool = False,
+    once: bool = False,
+) -> StreamingQuery:
+    """Run the items of each list as it lands and write what came of them back to ``state``.
+
+    ``run`` turns ``(item_id)`` into ``(item_id, outcome)``.  A list is compared with what earlier batches stored, so
+    the next one skips what this one did.  A batch that is run twice sees only earlier batches and replaces
+    its own rows: each item has one row a batch, and ``read_state`` gives its latest.
+    """
+    init_state(items.sparkSession, state)
+
+    def work(batch: DataFrame, batch_id: int) -> None:
+        asked = batch.select(F.col("item").alias("item_id")).distinct()
+        todo = pending_items(asked, read_state(batch.sparkSession, state, before=batch_id), retry_failures)
+        write_outcomes(run(todo), state, batch_id)
+
+    writer = items.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start() if once else writer.start()
