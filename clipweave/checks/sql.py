@@ -8,7 +8,24 @@ from __future__ import annotations
 
 import re
 
-from clipweave.operators.transcripts import PROMPT_HEAD, TAIL_PIECE
+# The instruction that goes with a transcript, and the number of the piece that ends it.
+PROMPT = """
+The input contains a timestamped transcription of a video.
+Select a 2-minute segment from the transcription that contains something interesting, useful, surprising, controversial, or thought-provoking.
+The selected text should contain only complete sentences.
+Do not cut the sentences in the middle.
+The selected text should form a complete thought.
+Return a JSON object with the following structure:
+## Output 
+[{
+    start: "Start time of the segment in seconds (number)",
+    content: "The transcribed text from the selected segment (clean text only, NO timestamps)",
+    end: "End time of the segment in seconds (number)"
+}]
+
+## Input
+"""
+LAST_PIECE = 2147483647
 
 # Derived tables ----------------------------------------------------------------
 
@@ -585,9 +602,9 @@ QUERIES_SQL: dict[str, str] = {
         SELECT video_id, frame_no, face_no, crop_x, crop_y, crop_x2, crop_y2 FROM frames JOIN windows USING (video_id)""",
     "render_prompt": f"""
         SELECT video_id, 'system' AS role, part_no AS piece_no,
-               CASE WHEN part_no = 0 THEN '{PROMPT_HEAD.replace("'", "''")}' ELSE '' END || transcript AS content FROM transcripts
+               CASE WHEN part_no = 0 THEN '{PROMPT.replace("'", "''")}' ELSE '' END || transcript AS content FROM transcripts
         UNION ALL SELECT video_id, 'user', part_no, transcript FROM transcripts
-        UNION ALL SELECT video_id, 'system', {TAIL_PIECE}, chr(10) FROM transcripts WHERE part_no = 0""",
+        UNION ALL SELECT video_id, 'system', {LAST_PIECE}, chr(10) FROM transcripts WHERE part_no = 0""",
     "parse_highlight": "SELECT * FROM parsed",
     "transcript_stats": """
         SELECT video_id, n_segments, length(t) AS n_chars, substr(t, 1, 200) AS preview
