@@ -563,6 +563,11 @@ def smooth_stream_with_losses(spark, d):
     return streams.smoothing_with_losses(spark, d)
 
 
+@query
+def settle_stream(spark, d):
+    return streams.attempts(spark, d)
+
+
 @query
 def items_stream_runs(spark, d):
     return streams.runs(spark, d)

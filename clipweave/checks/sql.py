@@ -695,6 +695,10 @@ QUERIES_SQL["items_stream_runs"] = """
     FROM (SELECT item, min(line_no // 2 % 2) AS version FROM items GROUP BY 1)
     JOIN (SELECT url, min(CASE page_id % 3 WHEN 0 THEN 'success' WHEN 1 THEN 'crashed' ELSE 'no_audio' END) AS outcome FROM pages GROUP BY 1)
       ON url = item"""
+# Nobody is asked about a reply that failed, so nothing but approval can stand beside it.
+QUERIES_SQL["settle_stream"] = """
+    SELECT video_id, attempt, start_s, stop_s, highlight_ok, CASE WHEN highlight_ok THEN decision ELSE 'approve' END AS decision
+    FROM settled WHERE video_id IN (SELECT doc_id FROM documents)"""
 # Sound in parts gives the frames of the whole.
 QUERIES_SQL["chunk_audio_parts"] = QUERIES_SQL["chunk_audio"]
 QUERIES_SQL["items_stream"] = """

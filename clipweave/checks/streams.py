@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clipweave.checks import tables as t
+from clipweave.operators.highlights import parse_highlight
 from clipweave.operators.motion import motion_centroid, targets
 from clipweave.session import ensure_checkpoint_dir
 from clipweave.sources.state import read_state
-from clipweave.streaming import approve_stream, items_stream, smooth_stream, start_items, start_runs
+from clipweave.streaming import approve_stream, items_stream, settle_stream, smooth_stream, start_items, start_runs
 
 STREAM_CONF = {
     "spark.sql.streaming.stateStore.providerClass": (
@@ -184,3 +185,32 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         now.select("line").write.mode("append").text(f"{folder}/lists")
         start_runs(items_stream(session, f"{folder}/lists"), run, f"{folder}/runs", f"{folder}/state", once=True).awaitTermination()
     return read_state(spark, f"{folder}/runs")
+
+
+def attempts(spark: SparkSession, sf_dir: str, timeout_s: float = 15.0) -> DataFrame:
+    """Replies of three attempts and the answers to them arrive in two halves by video, then rows far in the future."""
+    folder = stage_dir(spark)
+    second = lambda k: F.timestamp_seconds(F.lit(1_000_000) + F.col("attempt") * 100 + k)
+    own = t.load(spark, sf_dir, "documents").select(F.col("doc_id").alias("video_id")).distinct()
+    replies = parse_highlight(t.attempts(spark, sf_dir), keep=["attempt"]).join(own, "video_id", "left_semi")
+    replies = replies.select("video_id", "attempt", second(0).alias("ts"), "status", "start_s", "stop_s")
+    typed = F.when(F.col("decision") == "regenerate", " R ").when(F.col("decision") == "cancel", "n").otherwise("")
+    answers = t.attempt_decisions(spark, sf_dir).select("video_id", second(5).alias("ts"), typed.alias("answer"))
+    session = stream_session(spark)
+
+    def future(days: int) -> tuple[DataFrame, DataFrame]:
+        ts = F.timestamp_seconds(F.lit(1_000_000 + days * 86_400)).alias("ts")
+        row = spark.range(1).select(F.lit(SENTINEL).cast("long").alias("video_id"), ts)
+        nothing = F.lit(None)
+        return (
+            row.select("video_id", F.lit(0).alias("attempt"), "ts", F.lit("ok").alias("status"), nothing.cast("int").alias("start_s"), nothing.cast("int").alias("stop_s")),
+            row.select("video_id", "ts", F.lit("").alias("answer")),
+        )
+
+    # Answers come before or with the replies they belong to; both wait in the state.
+    for shown, given in [(replies.limit(0), answers), (replies, answers.limit(0)), future(30), future(60), future(90)]:
+        shown.write.mode("append").parquet(f"{folder}/replies")
+        given.write.mode("append").parquet(f"{folder}/answers")
+        source = lambda name, like: session.readStream.schema(like.schema).parquet(f"{folder}/{name}")
+        out = run_to_end(settle_stream(source("replies", replies), source("answers", answers), timeout_s, "1 hour"), folder)
+    return spark.read.parquet(out).where(F.col("video_id") != SENTINEL)

@@ -46,7 +46,7 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-STREAMED = {"approve_stream", "smooth_stream", "smooth_stream_with_losses", "items_stream", "items_stream_runs"}
+STREAMED = {"approve_stream", "smooth_stream", "smooth_stream_with_losses", "items_stream", "items_stream_runs", "settle_stream"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - STREAMED))
