@@ -101,3 +101,35 @@ LEFT JOIN written ON written.conv_id IS NOT DISTINCT FROM ids.conv_id
 """
 
 ORACLES: dict[str, str] = {"op11_branch_and_bound": REPAIR, "op12_winnowing": WINNOWING}
+
+#: All products of quantised vectors.
+TOP_K = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+SELECT q.vec_id AS query_id, (row_number() OVER w)::INT AS rank, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+WINDOW w AS (PARTITION BY q.vec_id ORDER BY list_dot_product(q.e, c.e) DESC, c.vec_id)
+QUALIFY rank <= 5
+"""
+
+#: All pairs of documents that share a shingle, and what can be reached over their links.
+NEAR_DUPLICATES = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (
+  SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] AS s FROM docs, unnest(range(1, len(w))) AS t(i)
+  UNION SELECT doc_id, w[1] FROM docs WHERE len(w) = 1),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY 1),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id <> b.doc_id
+  JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+  WHERE 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+reach AS (SELECT doc_id, doc_id AS node FROM docs UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.node)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, m AS component_id, doc_id = m AS kept
+FROM (SELECT doc_id, min(node) AS m FROM reach GROUP BY 1) LEFT JOIN sizes USING (doc_id)
+"""
+
+ORACLES |= {"op1_impact_top_k": TOP_K, "op10_hyperminhash": NEAR_DUPLICATES}
