@@ -307,6 +307,11 @@ def face_crop_windows(spark, d):
     )
 
 
+@query
+def face_crop_ranges(spark, d):
+    return op.face_crop_ranges(t.frames(spark, d), _face_windows(spark, d))
+
+
 @query
 def render_prompt(spark, d):
     return op.render_prompt(op.build_transcript(t.segments(spark, d)))

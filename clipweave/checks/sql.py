@@ -699,6 +699,9 @@ QUERIES_SQL["items_stream_runs"] = """
 QUERIES_SQL["settle_stream"] = """
     SELECT video_id, attempt, start_s, stop_s, highlight_ok, CASE WHEN highlight_ok THEN decision ELSE 'approve' END AS decision
     FROM settled WHERE video_id IN (SELECT doc_id FROM documents)"""
+QUERIES_SQL["face_crop_ranges"] = """
+    SELECT video_id, face_no, min(frame_no) AS first_frame, max(frame_no) AS last_frame, count(*) AS n_frames, crop_x, crop_y, crop_x2, crop_y2
+    FROM frames JOIN windows USING (video_id) GROUP BY ALL"""
 # Sound in parts gives the frames of the whole.
 QUERIES_SQL["chunk_audio_parts"] = QUERIES_SQL["chunk_audio"]
 QUERIES_SQL["items_stream"] = """

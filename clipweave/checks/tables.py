@@ -29,8 +29,7 @@ def _timed_sentences(documents: DataFrame) -> DataFrame:
     marked = F.regexp_replace("text", r"([.!?])\s+", "$1" + SENTENCE_MARK)
 
     def words(s: Column) -> Column:
-        bare = F.regexp_replace(s, r"^\s+|\s+$", "")
-        return F.size(F.split(bare, r"\s+"))
+        return F.greatest(F.lit(1), F.regexp_count(s, F.lit(r"\S+")))
 
     def later(acc: Column, n: Column) -> Column:
         return F.array_append(acc, F.element_at(acc, -1) + n * 4)

@@ -33,6 +33,7 @@ from clipweave.operators.streams import attach_audio, choose_stream, rank_stream
 from clipweave.operators.transcripts import build_transcript, render_prompt, transcript_stats
 from clipweave.operators.vision import (
     clip_detections,
+    face_crop_ranges,
     face_crop_windows,
     face_windows,
     largest_face,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipweave.functions import clamp, floor_div, trunc_int, vertical_height, vertical_width
-from clipweave.operators.ordered import chunk_key
+from clipweave.operators.ordered import chunk_key, position_chunk
 
 # Fixed values.
 SHOWN_SHARE = 0.67
@@ -213,6 +213,23 @@ def face_crop_windows(frames: DataFrame, windows: DataFrame) -> DataFrame:
     return frames.select("video_id", "frame_no").join(windows, "video_id")
 
 
+def face_crop_ranges(frames: DataFrame, windows: DataFrame) -> DataFrame:
+    """Each face window of a video once, with the frames it holds for: ``first_frame``, ``last_frame``, ``n_frames``.
+
+    The compact form of ``face_crop_windows``: a window does not move, so its rows differ in the frame only.
+    Frames are summed before the shuffle, in one row per video and chunk; nothing is joined per frame.
+    """
+    part = chunk_key(["video_id"], position_chunk("frame_no"))
+    ends = [F.min("frame_no").alias("first_frame"), F.max("frame_no").alias("last_frame"), F.count(F.lit(1)).alias("n_frames")]
+    chunks = frames.groupBy(part.alias("_part")).agg(*ends).select("_part.video_id", "first_frame", "last_frame", "n_frames")
+    whole = chunks.groupBy("video_id").agg(
+        F.min("first_frame").alias("first_frame"), F.max("last_frame").alias("last_frame"), F.sum("n_frames").alias("n_frames")
+    )
+    return windows.join(whole, "video_id").select(
+        "video_id", "face_no", "first_frame", "last_frame", "n_frames", "crop_x", "crop_y", "crop_x2", "crop_y2"
+    )
+
+
 def sample_frames(frames: DataFrame, videos: DataFrame) -> DataFrame:
     """Frames looked at for motion: one per ``int(fps)`` frames, numbered from 0."""
     step = videos.select("video_id", trunc_int(F.col("fps")).alias("_step")).where(F.col("_step") > 0)
