@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -83,3 +84,61 @@ def test_track_carries_over_frame_chunks(spark, monkeypatch):
     frames = spark.range(600).select(F.lit(1).alias("video_id"), F.col("id").cast("int").alias("frame_no"))
     got = op.crop_per_frame(frames, track, videos(spark))
     assert rows(got) == [(1, f, 0 if f < 30 else 25) for f in range(600)]
+
+
+def plain_ranges(clip, mode, x_start, samples, video):
+    """One clip frame by frame: (first, last, x, x2) of every run of frames with one offset."""
+    _, _, start, end, _ = clip
+    fps, width, vw, sw = video
+    step, begin = int(fps), math.floor(start * fps)
+    state, seen, out = 0, False, []
+    for f in range(math.floor(end * fps) - begin):
+        if mode == "face":
+            x, top = x_start, width
+        else:
+            no, rest = divmod(begin + f, step)
+            if rest == 0 and no in samples:
+                if samples[no] is not None and no > -(-begin // step):
+                    target = max(0, min(samples[no] - vw // 2, sw - vw))
+                    state = int(0.90 * state + 0.10 * target)
+            x, top = state, sw
+        right = min(x + vw, top)
+        left = max(0, right - vw) if right - x < vw else x
+        if out and out[-1][2:] == (left, right):
+            out[-1] = (out[-1][0], f, left, right)
+        else:
+            out.append((f, f, left, right))
+    return out
+
+
+def test_crop_ranges_equal_frames_one_by_one(spark):
+    """Odd rates, overlapping clips, missing samples, faces, rejected clips and clips without samples."""
+    rng = random.Random(5)
+    rates = {1: 29.97, 2: 25.0, 3: 23.976, 4: 30.0, 5: 60.0}
+    videos = spark.createDataFrame([(v, 1920, 1080, f) for v, f in rates.items()], "video_id long, width int, height int, fps double")
+    sized = {r["video_id"]: (r["fps"], r["width"], r["vertical_w"], r["scaled_w"]) for r in op.screen_scale(videos).collect()}
+    centroids = {v: {n: rng.choice([None, rng.randrange(1800)]) for n in range(200) if rng.random() < 0.9} for v in (1, 2, 3, 5)}
+    clips, crops = [], []
+    for v in rates:
+        for i in range(5):
+            start = rng.randrange(0, 150)
+            end = start + rng.choice([0.5, 3.0, 40.3, 119.9])
+            clips.append((v, i, start, end, end - start))
+            mode = rng.choice(["motion", "motion", "face", "reject"])
+            crops.append((v, i, mode, {"motion": 0, "face": rng.randrange(1300), "reject": None}[mode]))
+    got = op.crop_ranges(
+        spark.createDataFrame(clips, "video_id long, clip_idx int, start_s int, end_s double, clip_s double"),
+        spark.createDataFrame(crops, "video_id long, clip_idx int, mode string, x_start int"),
+        spark.createDataFrame([(v, n, x) for v, s in centroids.items() for n, x in s.items()], "video_id long, sample_no int, centroid_x int"),
+        videos,
+    )
+    want = []
+    for clip, (v, i, mode, x) in zip(clips, crops):
+        if mode != "reject":
+            # Smoothing numbers samples from the clip's first one, which never moves the crop.
+            for k, r in enumerate(plain_ranges(clip, mode, x, centroids.get(v, {}), sized[v])):
+                want.append((v, i, k, mode, *r))
+    assert rows(got) == sorted(want)
+    motion = {(v, i) for v, i, m, _ in crops if m == "motion"}
+    assert motion and motion == {(r[0], r[1]) for r in want if r[3] == "motion"}
+    assert any(r[2] > 3 for r in want)
