@@ -19,9 +19,9 @@ OUTPUT = "video_id BIGINT, sample_no INT, smoothed_x INT"
 class _Smoother(StatefulProcessor):
     """Keeps the next sample number, the offset, and samples that came too early.
 
-    Of the early samples only the next one is looked up.  With ``gap_ms`` a timer runs from the last
-    arrival: when it fires over early samples the missing ones are given up and the offset is held;
-    when it fires over none the state of the video is released.
+    Of the early samples only the next one is looked up.  With ``gap_ms`` a gap has a deadline, counted from
+    the sample behind it: when the timer fires the missing samples are given up and the offset is held.
+    Without a gap a timer runs from the last sample and releases the state of the video.
     """
 
     def __init__(self, gap_ms: int | None = None, idle_ms: int | None = None) -> None:
@@ -30,7 +30,7 @@ class _Smoother(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
         self._at = handle.getValueState("at", "next_no INT, smoothed INT, early INT, due_ms LONG")
-        self._early = handle.getMapState("early", "sample_no INT", "target INT")
+        self._early = handle.getMapState("early", "sample_no INT", "target INT, ts_ms LONG")
 
     def _step(self, smoothed: int, target: int | None) -> int:
         return smoothed if target is None else int(KEEP_SHARE * smoothed + NEW_SHARE * target)
@@ -38,16 +38,17 @@ class _Smoother(StatefulProcessor):
     def _go_on(self, key, state: tuple, ready: dict, seen_ms: int) -> pd.DataFrame:
         """Settle samples from the next one on, from ``ready`` and the early ones; keep the rest and set the timer."""
         next_no, smoothed, early, due_ms = state
+        same_gap = early and next_no
         numbers, states = [], []
         while True:
             if next_no in ready:
-                target = ready.pop(next_no)
+                target, _ = ready.pop(next_no)
                 # A copy may wait among the early ones.
                 if early and self._early.containsKey((next_no,)):
                     self._early.removeKey((next_no,))
                     early -= 1
             elif early and self._early.containsKey((next_no,)):
-                (target,) = self._early.getValue((next_no,))
+                target, _ = self._early.getValue((next_no,))
                 self._early.removeKey((next_no,))
                 early -= 1
             else:
@@ -56,13 +57,17 @@ class _Smoother(StatefulProcessor):
             numbers.append(next_no)
             states.append(smoothed)
             next_no += 1
-        for no, target in ready.items():
+        for no, waiting in ready.items():
             early += not (early and self._early.containsKey((no,)))
-            self._early.updateValue((no,), (target,))
-        if self._gap_ms is not None:
+            self._early.updateValue((no,), waiting)
+        if self._gap_ms is not None and not (early and due_ms and same_gap == next_no):
             if due_ms:
                 self._handle.deleteTimer(due_ms)
-            due_ms = max(seen_ms, 0) + (self._gap_ms if early else self._idle_ms)
+            if early:
+                behind = min(no for (no,) in self._early.keys())
+                due_ms = self._early.getValue((behind,))[1] + self._gap_ms
+            else:
+                due_ms = seen_ms + self._idle_ms
             self._handle.registerTimer(due_ms)
         self._at.update((next_no, smoothed, early, due_ms))
         return pd.DataFrame({"video_id": key[0], "sample_no": numbers, "smoothed_x": states})
@@ -71,11 +76,11 @@ class _Smoother(StatefulProcessor):
         state = self._at.get() if self._at.exists() else (0, 0, 0, 0)
         ready, seen_ms = {}, 0
         for batch in rows:
-            for no, target in zip(batch["sample_no"], batch["target"]):
+            times = [0] * len(batch) if self._gap_ms is None else [int(ts.timestamp() * 1000) for ts in batch["ts"]]
+            seen_ms = max([seen_ms, *times])
+            for no, target, ms in zip(batch["sample_no"], batch["target"], times):
                 if no >= state[0]:  # a sample delivered twice is already done
-                    ready[int(no)] = None if pd.isna(target) else int(target)
-            if self._gap_ms is not None:
-                seen_ms = max(seen_ms, int(batch["ts"].max().timestamp() * 1000))
+                    ready[int(no)] = (None if pd.isna(target) else int(target), ms)
         yield self._go_on(key, state, ready, seen_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -101,9 +106,8 @@ def smooth_stream(
     equals the batch form.
 
     Without ``gap_s`` every sample must arrive.  With it, ``ts`` is the event time: when the watermark is ``gap_s``
-    past the last arrival of a video that has a gap, the missing samples are given up and the offset is held
-    over them, as the batch form does for missing rows.  So the state of a video is bounded by what arrives within
-    ``gap_s``.  ``idle_s`` after the last sample the state is released; a sample after that starts the video anew.
+    past the sample behind a gap, the missing samples are given up and the offset is held over them, as the
+    batch form does for missing rows.  So the state of a video is bounded by what arrives within ``gap_s``.  ``idle_s`` after the last sample the state is released; a sample after that starts the video anew.
     Needs the RocksDB state store.
     """
     if gap_s is None:
