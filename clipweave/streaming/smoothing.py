@@ -20,7 +20,8 @@ class _Smoother(StatefulProcessor):
     """Keeps the next sample number, the offset, and samples that came too early.
 
     Of the early samples only the next one is looked up.  With ``gap_ms`` a gap has a deadline, counted from
-    the sample behind it: when the timer fires the missing samples are given up and the offset is held.
+    the sample behind it: when the timer fires the missing samples are given up and the offset is held, and so
+    for every later gap that the watermark has passed too, so one firing settles all that is due.
     Without a gap a timer runs from the last sample and releases the state of the video.
     """
 
@@ -35,31 +36,40 @@ class _Smoother(StatefulProcessor):
     def _step(self, smoothed: int, target: int | None) -> int:
         return smoothed if target is None else int(KEEP_SHARE * smoothed + NEW_SHARE * target)
 
-    def _go_on(self, key, state: tuple, ready: dict, seen_ms: int) -> pd.DataFrame:
-        """Settle samples from the next one on, from ``ready`` and the early ones; keep the rest and set the timer."""
+    def _go_on(self, key, state: tuple, ready: dict, seen_ms: int, waiting: list[int] | None = None, now_ms: int = 0) -> pd.DataFrame:
+        """Settle samples from the next one on, from ``ready`` and the early ones; keep the rest and set the timer.
+
+        ``waiting`` names the early samples in falling order, where gaps that are due at ``now_ms`` are given up.
+        """
         next_no, smoothed, early, due_ms = state
         same_gap = early and next_no
         numbers, states = [], []
         while True:
             if next_no in ready:
-                target, _ = ready.pop(next_no)
+                target, ms = ready.pop(next_no)
                 # A copy may wait among the early ones.
                 if early and self._early.containsKey((next_no,)):
                     self._early.removeKey((next_no,))
                     early -= 1
             elif early and self._early.containsKey((next_no,)):
-                target, _ = self._early.getValue((next_no,))
+                target, ms = self._early.getValue((next_no,))
                 self._early.removeKey((next_no,))
                 early -= 1
             else:
-                break
+                while waiting and waiting[-1] < next_no:
+                    waiting.pop()
+                if not waiting or self._early.getValue((waiting[-1],))[1] + self._gap_ms > now_ms:
+                    break
+                next_no = waiting[-1]
+                continue
+            seen_ms = max(seen_ms, ms)
             smoothed = self._step(smoothed, target)
             numbers.append(next_no)
             states.append(smoothed)
             next_no += 1
-        for no, waiting in ready.items():
+        for no, sample in ready.items():
             early += not (early and self._early.containsKey((no,)))
-            self._early.updateValue((no,), waiting)
+            self._early.updateValue((no,), sample)
         if self._gap_ms is not None and not (early and due_ms and same_gap == next_no):
             if due_ms:
                 self._handle.deleteTimer(due_ms)
@@ -89,8 +99,10 @@ class _Smoother(StatefulProcessor):
             self._at.clear()
             yield pd.DataFrame({"video_id": [], "sample_no": [], "smoothed_x": []})
             return
-        next_no = min(no for (no,) in self._early.keys())
-        yield self._go_on(key, (next_no, smoothed, early, 0), {}, expiredTimerInfo.getExpiryTimeInMs())
+        waiting = sorted((no for (no,) in self._early.keys()), reverse=True)
+        expired_ms = expiredTimerInfo.getExpiryTimeInMs()
+        now_ms = max(expired_ms, timerValues.getCurrentWatermarkInMs())
+        yield self._go_on(key, (waiting[-1], smoothed, early, 0), {}, expired_ms, waiting, now_ms)
 
     def close(self) -> None:
         pass

@@ -188,3 +188,19 @@ def test_without_a_gap_every_sample_is_waited_for():
         store.rows((n, sent[n], at(n)), columns=SAMPLE)
         store.rows((n, sent[n], at(n)), columns=SAMPLE)  # delivered twice
     assert store.out == smooth(sent) and not store.timers
+
+
+def test_one_firing_gives_up_every_gap_that_is_due():
+    """All samples are there before the watermark moves, and timers set while one fires wait for the next batch."""
+    store = Store(_Smoother(gap_ms=10_000, idle_ms=60_000))
+    sent = {n: n * 3 for n in range(2000) if n % 11 != 5}
+    store.rows(*[(n, sent[n], at(n)) for n in sent], columns=SAMPLE)
+    for now in (1_000_000, 3_000_000):
+        store.now = now
+        for ms in sorted(t for t in store.timers if t <= now):
+            store.fired = ms
+            store.timers.discard(ms)
+            store._keep(store.processor.handleExpiredTimer((7,), store, store))
+        assert len(store.out) == len([n for n in sent if now == 3_000_000 or n <= 995])
+    assert store.out == smooth(sent)
+    assert store.timers == {1_999_000 + 60_000}  # the state is kept until the video has been idle
