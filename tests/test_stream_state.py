@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 from clipweave.operators.motion import KEEP_SHARE, NEW_SHARE
-from clipweave.streaming.attempts import _Attempts
+from clipweave.streaming.attempts import BLOCK, _Attempts, _settle_block
 from clipweave.streaming.smoothing import _Smoother
 
 
@@ -155,6 +155,47 @@ def test_a_decision_waits_for_the_watermark():
     assert store.out == [(7, 0, 10, 90, True, "approve")]
 
 
+class Group:
+    """The state row of one block of videos."""
+
+    def __init__(self):
+        self.get, self.exists, self.now, self.timeout = None, False, 0, None
+
+    def getCurrentWatermarkMs(self):
+        return self.now
+
+    def update(self, row):
+        self.get, self.exists = row, True
+
+    def setTimeoutTimestamp(self, ms):
+        assert ms > self.now
+        self.timeout = ms
+
+
+def test_videos_of_a_block_are_settled_in_one_call():
+    """Every video as if it were alone, whichever arrives first; one row of state and the earliest timer."""
+    group, settle, out = Group(), _settle_block(15_000), []
+
+    def call(now, *events):
+        group.now, group.timeout = now * 1000, None
+        rows = [(v, int(ts.timestamp() * 1000), *e) for v, ts, *e in events]
+        frame = pd.DataFrame(rows, columns=["video_id", "ts_ms", *REPLY[1:]])
+        for f in settle((0,), iter([frame]), group):
+            out.extend(f.itertuples(index=False, name=None))
+
+    typed = ["", "n", "r", "y"]
+    call(0, *[(v, *answer(105 + v, typed[v % 4])) for v in range(8)])
+    call(0, *[(v, *reply(100 + v, 0)) for v in range(BLOCK)], *[(v, *reply(200, 1, True)) for v in (2, 6)])
+    assert out == [] and group.timeout == 105_001
+    call(109, (70, *reply(300, 0)))  # an event of one wakes all that are due
+    assert sorted((v, d) for v, _, _, _, _, d in out) == [(0, "approve"), (1, "cancel"), (2, "regenerate_failed"), (3, "approve")]
+    assert group.timeout == 109_001
+    call(1000)
+    assert len(out) == BLOCK + 1 and len({r[0] for r in out}) == BLOCK + 1 and group.timeout is None
+    assert {r[0] for r in out if r[5] == "cancel"} == {1, 5}
+    assert all(done and not due and not replies and not answers for _, _, done, due, replies, answers in group.get[0])
+
+
 SAMPLE = ["sample_no", "target", "ts"]
 
 
