@@ -31,6 +31,9 @@ OVERLAY_DEFAULTS = {
 OVERLAY_MIN_S = 0.5
 OVERLAY_WIDTH_SHARE = 0.8
 
+# Found at the first letter; stripping looks at all of them.
+NOT_BLANK = r"(?U)\S"
+
 BUCKET_S = 64.0
 _ROUNDING = 1e-6
 
@@ -97,7 +100,7 @@ def clip_captions(clips: DataFrame, segments: DataFrame) -> DataFrame:
 
 def caption_counts(clips: DataFrame, segments: DataFrame) -> DataFrame:
     """``(video_id, clip_idx, n_captions)`` for every clip; carries a flag for blank segments, not the text."""
-    flagged = segments.select("video_id", "seg_idx", "start_s", "end_s", (strip("text") != "").alias("_shown"))
+    flagged = segments.select("video_id", "seg_idx", "start_s", "end_s", F.col("text").rlike(NOT_BLANK).alias("_shown"))
     counted = F.count(F.when(F.col("_hit") & F.col("_shown"), 1)).alias("n_captions")
     met = _met(clips, flagged, "_shown", how="left")
     return met.groupBy(F.struct("video_id", "clip_idx").alias("_clip")).agg(counted).select("_clip.*", "n_captions")
